@@ -6,20 +6,76 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, chunks, decontaminate, minhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The file of the public byte-level vocabulary that the encoding query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op1(_table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op3(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op4(_table(spark, sf_dir, "pages"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op5(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.op7(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash}
+    """Every query of the subpackage by name."""
+    every = (op1_minhash, op3_bpe, op4_warc, op5_decontamination, op7_substring)
+    return {f.__name__: f for f in every}
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+b AS (SELECT page_id, payload_bytes, h,
+  translate(concat(to_base(('0x' || h[1:10])::BIGINT, 32, 8), to_base(('0x' || h[11:20])::BIGINT, 32, 8),
+    to_base(('0x' || h[21:30])::BIGINT, 32, 8), to_base(('0x' || h[31:40])::BIGINT, 32, 8)),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM d),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to FROM m
+"""
+
+ORACLE_OP5 = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+ip AS (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(greatest(len(w) - 10, 0) + 1)) AS k FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(w[k + 1 : k + size], ' ') AS g FROM ip),
+sizes AS (SELECT DISTINCT size FROM win),
+dp AS (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS k FROM dw, sizes WHERE len(w) >= size),
+hits AS (SELECT dp.doc_id, dp.k, dp.size, win.item_id FROM dp JOIN win ON dp.size = win.size AND array_to_string(dp.w[dp.k + 1 : dp.k + dp.size], ' ') = win.g),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the queries that it can express over whole tables."""
+    return {"op4_warc": ORACLE_OP4, "op5_decontamination": ORACLE_OP5}
