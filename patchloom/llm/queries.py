@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, decontaminate, minhash, quality, toxicity, warc
+from . import bpe, chunks, decontaminate, embeddings, minhash, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +48,13 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.op7(_table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.op8(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the subpackage by name."""
-    every = (op1_minhash, op2_quality, op3_bpe, op4_warc, op5_decontamination, op6_toxicity, op7_substring)
+    every = (op1_minhash, op2_quality, op3_bpe, op4_warc, op5_decontamination, op6_toxicity, op7_substring, op8_embeddings)
     return {f.__name__: f for f in every}
 
 
@@ -84,6 +88,20 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+ORACLE_OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp ON comp.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express over whole tables."""
-    return {"op4_warc": ORACLE_OP4, "op5_decontamination": ORACLE_OP5}
+    return {"op4_warc": ORACLE_OP4, "op5_decontamination": ORACLE_OP5, "op8_embeddings": ORACLE_OP8}
