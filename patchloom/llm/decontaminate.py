@@ -111,7 +111,7 @@ def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
+def counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     """How often each word of a benchmark block stands in the corpus; as many rows as the block has words."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -148,8 +148,8 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         windows = _item_windows([r["item_id"] for r in rows], [r["text"] for r in rows])
         vocabulary = np.unique(np.array([w for ws in windows for w in ws], np.uint64))
-        counts = _counts(docs, vocabulary) if len(vocabulary) else {}
-        shared = docs.sparkSession.sparkContext.broadcast(_index(windows, counts))
+        frequency = counts(docs, vocabulary) if len(vocabulary) else {}
+        shared = docs.sparkSession.sparkContext.broadcast(_index(windows, frequency))
         out = out.mapInArrow(lambda batches, shared=shared, last=k == blocks - 1: _scan(shared.value, last, batches), HITS if k == blocks - 1 else HITS.replace(",", ", text string,", 1))
     return out
 

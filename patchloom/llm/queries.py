@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, decontaminate, embeddings, minhash, quality, toxicity, warc
+from . import bpe, chunks, decontaminate, embeddings, language_model, licenses, minhash, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,17 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.op8(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.op9(_table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op10(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the subpackage by name."""
-    every = (op1_minhash, op2_quality, op3_bpe, op4_warc, op5_decontamination, op6_toxicity, op7_substring, op8_embeddings)
+    every = (op1_minhash, op2_quality, op3_bpe, op4_warc, op5_decontamination, op6_toxicity, op7_substring, op8_embeddings, op9_language_model, op10_licenses)
     return {f.__name__: f for f in every}
 
 
@@ -102,6 +110,26 @@ FROM v JOIN comp ON comp.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 
+_TEMPLATES = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES)
+_PHRASES = ", ".join(f"('{label}', '{text}')" for text, label in licenses.PHRASES.items())
+ORACLE_OP10 = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+t AS (SELECT label, list_distinct(string_split(words, ' ')) AS s FROM (VALUES {_TEMPLATES}) v(label, words)),
+p AS (SELECT label, words AS phrase, len(string_split(words, ' ')) AS size FROM (VALUES {_PHRASES}) v(label, words)),
+places AS (SELECT doc_id, label, k FROM (SELECT doc_id, w, label, phrase, size, unnest(range(len(w) - size + 1)) AS k FROM dw, p WHERE len(w) >= size)
+  WHERE array_to_string(w[k + 1 : k + size], ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+b AS (SELECT doc_id, w[32 * k + 1 : 32 * k + 64] AS block FROM (SELECT doc_id, w, unnest(range(greatest(0, (len(w) - 33) // 32) + 1)) AS k FROM dw WHERE len(w) > 0)),
+held AS (SELECT doc_id, label, len(list_intersect(s, list_distinct(block))) AS n, len(s) AS size FROM b, t),
+found AS (SELECT doc_id, label, n / size AS share FROM held WHERE n >= ceil(0.8 * size - 1e-9)),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM dw LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express over whole tables."""
-    return {"op4_warc": ORACLE_OP4, "op5_decontamination": ORACLE_OP5, "op8_embeddings": ORACLE_OP8}
+    return {"op4_warc": ORACLE_OP4, "op5_decontamination": ORACLE_OP5, "op8_embeddings": ORACLE_OP8, "op10_licenses": ORACLE_OP10}
