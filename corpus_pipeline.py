@@ -1,23 +1,65 @@
-"""A corpus from raw documents to tokens: each stage's rows are written and read again for the next."""
+"""A corpus from raw documents to tokens: each stage's rows are written and read again for the next.
+
+All stages but the last return the columns of documents; ``n_chars`` follows a changed text. Rows with a null
+doc_id cannot be compared with others and stay, where the stage does not judge the text alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patchloom.llm import minhash
+from patchloom.llm import bpe, chunks, decontaminate, minhash, quality
 from patchloom.llm._store import Scratch
+from patchloom.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _chosen(docs: DataFrame, chosen: DataFrame, scratch: Scratch, nulls: bool) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``chosen``; with ``nulls`` those without a doc_id too."""
+    ids = scratch.keep(chosen.where("doc_id is not null").select("doc_id").distinct(), "chosen")
+    kept = docs.join(ids, "doc_id", "left_semi").select(COLUMNS)
+    return kept.union(docs.where("doc_id is null").select(COLUMNS)) if nulls else kept
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good stay."""
+    scored = quality.op2(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _chosen(docs, scored.where("predicted = 1"), Scratch(spark, "quality"), False)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the smallest doc_id."""
-    kept = minhash.op1(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return _chosen(docs, minhash.op1(docs).where("kept"), Scratch(spark, "near"), True)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document of a smaller doc_id has are taken out; documents that nothing is left of go."""
+    left = chunks.dedupe(docs.select(COLUMNS), Scratch(spark, "substring"))
+    return left.where("text is null or text <> '' or n_chars = 0").select(COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    hits = decontaminate.op5(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _chosen(docs, hits.where("not contaminated"), Scratch(spark, "clean"), True)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with token_ids and n_tokens."""
+    return bpe.encode(docs.select(COLUMNS), vocabulary()).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
-#: The classifier and the sketches are beyond SQL.
+STAGES = [
+    ("quality_classifier", classify),
+    ("minhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", decontaminated),
+    ("bpe", tokenised),
+]
+#: The classifier is fitted by gradients and the sketches are random: beyond SQL. tests/llm holds the stages
+#: against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -149,11 +149,19 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedupe(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with the repeated passages of :func:`find` taken out of ``text``, but for their first document."""
-    changed = find(docs, scratch).where(F.size("later") > 0).mapInArrow(_without, "doc_id long, text string, kept_text string").distinct()
-    changed = scratch.keep(changed.select(F.col("doc_id").alias("_of"), F.sha2("text", 256).alias("_was"), "kept_text"), "changed")
+    """``docs`` with the repeated passages of :func:`find` taken out of ``text``, but for their first document.
+
+    A column n_chars follows the changed texts. Rows are matched by doc_id and text, so rows of one doc_id with
+    several texts keep each its own.
+    """
+    changed = find(docs, scratch).where(F.size("later") > 0).mapInArrow(_without, "doc_id long, text string, kept_text string")
+    changed = changed.select(F.col("doc_id").alias("_of"), F.sha2("text", 256).alias("_was"), F.col("kept_text").alias("_left")).dropDuplicates(["_of", "_was"])
+    changed = scratch.keep(changed, "changed")
     whole = docs.join(changed, (docs["doc_id"] == changed["_of"]) & (F.sha2(docs["text"], 256) == changed["_was"]), "left")
-    return whole.select(*[F.coalesce(changed["kept_text"], docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    new = {"text": F.coalesce(changed["_left"], docs["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed["_left"].isNotNull(), F.length(changed["_left"]).cast("long")).otherwise(docs["n_chars"])
+    return whole.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
 def op7(docs: DataFrame) -> DataFrame:
