@@ -151,7 +151,7 @@ def _files(rows: DataFrame) -> DataFrame:
     value = lambda tag: F.when(F.col("tag") == tag, trimmed(F.substring("line", F.lit(len(tag) + 1), F.length("line"))))
     side = lambda tag: F.substring_index(value(tag), "\t", 1)
     path_of = lambda tag: F.when(side(tag) != "/dev/null", unprefixed(unquoted(side(tag))))
-    head_old, head_new = header_paths(value("diff --git "))
+    head_old, head_new = (F.when(F.col("tag") == "diff --git ", x) for x in header_paths(value("diff --git ")))
     written = lambda *cs: F.max_by(F.coalesce(*cs), F.when(F.coalesce(*cs, F.lit("")) != "", F.col("ord")))
     status = F.when((F.col("tag") == "new file mode ") | (side("--- ") == "/dev/null"), "created").when((F.col("tag") == "deleted file mode ") | (side("+++ ") == "/dev/null"), "deleted")
     status = status.when(F.col("tag").isin("rename from ", "rename to "), "renamed")

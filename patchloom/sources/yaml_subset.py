@@ -223,6 +223,13 @@ def _quoted(text: str, k: int, line: int) -> tuple[str, int]:
     return (_double(m[1], line) if m[1] is not None else m[2].replace("''", "'")), m.end()
 
 
+def _flow_key(text: str, k: int, line: int) -> tuple[str, int]:
+    if text[k : k + 1] in ('"', "'"):
+        return _quoted(text, k, line)
+    m = re.compile(r"[^,\[\]{}:]*").match(text, k)
+    return m[0].strip(), m.end()
+
+
 def _flow(text: str, k: int, line: int) -> tuple[Any, int]:
     blank = re.compile(r"\s*")
     k = blank.match(text, k).end()
@@ -230,15 +237,15 @@ def _flow(text: str, k: int, line: int) -> tuple[Any, int]:
         closer, pairs, out = {"[": "]", "{": "}"}[text[k]], text[k] == "{", []
         k = blank.match(text, k + 1).end()
         while text[k : k + 1] != closer:
-            value, k = _flow(text, k, line)
+            value, k = _flow_key(text, k, line) if pairs else _flow(text, k, line)
             k = blank.match(text, k).end()
             if pairs:
                 if text[k : k + 1] != ":":
                     raise YamlError(line, "expected : in a flow mapping")
                 inner, k = _flow(text, k + 1, line)
-                if str(value) in dict(out):
+                if value in dict(out):
                     raise YamlError(line, f"repeated key {value!r}")
-                value = (str(value), inner)
+                value = (value, inner)
                 k = blank.match(text, k).end()
             out.append(value)
             if text[k : k + 1] == ",":
