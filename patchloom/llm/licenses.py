@@ -26,14 +26,14 @@ CONTAINMENT = 0.8
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Label and words of each template.
 TEMPLATES = [
-    ("agpl-3", "licensed under the gnu affero general public license version 3"),
+    ("agpl-3", "affero general public license"),
     ("all-rights-reserved", "all rights reserved"),
     ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike international license"),
+    ("cc-by-nc", "creative commons attribution noncommercial"),
+    ("cc-by-sa", "creative commons attribution sharealike"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl-3", "lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),

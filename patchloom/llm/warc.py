@@ -174,7 +174,7 @@ def op4(pages: DataFrame) -> DataFrame:
     path = scratch.path("archives")
     write(pages, path, scratch)
     captures = assemble(read(pages.sparkSession, path, payloads=False)).where("response is not null")
-    page = F.get_json_object(F.col("metadata")[0]["headers"], "$.x-page-id")
+    page = F.get_json_object(F.get("metadata", F.lit(0))["headers"], "$.x-page-id")
     return captures.select(
         page.cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"), F.col("response.refers_to").cast("long").alias("refers_to"),
