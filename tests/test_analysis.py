@@ -86,8 +86,6 @@ def test_formulas(spark):
 
 
 def test_reports(found):
-    text = found.findings.sparkSession.createDataFrame
-    del text
     r = reports.collected(found, "p")
     log = json.loads(reports.sarif(r))
     assert log["version"] == "2.1.0" and len(log["runs"][0]["results"]) == 6 and log["runs"][0]["results"][-1]["suppressions"][0]["kind"] == "inSource"
