@@ -29,32 +29,38 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: dropped unread: 18 is six standard deviations, 1e-9 of the pairs at the threshold.
 DOUBT = 18.0
 THRESHOLD = (75, 100)
+#: Classes of shingles that are counted per set, for an exact bound on what two sets have in common.
+CLASSES = 256
 #: Pairs are confirmed in groups around one text; a group of more is split and the text sent to each part.
 GROUP = 64
 
-_SEEDS = np.random.default_rng(17).integers(1, 2**63, (2, REGISTERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(17).integers(1, 2**31, (2, REGISTERS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SKETCHED = "doc_id long, n_shingles long, d1 long, d2 long, registers binary"
 
 
 def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """SetSketch registers, (n, REGISTERS) uint16, of n sets of hashes; an empty set has zeros."""
-    n = len(first) - 1
-    least = np.full((n, REGISTERS), 2**64 - 1, np.uint64)
-    step, of = 2048, np.repeat(np.arange(n), np.diff(first))
-    for a in range(0, len(hashes), step):
-        part = hashes[a : a + step, None] * _SEEDS[0] + _SEEDS[1]
-        part ^= part >> np.uint64(29)
-        own = of[a : a + step]
-        heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        ids = own[heads]
-        least[ids] = np.minimum(least[ids], np.minimum.reduceat(part, heads, axis=0))
-    u = (least.astype(np.float64) + 0.5) / 2.0**64
-    waiting = -np.log1p(-np.minimum(u, 1 - 1e-16)) / RATE
+    least = np.full((len(first) - 1, REGISTERS), 2**32 - 1, np.uint32)
+    folded = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
+    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        for c in range(a, b, 4096):
+            part = folded[c : min(b, c + 4096)] * _SEEDS[0]
+            part += _SEEDS[1]
+            np.minimum(least[k], part.min(1), out=least[k])
+    waiting = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
     values = np.clip(np.floor(1 - np.log(waiting) / np.log(BASE)), 0, TOP + 1)
     values[np.diff(first) == 0] = 0
     return values.astype(np.uint16)
 
 
+def class_counts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many shingles of each set fall in each class, (n, CLASSES) uint16; the summed lesser counts of two sets
+    bound what they have in common. A set with more in a class than fit has the greatest number there."""
+    of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    flat = np.bincount(of * CLASSES + (hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=(len(first) - 1) * CLASSES)
+    return np.minimum(flat, 65535).astype(np.uint16).reshape(-1, CLASSES)
+
+
 def _exceeds(x: np.ndarray) -> np.ndarray:
     step = np.log(BASE)
     return np.clip(-np.log1p(x * np.expm1(-step)) / step, 1e-12, 1)
@@ -93,7 +99,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, off in X.slices(texts):
             h, first = X.shingle_sets(data, off)
             size = np.diff(first)
-            digests, regs = _digests(h, first), registers(h, first)
+            digests, regs = _digests(h, first), np.hstack([registers(h, first), class_counts(h, first)])
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(a, b - a), pa.array(size, pa.int64()), *(pa.array(d) for d in digests), pa.array([x.tobytes() for x in regs], pa.binary())],
                 ["doc_id", "n_shingles", "d1", "d2", "registers"],
@@ -104,7 +110,8 @@ def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS + CLASSES)
+        regs = regs[:, :REGISTERS].reshape(-1, BANDS, ROWS).astype(np.uint64)
         key = np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
         for k in range(ROWS):
             key = X.mix(key ^ (regs[:, :, k] + np.uint64(1)) * X._GRAM[k])
@@ -117,9 +124,12 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb")]
-        sizes = [np.asarray(batch.column(c)) for c in ("na", "nb")]
-        keep = may_reach(*regs, *sizes, floor)
+        (ra, ca), (rb, cb) = (np.hsplit(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS + CLASSES), [REGISTERS]) for c in ("ra", "rb"))
+        na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
+        both = np.minimum(ca, cb).sum(1, dtype=np.int64)
+        full = (np.maximum(ca, cb) == 65535).any(1)
+        fits = full | (THRESHOLD[1] * both >= THRESHOLD[0] * (na + nb - both))
+        keep = fits & may_reach(ra, rb, na, nb, floor)
         yield batch.filter(pa.array(keep)).select(["a", "b", "da", "db"])
 
 
@@ -163,10 +173,37 @@ def confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(confirm, "a long, b long")
 
 
-def _pivots(scratch: Scratch, live: DataFrame, done: int) -> DataFrame:
-    """The members in places done + 1 to 2 * done + 1 of each bucket; each task keeps that many before the shuffle."""
-    place = F.row_number().over(Window.partitionBy("band").orderBy("place", "id"))
-    return scratch.keep(live.withColumn("nth", place).where(f"nth <= {2 * done + 1}").where(f"nth > {done}").drop("nth"), "pivots")
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, at, text) to (shingle, id, at, n): every shingle of a set whose digest is the row's id."""
+    for batch in batches:
+        ids, ats = np.asarray(batch.column("id")), np.asarray(batch.column("at"))
+        for a, b, data, off in X.slices(batch.column("text")):
+            h, first = X.shingle_sets(data, off)
+            size = np.where(_digests(h, first)[0] == ids[a:b], np.diff(first), 0)
+            of = np.repeat(np.arange(a, b), np.diff(first))
+            keep = size[of - a] > 0
+            of = of[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(X.signed(h[keep])), pa.array(ids[of]), pa.array(ats[of]), pa.array(size[of - a])], ["shingle", "id", "at", "n"])
+
+
+def _able(scratch: Scratch, live: DataFrame, pool: DataFrame) -> DataFrame:
+    """The rows of ``live`` that can still link to one of another component in their bucket, with n and s.
+
+    n: the size of the row's set; s: how many of its shingles some live text of another component has. A link
+    of sets of sizes n and n' has at most s of n + n' - s shingles in common, so a text whose s is too small
+    for the smallest set in its bucket is beyond all others. This is exact, and it settles the texts of a
+    large group that are changed too much to link, however many the others are.
+    """
+    own = live.groupBy("id").agg(F.min("at").alias("at"))
+    rows = pool.select("id", "text").join(own, "id").select("id", "at", "text").mapInArrow(_shingles, "shingle long, id long, at long, n long")
+    shared = rows.groupBy("shingle").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x <> y").select("shingle")
+    # A text that stands in the pool more than once counts as often: too large an s only keeps more.
+    counted = rows.join(scratch.keep(shared, "shared"), "shingle").groupBy("id", "n").agg(F.count("*").alias("m"))
+    counted = scratch.keep(counted.select("id", "n", F.least("m", "n").alias("s")), "counted")
+    known = scratch.keep(live.select("band", "id", "place", "at").join(counted, "id"), "known")
+    least = scratch.keep(known.groupBy("band").agg(F.min("n").alias("smallest")), "smallest")
+    can = f"{THRESHOLD[1]} * s >= {THRESHOLD[0]} * (n + greatest(smallest, s) - s)"
+    return known.join(least, "band").where(can).select("band", "id", "place", "at", "n", "s")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -176,11 +213,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     component_id for every set that some text has: the smallest doc_id reachable over pairs with
     100 * intersection >= 75 * union.
 
-    Bands are compared around pivots, never as all pairs of a bucket: first every member with the bucket's
-    first, then, in buckets whose members are still in several components, with twice as many and one more
-    pivots each round, only across components, until every bucket is in one component or all its pairs were
-    tried. Equal sets are one node throughout. Null texts and texts without words link with nothing; a null
-    doc_id keeps its row and links with nothing; a repeated doc_id keeps its rows.
+    Bands are compared around pivots, never as all pairs of a bucket. Each round compares the next few members
+    of a bucket with all after them that lie in another component, and these pivots are then done. Buckets go
+    on, with twelve times as many pivots a round (a thousand at most), while what is left of them lies in several components. Equal
+    sets are one node throughout. Null texts and texts without words link with nothing; a null doc_id keeps its
+    row and links with nothing; a repeated doc_id keeps its rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = scratch.keep(docs.mapInArrow(sketch, SKETCHED), "sketches")
@@ -189,14 +226,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     sets = scratch.keep(sets.select("d1", "d2", "doc", F.col("s.n_shingles").alias("n"), F.col("s.registers").alias("registers")), "sets")
     banded = scratch.keep(sets.select("d1", "registers").mapInArrow(band, "band long, id long"), "bands")
     buckets = scratch.keep(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "buckets")
-    live = scratch.keep(banded.join(buckets, "band").select("band", "id", F.xxhash64("id").alias("place"), F.col("id").alias("at")), "members")
+    live = scratch.keep(banded.join(buckets, "band").select("band", "id", F.xxhash64("id").alias("place"), F.col("id").alias("at"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("s")), "members")
     scratch.drop(banded)
     side = lambda x: sets.select(F.col("d1").alias(x), F.col("doc").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+    # Only documents in a bucket with others are ever compared: their texts are set apart once.
+    pool = live.select("id").distinct().join(side("id").select("id", F.col("did").alias("doc_id")), "id").join(docs, "doc_id")
+    pool = scratch.keep(pool.select("doc_id", "id", "text"), "pool")
     links = comps = before = None
-    done = 0
+    k = 1
     while True:
-        pivots = _pivots(scratch, live, done)
+        place = F.row_number().over(Window.partitionBy("band").orderBy("place", "id"))
+        # Each task keeps a bucket's first members only before they are shuffled.
+        pivots = scratch.keep(live.withColumn("nth", place).where(f"nth <= {k}").drop("nth"), "pivots")
         tried = live.alias("m").join(pivots.alias("p"), "band").where("m.at <> p.at and struct(m.place, m.id) > struct(p.place, p.id)")
+        both = "least(m.s, p.s)"
+        tried = tried.where(f"m.s is null or {THRESHOLD[1]} * {both} >= {THRESHOLD[0]} * (m.n + p.n - {both})")
         pairs = tried.select(F.col("p.id").alias("a"), F.col("m.id").alias("b")).distinct()
         if before is not None:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
@@ -204,24 +248,32 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
         before = pairs if before is None else before.union(pairs)
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "da", "db", "na", "nb", "ra", "rb")
         near = scratch.keep(near.mapInArrow(likely, "a long, b long, da long, db long"), "likely")
-        new = scratch.keep(confirmed(scratch, near, docs), "links")
+        new = scratch.keep(confirmed(scratch, near, pool.select("doc_id", "text")), "links")
         links = new if links is None else links.union(new)
         comps = components(scratch, links)
-        done = 2 * done + 1
+        last = scratch.keep(pivots.groupBy("band").agg(F.max(F.struct("place", "id")).alias("last")), "last")
+        rest = live.join(last, "band").where("struct(place, id) > last").select("band", "id", "place")
         at = comps.select(F.col("node").alias("id"), F.col("component").alias("now"))
-        moved = live.drop("at").join(at, "id", "left").select("band", "id", "place", F.coalesce("now", "id").alias("at"))
-        moved = scratch.keep(moved, "moved")
-        still = moved.groupBy("band").agg(F.min("at").alias("x"), F.max("at").alias("y"), F.count("*").alias("n"))
-        still = scratch.keep(still.where(f"x <> y and n > {done + 1}").select("band"), "open")
-        if still.isEmpty():
+        live = scratch.keep(rest.join(at, "id", "left").select("band", "id", "place", F.coalesce("now", "id").alias("at")), "rest")
+        live = _open(scratch, live)
+        if live.isEmpty():
+            break
+        live = _open(scratch, scratch.keep(_able(scratch, live, pool), "able"))
+        if live.isEmpty():
             break
-        live = scratch.keep(moved.join(still, "band"), "live")
+        k = min(12 * k, 1000)
     named = sets.select("d1", "d2", "doc").join(comps.withColumnRenamed("node", "d1"), "d1", "left")
     named = scratch.keep(named.select("d1", "d2", "doc", F.coalesce("component", "d1").alias("component")), "named")
     least = scratch.keep(named.groupBy("component").agg(F.min("doc").alias("component_id")), "least")
     return sketches.drop("registers"), scratch.keep(named.join(least, "component").select("d1", "d2", "component_id"), "classes")
 
 
+def _open(scratch: Scratch, live: DataFrame) -> DataFrame:
+    """The rows of the buckets that lie in several components."""
+    still = live.groupBy("band").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x <> y").select("band")
+    return scratch.keep(live.join(scratch.keep(still, "open"), "band"), "live")
+
+
 def op1(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; see :func:`near_duplicates`."""
     sketches, classes = near_duplicates(docs, Scratch(docs.sparkSession, "minhash"))
