@@ -16,8 +16,9 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, component): ``component`` is the smallest node that ``node`` reaches by ``links`` (a long, b long).
 
     Every round each node moves to whichever of itself and its neighbours ranks first in a random order,
-    and the links between the places moved to are the next round's. An expected constant share of the nodes
-    goes each round, so rounds grow with the logarithm of the nodes whatever the shape of the graph. The
+    and the links between the places moved to are the next round's. The order holds for four rounds: two
+    settle a star, whose leaves all reach the first of them, and new orders keep long paths shrinking by an
+    expected share, so rounds grow with the logarithm of the nodes whatever the shape of the graph. The
     minimum per node is aggregated before its shuffle, and each join has written tables on both sides, so a
     node with very many links is spread by the engine's skew handling. Nodes without links, self-links and
     null ends give no rows; an empty table gives an empty result.
@@ -27,8 +28,8 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     moved, rounds = [], 0
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
-        best = both.groupBy("node").agg(F.min(_rank("near", rounds)).alias("best"))
-        to = F.least(F.col("best"), _rank("node", rounds))["n"]
+        best = both.groupBy("node").agg(F.min(_rank("near", rounds // 4)).alias("best"))
+        to = F.least(F.col("best"), _rank("node", rounds // 4))["n"]
         step = scratch.keep(best.select("node", to.alias("to")), "step")
         moved.append(step)
         sa, sb = step.select(F.col("node").alias("a"), F.col("to").alias("ta")), step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
