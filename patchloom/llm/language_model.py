@@ -1,13 +1,13 @@
-"""A hierarchical Pitman-Yor language model, its seating sampled by Gibbs.
+"""A hierarchical Pitman-Yor language model of word pairs, its seating sampled by Gibbs.
 
-Every frequent word has a restaurant for the words that follow it, all other words share one, and all of these
-have the unigram restaurant as parent. Words beyond the most frequent ones are one dish, divided among them by
-their counts. Each sweep moves customers between tables in all restaurants at once with the parent as it was,
-then reseats the parent with the tables of its children; probabilities are averages over the later sweeps.
+Every word has a restaurant for the words that follow it, the start of a text has one too, and all of these have
+the unigram restaurant as parent; every word is a dish. Cells (word before, word, count) and their numbers of
+tables are a table of all pairs. A sweep seats all customers of all cells anew at once, with the parent and the
+other dishes' tables as they were, then all customers of the parent; probabilities are averages over the later
+sweeps. A cell of one customer has one table whatever happens, so only the others are swept.
 
-Counts of words and of word pairs come from all training texts. The restaurants and dishes are as many as the
-parameters say, so the table of log probabilities that scoring broadcasts has a fixed size; the counts of all
-other words stay a table and are joined.
+What is broadcast has a fixed size and only saves shuffles: the words and pairs of the highest counts. All others
+are joined. Hot words are among those, so no join has a hot key.
 """
 
 from __future__ import annotations
@@ -17,20 +17,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
 from ._store import Scratch
 from .features import remainder
 
-#: Words with a dish of their own; words with a restaurant of their own; words whose counts are broadcast, at most.
-DISHES, CONTEXTS, COMMON = 8192, 256, 1 << 18
-SWEEPS, BURN_IN, MOVES, SEATED = 6, 3, 8, 64
+#: Words and pairs that are broadcast, at most.
+COMMON, PAIRS = 1 << 18, 1 << 20
+SWEEPS, BURN_IN = 6, 3
+#: Seatings drawn for a cell, of which one is taken by its weight.
+DRAWS = 4
 STRENGTH = 1.0
-RARE, END = DISHES, DISHES + 1
-WIDTH = DISHES + 2
-OTHER, START = CONTEXTS, CONTEXTS + 1
+#: Words are known by their place among the common ones, or else by their hash as a signed number.
+END, START = COMMON, COMMON + 1
 #: The hash that stands for the end of a text among word hashes.
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
 _FLUSH = 1 << 20
@@ -92,51 +93,144 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Common:
-    """The words whose counts every task has, sorted by hash; ``dish`` is RARE for those without one."""
+    """The words that every task knows, sorted by hash, with their counts."""
 
     def __init__(self, words: np.ndarray, n: np.ndarray):
-        order = np.lexsort((words, -n))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        by_hash = np.argsort(words)
-        self.words, self.n = words[by_hash], n[by_hash]
-        self.dish = np.minimum(rank[by_hash], RARE)
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the common words, or -1; dish)."""
-        if not len(self.words):
-            return np.full(len(h), -1), np.where(h == END_HASH, END, RARE)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        at[self.words[at] != h] = -1
-        return at, np.where(h == END_HASH, END, np.where(at >= 0, self.dish[at], RARE))
-
-
-def pairs(dish: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Restaurant of each token: that of the word before it."""
-    before = np.empty(len(dish), np.int64)
-    before[1:] = np.where(dish[:-1] < CONTEXTS, dish[:-1], OTHER)
-    before[first[:-1][np.diff(first) > 0]] = START
-    return before
+        order = np.argsort(words)
+        self.words, self.n = words[order], n[order]
+
+    def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word before, word) of each token, and the n + 1 offsets of the texts' tokens."""
+        h, first = tokens(data, off)
+        w = X.signed(h).copy()
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            w = np.where(self.words[at] == h, at, w)
+        w[h == END_HASH] = END
+        u = np.empty_like(w)
+        u[1:] = w[:-1]
+        u[first[:-1]] = START
+        return u, w, first
+
+
+def _cells(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    u, w = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+    at = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(w[at]), pa.array(np.diff(np.append(at, len(u))))], ["u", "w", "n"])
+
+
+def _paired(common: Common, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, size = [], 0
+    for batch in batches:
+        for _, _, data, off in X.slices(batch.column(0)):
+            parts.append(common.ids(data, off)[:2])
+            size += len(parts[-1][0])
+            if size > _FLUSH:
+                yield _cells(parts)
+                parts, size = [], 0
+    if size:
+        yield _cells(parts)
+
+
+def _rise(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """log(gamma(x + a) / gamma(x)), exact for a small ``a`` too."""
+    low = sum(np.log1p(a / (x + k)) for k in range(6))
+    x = x + 6
+    y = x + a
+    series = (1 / y - 1 / x) / 12 - (y**-3 - x**-3) / 360 + (y**-5 - x**-5) / 1260
+    return (x - 0.5) * np.log1p(a / x) + a * np.log(y) - a + series - low
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    low = sum(np.log(x + k) for k in range(6))
+    x = x + 6
+    return (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - low
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(key: np.ndarray, k: int) -> np.ndarray:
+    """A number in (0, 1) for each key; rows keep theirs in whatever order and task they come."""
+    return ((_mixed(key + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def seat(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, log weight) of ``n`` customers of a dish that sit down one after another.
+
+    Beside t tables and i customers of the dish a new table weighs a + step * t and the old ones i - d * t. The
+    customers up to the next new table are passed at once, as the chance that none of them opens one is a quotient
+    of gamma functions. The weight is that of the dish itself along the way.
+    """
+    t, i, log = np.ones(len(n)), np.ones(len(n)), np.zeros(len(n))
+    live, turn = np.flatnonzero(n > 1), 0
+    while len(live):
+        a_, x, i_, n_ = a[live] + step[live] * t[live], d[live] * t[live], i[live], n[live].astype(float)
+        start, u = _rise(i_ - x, a_), np.log(_uniform(key[live], turn))
+        opens = start - _rise(n_ - x, a_) < u
+        lo, hi = i_.copy(), n_.copy()
+        # The customer that opens: the least j for which all up to it have not stayed at old tables.
+        o = np.flatnonzero(opens & (lo + 1 < hi))
+        lo_, hi_ = lo[o] + 1, hi[o]
+        while len(o) and (lo_ < hi_).any():
+            mid = np.floor((lo_ + hi_) / 2)
+            below = start[o] - _rise(mid - x[o], a_[o]) < u[o]
+            hi_, lo_ = np.where(below, mid, hi_), np.where(below, lo_, np.minimum(mid + 1, hi_))
+        hi[o] = hi_
+        log[live] += _log_gamma(a_ + hi - x) - _log_gamma(a_ + i_ - x)
+        i[live], t[live] = hi, t[live] + opens
+        live, turn = live[opens & (hi < n_)], turn + 1
+    return t, log
+
+
+def tables(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Numbers of tables: one of DRAWS seatings of each cell, by weight. For two customers the first draw is exact."""
+    out = np.ones(len(n), np.int64)
+    two, many = np.flatnonzero(n == 2), np.flatnonzero(n > 2)
+    new = a[two] + step[two]
+    out[two] += _uniform(key[two], 0) * (new + 1 - d[two]) < new
+    each = np.repeat(many, DRAWS)
+    keys = _mixed(key[each] + np.tile(np.arange(1, DRAWS + 1, dtype=np.uint64), len(many)))
+    t, log = seat(n[each], d[each], a[each], step[each], keys)
+    best = np.argmax((log - np.log(-np.log(_uniform(keys, -1)))).reshape(-1, DRAWS), 1) if len(many) else np.empty(0, int)
+    out[many] = t.reshape(-1, DRAWS)[np.arange(len(many)), best]
+    return out
+
+
+def _reseated(sweep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with u, w, n, d, a and step: ``t`` drawn anew."""
+    for batch in batches:
+        col = {c: np.asarray(batch.column(c)) for c in ("u", "w", "n", "d", "a", "step")}
+        u, w = (np.ascontiguousarray(col[c], np.int64).view(np.uint64) for c in ("u", "w"))
+        key = _mixed(_mixed(u + np.uint64(sweep)) + w)
+        t = tables(col["n"], *(col[c].astype(float) for c in ("d", "a", "step")), key)
+        yield batch.set_column(batch.schema.get_field_index("t"), "t", pa.array(t))
+
+
+def _redrawn(df: DataFrame, sweep: int) -> DataFrame:
+    return df.mapInArrow(lambda batches: _reseated(sweep, batches), df.schema)
 
 
 class Seating:
-    """Tables of one restaurant: ``dish`` (index into the dishes served) and ``size``, sorted by dish."""
+    """Tables of one restaurant: ``dish`` (index into the dishes served) and ``size``, sorted by dish.
 
-    def __init__(self, counts: np.ndarray, discount: float, prior: np.ndarray, rng: np.random.Generator, tables=None):
+    The process customer by customer, by which the tests judge :func:`tables`.
+    """
+
+    def __init__(self, counts: np.ndarray, discount: float, prior: np.ndarray, rng: np.random.Generator):
         self.counts, self.d, self.rng = counts.astype(np.int64), discount, rng
-        if tables is not None:
-            self.dish, self.size = tables
-            return
         self.dish, self.size = np.arange(len(counts)), np.minimum(self.counts, 1)
-        for k in range(1, min(SEATED, int(self.counts.max(initial=0)))):
+        for k in range(1, int(self.counts.max(initial=0))):
             self._seat(np.flatnonzero(self.counts > k), prior)
-        # The customers after these sit down in proportion to the tables that there are.
-        more, have = self.counts - np.bincount(self.dish, self.size, len(counts)).astype(np.int64), np.bincount(self.dish, self.size, len(counts))
-        share = np.floor(more[self.dish] * self.size / np.maximum(have[self.dish], 1)).astype(np.int64)
-        self.size = self.size + share
-        first = np.searchsorted(self.dish, np.arange(len(counts)))
-        left = self.counts - np.bincount(self.dish, self.size, len(counts)).astype(np.int64)
-        np.add.at(self.size, first[left > 0], left[left > 0])
+        kept = self.size > 0
+        self.dish, self.size = self.dish[kept], self.size[kept]
 
     def tables(self) -> np.ndarray:
         return np.bincount(self.dish, minlength=len(self.counts))
@@ -161,71 +255,94 @@ class Seating:
         at = np.searchsorted(self.dish, fresh, "right")
         self.dish, self.size = np.insert(self.dish, at, fresh), np.insert(self.size, at, 1)
 
-    def sweep(self, prior: np.ndarray, moves: int = MOVES) -> None:
-        """Take a random customer of every dish from its table and seat it anew, ``moves`` times."""
-        who = np.flatnonzero(self.counts > 0)
-        for _ in range(moves):
+    def sweep(self, prior: np.ndarray) -> None:
+        """Take as many random customers of every dish as it has from their tables and seat them anew."""
+        for k in range(int(self.counts.max(initial=0))):
+            who = np.flatnonzero(self.counts > k)
             self.size[self._pick(self.size.astype(float), who)] -= 1
             kept = self.size > 0
             self.dish, self.size = self.dish[kept], self.size[kept]
             self._seat(who, prior)
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return float(np.clip(once / (once + 2 * twice) if once else 0.5, 0.1, 0.9))
+def _discount(once: Column, twice: Column) -> Column:
+    return F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5)))
 
 
-def _sweep(shared, sweep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One restaurant a row: its seating after a sweep."""
-    prior = shared.value
-    for batch in batches:
-        for row in batch.to_pylist():
-            dishes, counts = (np.frombuffer(row[c], np.int64) for c in ("dishes", "counts"))
-            tables = (np.frombuffer(row["dish"], np.int64).copy(), np.frombuffer(row["size"], np.int64).copy()) if row["dish"] is not None else None
-            at = Seating(counts, _discount(counts), prior[dishes], np.random.default_rng([29, sweep, row["u"]]), tables)
-            at.sweep(prior[dishes])
-            row |= {"dish": at.dish.astype(np.int64).tobytes(), "size": at.size.astype(np.int64).tobytes(), "t": at.tables().astype(np.int64).tobytes()}
-            yield pa.RecordBatch.from_pylist([row], _RESTAURANTS)
+def _hot(key: str) -> Column:
+    return F.col(key).between(0, START)
 
 
-_RESTAURANTS = pa.schema([("u", pa.int64()), *((c, pa.binary()) for c in ("dishes", "counts", "dish", "size", "t"))])
-_STATE = "u long, dishes binary, counts binary, dish binary, size binary, t binary"
+def _with(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """A left join by a word: the common words are broadcast, so no task gets a hot one."""
+    near = df.where(_hot(key)).join(F.broadcast(table.where(_hot(key))), key, "left")
+    return near.unionByName(df.where(~_hot(key)).join(table.where(~_hot(key)), key, "left"))
 
 
-def _open(table: pa.Table) -> pa.Table:
-    """The cells (code, n) of one restaurant, at most :data:`WIDTH`, as a row."""
-    code, n = np.asarray(table["k"]), np.asarray(table["n"])
-    order = np.argsort(code)
-    row = {"u": int(code[0] // WIDTH), "dishes": (code[order] % WIDTH).tobytes(), "counts": n[order].astype(np.int64).tobytes(), "dish": None, "size": None, "t": None}
-    return pa.Table.from_pylist([row], _RESTAURANTS)
-
-
-def restaurants(scratch: Scratch, cells: DataFrame) -> np.ndarray:
-    """log10 of the averaged probability of each dish in each restaurant, (CONTEXTS + 2, WIDTH)."""
-    context = scratch.spark.sparkContext
-    state = scratch.keep(cells.groupBy(F.floor(F.col("k") / WIDTH)).applyInArrow(_open, _STATE), "opened")
-    flat, rng = np.full(WIDTH, 1 / WIDTH), np.random.default_rng(31)
-    root, prior, total = None, flat, np.zeros((CONTEXTS + 2, WIDTH))
-    for sweep in range(SWEEPS):
-        shared = context.broadcast(prior)
-        state = scratch.keep(state.mapInArrow(lambda batches, shared=shared, sweep=sweep: _sweep(shared, sweep, batches), _STATE), "seated")
-        # At most CONTEXTS + 2 rows of WIDTH dishes.
-        rows = [(r["u"], *(np.frombuffer(r[c], np.int64) for c in ("dishes", "counts", "t"))) for r in state.select("u", "dishes", "counts", "t").collect()]
-        sent = np.zeros(WIDTH, np.int64)
-        for _, dishes, _, t in rows:
-            sent[dishes] += t
-        root = Seating(sent, _discount(sent), flat, rng)
-        root.sweep(flat)
-        prior = _served(sent, root.tables(), root.d, flat)
-        if sweep >= BURN_IN:
-            sample = np.tile(prior, (CONTEXTS + 2, 1))
-            for u, dishes, counts, t in rows:
-                own_n, own_t = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
-                own_n[dishes], own_t[dishes] = counts, t
-                sample[u] = _served(own_n, own_t, _discount(counts), prior)
-            total += sample
-    return np.log10(total / (SWEEPS - BURN_IN)).astype(np.float32)
+def _ones(k: int) -> Column:
+    return F.sum((F.col("n") == k).cast("long"))
+
+
+def _at_most(df: DataFrame, most: int) -> tuple[int | None, Column, list]:
+    """(cut, level, levels): the rows whose level is ``cut`` or more are the highest counts, ``most`` at the most."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    # At most 1,100 rows: the sixteenths of a doubling that counts lie in.
+    levels = sorted(((r["at"], r["rows"], r["n"]) for r in df.groupBy(level.alias("at")).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()), reverse=True)
+    cut, held = None, 0
+    for at, rows, _ in levels:
+        held += rows
+        if held > most:
+            break
+        cut = at
+    return cut, level, levels
+
+
+KEPT = SWEEPS - BURN_IN
+
+
+class Model:
+    """``contexts`` (u, c, d, t0..), ``words`` (w, n, p0..), ``cells`` (u, w, n, s: tables summed over the samples)."""
+
+    def __init__(self, scratch: Scratch, cells: DataFrame, n_words: int):
+        base = 1 / (n_words + 1)
+        contexts = cells.groupBy("u").agg(F.sum("n").alias("c"), _ones(1).alias("once"), _discount(_ones(1), _ones(2)).alias("d"))
+        contexts = scratch.keep(contexts, "contexts")
+        words = scratch.keep(cells.groupBy("w").agg(F.sum("n").alias("count"), _ones(1).alias("once")).withColumn("t", F.lit(1).cast("long")), "words")
+        words = words.withColumn("p", F.lit(base))
+        seated = _with(cells.where("n > 1"), "u", contexts.select("u", "d", "once")).select("u", "w", "n", "d", "once", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("s"))
+        seated, root, self.unknown = scratch.keep(seated, "seated"), n_words, []
+        for sweep in range(SWEEPS):
+            of = _with(_with(seated, "u", seated.groupBy("u").agg(F.sum("t").alias("more"))), "w", words.select("w", "p"))
+            of = of.withColumn("a", (STRENGTH + F.col("d") * (F.col("once") + F.col("more") - F.col("t"))) * F.col("p")).withColumn("step", F.col("d") * F.col("p")).drop("more", "p")
+            seated = _redrawn(of, sweep).drop("a", "step").withColumn("s", F.col("s") + (F.col("t") if sweep >= BURN_IN else 0))
+            seated = scratch.keep(seated, "seated")
+            words = _with(words.drop("n"), "w", seated.groupBy("w").agg(F.sum("t").alias("more"))).withColumn("n", F.col("once") + F.coalesce("more", F.lit(0))).drop("more", "p")
+            words = scratch.keep(words, "served")
+            d, customers = words.agg(_discount(_ones(1), _ones(2)), F.sum("n")).first()
+            customers = customers or 0
+            of = words.withColumn("u", F.lit(-1).cast("long")).withColumn("d", F.lit(float(d))).withColumn("a", (STRENGTH + d * (root - F.col("t"))) * base).withColumn("step", F.lit(d * base))
+            words = scratch.keep(_redrawn(of, sweep).drop("u", "d", "a", "step"), "words")
+            root = words.agg(F.sum("t")).first()[0] or 0
+            rest = (STRENGTH + d * root) * base
+            words = words.withColumn("p", (F.col("n") - d * F.col("t") + rest) / (STRENGTH + customers))
+            if sweep >= BURN_IN:
+                k = sweep - BURN_IN
+                self.unknown.append(rest / (STRENGTH + customers))
+                words = words.withColumn(f"p{k}", F.col("p"))
+                sums = seated.groupBy("u").agg(F.sum("t").alias("more"))
+                contexts = _with(contexts, "u", sums).withColumn(f"t{k}", F.col("once") + F.coalesce("more", F.lit(0))).drop("more")
+                contexts = scratch.keep(contexts, "contexts")
+        self.contexts = contexts.drop("once")
+        self.words = scratch.keep(words.select("w", "count", *(f"p{k}" for k in range(KEPT))), "words")
+        self.seated = seated.select("u", "w", "n", "s")
+        self.cells = cells.where("n = 1").select("u", "w", "n", F.lit(KEPT).cast("long").alias("s")).unionByName(self.seated)
+
+    def log(self, pairs: DataFrame) -> tuple[DataFrame, Column]:
+        """The rows of ``pairs`` (u, w, n, s; null counts where a pair is new), and log10 of their probabilities."""
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        back = sum((STRENGTH + zero("d") * zero(f"t{k}")) * F.coalesce(f"p{k}", F.lit(self.unknown[k])) for k in range(KEPT)) / KEPT
+        p = (zero("n") - zero("d") * zero("s") / KEPT + back) / (STRENGTH + zero("c"))
+        return _with(_with(pairs, "w", self.words), "u", self.contexts), F.log10(p)
 
 
 def _served(n: np.ndarray, t: np.ndarray, d: float, prior: np.ndarray) -> np.ndarray:
@@ -249,70 +366,62 @@ def op9(docs: DataFrame) -> DataFrame:
     counts = train.mapInArrow(lambda b: _tallied(b, lambda data, off: tokens(data, off)[0]), "k long, n long")
     counts = scratch.keep(counts.groupBy("k").agg(F.sum("n").alias("n")), "counts")
     end = X.signed(np.array([END_HASH], np.uint64))[0].item()
-    # At most 1,100 rows: words by the sixteenth of a doubling that their counts lie in.
-    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    levels = sorted(((r["at"], r["words"], r["n"]) for r in counts.groupBy(level.alias("at")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()), reverse=True)
+    cut, level, levels = _at_most(counts, COMMON)
     n_all, v_all = sum(r[2] for r in levels), sum(r[1] for r in levels)
-    cut, held = None, 0
-    for at, words, _ in levels:
-        held += words
-        if held > COMMON:
-            break
-        cut = at
-    top = [] if cut is None else counts.where((level >= cut) & (F.col("k") != end)).collect()
-    common = Common(np.array([r["k"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64))
+    top = counts.where(F.lit(False) if cut is None else (level >= cut) & (F.col("k") != end)).toArrow()
+    common = Common(np.asarray(top["k"], np.int64).view(np.uint64), np.asarray(top["n"], np.int64))
     shared = context.broadcast(common)
-
-    def code(data, off):
-        h, first = tokens(data, off)
-        dish = shared.value.find(h)[1]
-        return (pairs(dish, first) * WIDTH + dish).astype(np.uint64)
-
-    cells = train.mapInArrow(lambda b: _tallied(b, code), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    table = restaurants(scratch, cells)
+    cells = train.mapInArrow(lambda b: _paired(shared.value, b), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+    learnt = Model(scratch, scratch.keep(cells, "cells"), v_all)
+    inner = learnt.seated.where(_hot("u") & _hot("w"))
+    pair_cut, level, _ = _at_most(inner, PAIRS)
+    frequent = F.lit(False) if pair_cut is None else _hot("u") & _hot("w") & (F.col("n") > 1) & (level >= pair_cut)
+    rows, log = learnt.log(learnt.seated.where(frequent))
+    top = rows.select((F.col("u") * (START + 1) + F.col("w")).alias("code"), log.alias("log")).toArrow()
+    code, log_p = np.asarray(top["code"], np.int64), np.asarray(top["log"], float)
+    order = np.argsort(code)
     ends = counts.where(F.col("k") == end).select("n").collect()
     n_end = ends[0]["n"] if ends else 0
-    own = common.dish < RARE
-    n_rare, v_rare = n_all - n_end - int(common.n[own].sum()), v_all - bool(n_end) - int(own.sum())
-    rest = float(np.log10(n_rare + v_rare + 1))
-    model = context.broadcast((common, table, np.log10(common.n + 1), n_end))
+    log_n = np.zeros(START + 1)
+    log_n[: len(common.n)], log_n[END] = np.log10(common.n + 1), np.log10(n_end + 1)
+    model = context.broadcast((common, code[order], log_p[order], log_n, n_end))
 
     def score(batches):
-        words, logs, log_n, n_end = model.value
+        words, codes, logs, log_n, n_end = model.value
         part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b, data, off in X.slices(batch.column(1)):
-                h, first = tokens(data, off)
+                u, w, first = words.ids(data, off)
                 of = np.repeat(np.arange(b - a), np.diff(first))
-                at, dish = words.find(h)
-                common_log = np.where(dish == END, np.log10(n_end + 1), np.where(at >= 0, log_n[at] if len(log_n) else 0, 0))
-                model_log = logs[pairs(dish, first), dish] + np.where(dish == RARE, common_log - rest, 0)
-                known = np.where(dish == END, n_end > 0, at >= 0)
-                far = (at < 0) & (dish != END)
-                order = np.lexsort((h[far], of[far]))
-                far_h, far_of = h[far][order], of[far][order]
-                new = np.ones(len(far_h), bool)
-                new[1:] = (far_h[1:] != far_h[:-1]) | (far_of[1:] != far_of[:-1])
-                heads = np.flatnonzero(new)
-                lists = pa.array(np.searchsorted(far_of[heads], np.arange(b - a + 1)).astype(np.int32))
+                near, hot = (w >= 0) & (w <= START), (u >= 0) & (u <= START)
+                base = np.where(near, log_n[np.where(near, w, 0)], 0)
+                known = near & ((w != END) | (n_end > 0))
+                at, found = np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+                if len(codes):
+                    own = np.where(near & hot, u * (START + 1) + w, -1)
+                    at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                    found = codes[at] == own
+                value = np.where(found, logs[at], 0) if len(codes) else np.zeros(len(w))
+                lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[~found], minlength=b - a))]).astype(np.int32))
                 add = lambda x: pa.array(np.bincount(of, x, b - a))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), pa.array((part << 40) + seen + np.arange(b - a)), pa.array(np.diff(first), pa.int64()),
-                        pa.array(np.bincount(of, known, b - a).astype(np.int64)), add(common_log), add(model_log),
-                        pa.ListArray.from_arrays(lists, pa.array(X.signed(far_h[heads]))), pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(heads, len(far_h))).astype(np.int64))),
+                        pa.array(np.bincount(of, known, b - a).astype(np.int64)), add(base), add(value),
+                        *(pa.ListArray.from_arrays(lists, pa.array(x[~found])) for x in (u, w)),
                     ],
-                    ["doc_id", "row", "n_tokens", "n_known", "base", "model", "far", "times"],
+                    ["doc_id", "row", "n_tokens", "n_known", "base", "model", "u", "w"],
                 )
                 seen += b - a
 
-    scored = docs.mapInArrow(score, "doc_id long, row long, n_tokens long, n_known long, base double, model double, far array<long>, times array<long>")
+    scored = docs.mapInArrow(score, "doc_id long, row long, n_tokens long, n_known long, base double, model double, u array<long>, w array<long>")
     scored = scratch.keep(scored, "scored")
-    words = scored.select("row", F.explode(F.arrays_zip("far", "times")).alias("w")).select("row", F.col("w.far").alias("k"), F.col("w.times").alias("times"))
-    rare = (counts if cut is None else counts.where(level < cut)).where(F.col("k") != end)
-    words = words.join(rare, "k").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.join(words, "row", "left").select(
-        "doc_id", _held_out().alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * float(np.log10(n_all + v_all + 1))).alias("base_score"), (F.col("model") + more).alias("score"),
+    far = scored.select("row", F.explode(F.arrays_zip("u", "w")).alias("x")).select("row", F.col("x.u").alias("u"), F.col("x.w").alias("w"))
+    far, log = learnt.log(far.join(learnt.cells.where(~frequent), ["u", "w"], "left"))
+    rare = ~_hot("w") & F.col("count").isNotNull()
+    far = far.groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(rare, F.log10(F.col("count") + 1))).alias("more"), F.sum(rare.cast("long")).alias("known"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return scored.select("doc_id", "row", "n_tokens", "n_known", "base", "model").join(far, "row", "left").select(
+        "doc_id", _held_out().alias("held_out"), "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("more") - F.col("n_tokens") * float(np.log10(n_all + v_all + 1))).alias("base_score"), (F.col("model") + zero("log")).alias("score"),
     )

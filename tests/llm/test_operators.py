@@ -160,6 +160,15 @@ def test_language_model(docs, none):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in rows) and language_model.op9(none).count() == 0
 
 
+def test_language_model_learns_pairs_of_rare_words(spark):
+    """Words beyond any fixed number have dishes and restaurants: a rare pair that was seen beats the same words apart."""
+    pad = [(k, " ".join(f"p{k}x{j}" for j in range(60)) + " " + " ".join(f"q{j}" for j in range(9000))) for k in range(0, 40)]
+    rows = [*pad, *((100 + k, "rarea rareb") for k in range(8)), *((200 + k, f"rarec sole{k}") for k in range(8))]
+    got = language_model.op9(spark.createDataFrame([*rows, (1000, "rarea rareb"), (1001, "rarec rareb")], "doc_id long, text string")).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert by[1000]["score"] > by[1001]["score"] + 0.3 and by[1000]["n_known"] == 3
+
+
 def test_licenses(spark, docs, none):
     texts = ["Released under the MIT License, and under the mit license.", "CC-BY-NC 4.0", "nothing " * 100, None, "x " * 70 + "This work is licensed under the GNU General Public License version three", "Apache License, Version 2.0"]
     table = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, places string")
