@@ -34,7 +34,7 @@ STRENGTH = 1.0
 END, START = COMMON, COMMON + 1
 #: The hash that stands for the end of a text among word hashes.
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
-_FLUSH = 1 << 20
+_FLUSH, _ROWS = 1 << 20, 1 << 17
 
 
 def _held_out():
@@ -179,6 +179,12 @@ def seat(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, key: np.
         # The customer that opens: the least j for which all up to it have not stayed at old tables.
         o = np.flatnonzero(opens & (lo + 1 < hi))
         lo_, hi_ = lo[o] + 1, hi[o]
+        # A close guess by gamma(x + a) / gamma(x) ~ (x + (a - 1) / 2) ** a; where it does not hold the whole range is searched.
+        guess = np.exp(np.minimum((start[o] - u[o]) / a_[o], 50)) - (a_[o] - 1) / 2 + x[o]
+        left, right = (np.clip(np.floor(guess) + k, lo_, hi_) for k in (-1, 2))
+        held = start[o] - _rise(left - 1 - x[o], a_[o]) >= u[o]
+        passed = start[o] - _rise(right - x[o], a_[o]) < u[o]
+        lo_, hi_ = np.where(held, left, lo_), np.where(passed, right, hi_)
         while len(o) and (lo_ < hi_).any():
             mid = np.floor((lo_ + hi_) / 2)
             below = start[o] - _rise(mid - x[o], a_[o]) < u[o]
@@ -205,17 +211,31 @@ def tables(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, key: n
 
 
 def _reseated(sweep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with u, w, n, d, a and step: ``t`` drawn anew."""
-    for batch in batches:
-        col = {c: np.asarray(batch.column(c)) for c in ("u", "w", "n", "d", "a", "step")}
+    """Rows with u, w, n, d, a and step: ``t`` drawn anew, many rows at a time as a turn of :func:`seat` has a price."""
+    held, size = [], 0
+
+    def drawn() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        col = {c: np.asarray(table[c]) for c in ("u", "w", "n", "d", "a", "step")}
         u, w = (np.ascontiguousarray(col[c], np.int64).view(np.uint64) for c in ("u", "w"))
         key = _mixed(_mixed(u + np.uint64(sweep)) + w)
         t = tables(col["n"], *(col[c].astype(float) for c in ("d", "a", "step")), key)
-        yield batch.set_column(batch.schema.get_field_index("t"), "t", pa.array(t))
+        yield from table.set_column(table.schema.get_field_index("t"), "t", pa.array(t)).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size > _ROWS:
+            yield from drawn()
+            held, size = [], 0
+    if size:
+        yield from drawn()
 
 
 def _redrawn(df: DataFrame, sweep: int) -> DataFrame:
-    return df.mapInArrow(lambda batches: _reseated(sweep, batches), df.schema)
+    """Cells are dealt anew by both words, so that those of a hot one are seated in many tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "u", "w").mapInArrow(lambda batches: _reseated(sweep, batches), df.schema)
 
 
 class Seating:

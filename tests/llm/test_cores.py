@@ -98,3 +98,19 @@ def test_warc_parsing():
     import gzip
 
     assert list(warc.parse(warc._inflated(gzip.compress(raw) + gzip.compress(raw))))[1][0] == got[0][0] and list(warc.parse(b"")) == []
+
+
+def test_tables_of_many_customers():
+    """Numbers of tables agree with seating customer by customer, and are not held down for high counts."""
+    d, prior, rng = 0.6, 0.03, np.random.default_rng(6)
+    for n in (3, 12, 150):
+        chain, seen = language_model.Seating(np.array([n]), d, np.array([prior]), rng), []
+        for _ in range(400 if n < 100 else 60):
+            chain.sweep(np.array([prior]))
+            seen.append(chain.tables()[0])
+        one = np.ones(4000)
+        got = language_model.tables(np.full(4000, n), d * one, language_model.STRENGTH * prior * one, d * prior * one, rng.integers(0, 2**63, 4000).astype(np.uint64))
+        assert got.min() >= 1 and got.max() <= n and got.mean() == pytest.approx(np.mean(seen), rel=0.15), n
+    few = np.ones(5)
+    many = language_model.tables(np.full(5, 125_000), d * few, (1 + d * 20_000) * prior * few, d * prior * few, np.arange(5, dtype=np.uint64))
+    assert (many > 1500).all() and (many < 3500).all()
