@@ -42,8 +42,8 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def _id(kind: str) -> Column:
-    """A record id that a retried task makes again: a name-based one of the page."""
-    h = F.sha1(F.concat_ws("|", F.lit(kind), F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))))
+    """A record id that a retried task makes again: a name-based one of the page and its payload."""
+    h = F.sha1(F.concat_ws("|", F.lit(kind), F.col("page_id").cast("string"), F.coalesce("url", F.lit("")), F.col("digest")))
     cut = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("5"), cut(14, 3)), F.concat(F.lit("8"), cut(18, 3)), cut(21, 12)), F.lit(">"))
 
@@ -60,11 +60,11 @@ def write(pages: DataFrame, path: str, scratch: Scratch, date: str = "2024-01-01
     noted = scratch.keep(noted, "digests")
     owner = noted.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies"))
     owner = scratch.keep(owner.where("copies > 1 and owner is not null").select("digest", "owner"), "owners")
-    again = noted.join(owner, "digest").where("page_id <> owner").select("page_id", "owner").distinct()
+    again = noted.join(owner, "digest").where("page_id <> owner").select("page_id", "digest", "owner").distinct()
     again = scratch.keep(again, "revisits")
-    rows = pages.join(again, "page_id", "left")
+    rows = pages.withColumn("digest", sha1_base32(F.col("html"))).join(again, ["page_id", "digest"], "left")
     http = F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF * 2)
-    digest = F.concat(F.lit("sha1:"), sha1_base32(F.col("html")))
+    digest = F.concat(F.lit("sha1:"), F.col("digest"))
     revisit = F.col("owner").isNotNull()
     when = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", ""))]
     page = ("X-Page-Id", F.coalesce(F.col("page_id").cast("string"), F.lit("")))

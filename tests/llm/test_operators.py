@@ -97,6 +97,18 @@ def test_warc(spark):
     assert all(len(r["request"]) == 1 for r in full.values()) and warc.op4(pages.limit(0)).count() == 0
 
 
+def test_warc_rows_of_one_page(spark):
+    """Rows of one page_id are captures of their own: only the one whose payload recurs is a revisit."""
+    pages = spark.createDataFrame([(1, "u", "A"), (1, "u", "B"), (2, "u", "A"), (3, "u", "B"), (3, "v", "C")], "page_id long, url string, html string")
+    scratch = Scratch(spark, "t")
+    path = scratch.path("w")
+    warc.write(pages.where("html <> 'C' and page_id < 3"), path, scratch)
+    held = sorted(bytes(r["payload"]).decode() for r in warc.read(spark, path).where("record_type = 'response'").collect())
+    assert held == ["A", "B"]
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.op4(pages).collect() if r["page_id"] != 3)
+    assert got == [(1, "revisit", 2), (1, "revisit", 3), (2, "response", None)] and warc.op4(pages).count() == 5
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, " ".join(f"w{k}" for k in range(5, 17))), (10, "two WORDS"), (3, None), (4, "..."), (None, "w1 w2"), (10, "two words"), (2, "absent " * 12)]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, spans string")
