@@ -153,23 +153,28 @@ def meet(table: pa.Table) -> pa.Table:
 def near_duplicates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """vec_id, n_links, component_id for every row of ``rows`` (vec_id, embedding).
 
-    Null and zero vectors, those with null or non-finite components, null vec_ids, and vectors of another length
-    than most link with nothing. Equal vectors are indexed once and count as many links as they are rows; rows
+    Null and zero vectors, those with null or non-finite components, and null vec_ids link with nothing; others
+    with vectors of their own length, each length by an index of its own. Equal vectors are indexed once and count as many links as they are rows; rows
     that repeat a vec_id are vectors of their own. A vector with itself is no link.
     """
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    sound = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 1) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    sound = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     keyed = rows.select("vec_id", "embedding", sound.alias("sound"), F.size("embedding").alias("dim"), F.xxhash64(F.lit(1), "embedding").alias("d1"), F.xxhash64(F.lit(2), "embedding").alias("d2"))
-    dims = keyed.where("sound").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    dim, n = dims[0]["dim"], dims[0]["n"]
-    good = keyed.where(f"sound and dim = {dim}")
+    out = keyed.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for r in keyed.where("sound").groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():
+        out = out.union(_linked(keyed.where(f"sound and dim = {r['dim']}"), r["dim"], r["n"], scratch))
+    return out
+
+
+def _linked(good: DataFrame, dim: int, n: int, scratch: Scratch) -> DataFrame:
+    """vec_id, n_links, component_id of ``n`` sound vectors of one length."""
+    if dim == 1:  # a zero component more changes no angle, and gives both codebooks something to hold
+        good, dim = good.withColumn("embedding", F.concat("embedding", F.array(F.lit(0.0)))), 2
     classes = good.groupBy("d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     classes = scratch.keep(classes, "classes")
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").collect()
-    shared = rows.sparkSession.sparkContext.broadcast(Index(np.array([r["embedding"] for r in sample], np.float64), n))
+    shared = good.sparkSession.sparkContext.broadcast(Index(np.array([r["embedding"] for r in sample], np.float64), n))
 
     def assign(batches):
         index = shared.value
@@ -203,9 +208,7 @@ def near_duplicates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     counts = scratch.keep(met.groupBy("id").agg(F.sum("links").alias("links")), "counts")
     out = classes.select("d1", "d2", "id", "copies").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
     out = scratch.keep(out.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "result")
-    linked = good.select("vec_id", "d1", "d2").join(out, ["d1", "d2"]).select("vec_id", "n_links", "component_id")
-    rest = keyed.where(f"not (sound and dim = {dim})").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(rest)
+    return good.select("vec_id", "d1", "d2").join(out, ["d1", "d2"]).select("vec_id", "n_links", "component_id")
 
 
 def op8(rows: DataFrame) -> DataFrame:

@@ -189,3 +189,10 @@ def test_licenses(spark, docs, none):
     assert got[1][1:6] == (1, 0, 0, "cc-by-nc", "cc-by-nc") and got[2][1:] == (0, None, None, "", "", 0.0) and got[3][:2] == (0, 0)
     assert got[4][4:6] == ("", "gpl-3") and 0.8 <= got[4][6] < 1 and got[5][4] == "apache-2"
     assert licenses.op10(docs).count() == len(ROWS) and licenses.op10(none).count() == 0
+
+
+def test_embeddings_of_every_length(spark):
+    """Vectors of each length link among themselves, those of one component too."""
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.02]), (5, [1.0]), (6, [2.0]), (7, [-1.0]), (8, [0.0, 1.0]), (9, [0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.op8(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
