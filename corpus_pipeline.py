@@ -47,8 +47,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with token_ids and n_tokens."""
-    return bpe.encode(docs.select(COLUMNS), vocabulary()).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    """The columns of documents with token_ids and n_tokens, and the text that the ids decode to."""
+    encoded = bpe.encode(docs.select(COLUMNS), vocabulary()).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return bpe.decode(encoded, vocabulary())
 
 
 STAGES = [
@@ -59,7 +60,7 @@ STAGES = [
     ("bpe", tokenised),
 ]
 #: The classifier is fitted by gradients and the sketches are random: beyond SQL. tests/llm holds the stages
-#: against brute-force versions.
+#: against their own operators.
 ORACLE_SQL = None
 
 

@@ -23,3 +23,9 @@ def test_stages(spark):
         docs = out
     assert docs.where("n_tokens <> size(token_ids)").count() == 0
     assert {r["doc_id"] for r in C.run(spark, DATA).collect()} == ids(docs)
+
+
+def test_tokens_decode(spark):
+    docs = spark.createDataFrame([(1, "Some  tokens, é 日本\n", "en", "s", 20), (2, "", "en", "s", 0), (None, "x" * 300, "en", "s", 300)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = C.tokenised(spark, docs, DATA).collect()
+    assert len(rows) == 3 and all(r["decoded"] == r["text"] for r in rows)
