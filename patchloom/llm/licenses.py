@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import _text as X
 from .decontaminate import _slots, counts
 
-#: Words in a block, and words from one block's start to the next's: every 32 words lie whole in some block.
+#: Words in a block, and words from one block's start to the next's, at least: every 32 words lie whole in some block.
 BLOCK, STEP = 64, 32
 #: Share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.8
@@ -51,6 +51,9 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], frequency: dict[int, int]):
         sets = [sorted(set(hashes(text.split()).tolist()), key=lambda h: (frequency.get(h, 0), h)) for _, text in templates]
+        # A longer template has longer steps, for its words to lie whole in some block.
+        self.step = max([STEP, *(len(hashes(text.split())) for _, text in templates)])
+        self.block = self.step * BLOCK // STEP
         self.vocabulary = np.array(sorted({h for s in sets for h in s}), np.uint64)
         self.slots = _slots(self.vocabulary)
         number = {h: k for k, h in enumerate(self.vocabulary.tolist())}
@@ -86,21 +89,21 @@ def blocks(index: Index, w: X.Words) -> Iterator[tuple[int, int, int, float]]:
     of = np.searchsorted(w.first, at, "right") - 1
     inside = at - w.first[of]
     count = np.diff(w.first)
-    last = np.maximum(0, (count - STEP - 1) // STEP)
+    last = np.maximum(0, (count - index.step - 1) // index.step)
     pairs = set()
     for k in np.flatnonzero(index.leads[number]).tolist():
-        d, b = int(of[k]), int(inside[k]) // STEP
+        d, b = int(of[k]), int(inside[k]) // index.step
         pairs |= {(d, c, t) for c in (b, b - 1) if 0 <= c <= last[d] for t in index.prefix[int(number[k])]}
     for d, b, t in sorted(pairs):
-        if min(BLOCK, count[d] - b * STEP) < index.need[t]:
+        if min(index.block, count[d] - b * index.step) < index.need[t]:
             continue
-        begin = w.first[d] + b * STEP
-        lo, hi = np.searchsorted(at, begin), np.searchsorted(at, min(begin + BLOCK, w.first[d + 1]))
+        begin = w.first[d] + b * index.step
+        lo, hi = np.searchsorted(at, begin), np.searchsorted(at, min(begin + index.block, w.first[d + 1]))
         if hi - lo < index.need[t]:
             continue
         both = len(index.sets[t].intersection(number[lo:hi].tolist()))
         if both >= index.need[t]:
-            yield d, b * STEP, t, both / len(index.sets[t])
+            yield d, b * index.step, t, both / len(index.sets[t])
 
 
 def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:

@@ -191,6 +191,14 @@ def test_licenses(spark, docs, none):
     assert licenses.op10(docs).count() == len(ROWS) and licenses.op10(none).count() == 0
 
 
+def test_licenses_long_template(spark):
+    """A template longer than a usual block is found wherever it stands."""
+    body = " ".join(f"term{k}" for k in range(150))
+    table = spark.createDataFrame([(k, "x " * k + body + " y" * 90) for k in (0, 17, 75, 149, 151)], "doc_id long, text string")
+    got = {r["doc_id"]: {b["label"] for b in r["blocks"]} for r in licenses.find(table, [("long", body)], {}).collect()}
+    assert all(v == {"long"} for v in got.values()) and len(got) == 5
+
+
 def test_embeddings_of_every_length(spark):
     """Vectors of each length link among themselves, those of one component too."""
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.02]), (5, [1.0]), (6, [2.0]), (7, [-1.0]), (8, [0.0, 1.0]), (9, [0.0])]
