@@ -43,16 +43,23 @@ def redacted(line: Column, secret: Column) -> Column:
     return F.when(whole, masked(line)).otherwise(F.replace(line, secret, masked(secret)))
 
 
+def redacted_all(line: Column, secrets: Column) -> Column:
+    """The line with every occurrence of each secret masked, longest first; all of it if one is short or not in it."""
+    secrets = F.array_sort(F.transform(secrets, trimmed), lambda a, b: F.length(b) - F.length(a))
+    whole = F.exists(secrets, lambda s: (F.octet_length(s) < 4) | ~F.contains(line, s))
+    return F.when(whole, masked(line)).otherwise(F.aggregate(secrets, line, lambda text, s: F.replace(text, s, masked(s))))
+
+
 def truncated(x: Column, most: int = 200) -> Column:
     """At most ``most`` bytes, cut between characters, with dots after a cut."""
     cut = F.filter(F.sequence(F.lit(most), F.lit(max(most // 4 - 1, 0)), F.lit(-1)), lambda n: F.octet_length(F.substring(x, F.lit(1), n)) <= most)
     return F.when(F.octet_length(x) <= most, x).otherwise(F.concat(F.substring(x, F.lit(1), F.get(cut, F.lit(0))), F.lit("...")))
 
 
-def displayed(text: Column, secret: Column, redact: Column) -> Column:
-    """Trimmed, masked if the rule asks for it, and cut."""
+def displayed(text: Column, secrets: Column, redact: Column) -> Column:
+    """Trimmed, with all secrets masked if asked for, and cut."""
     text = trimmed(text)
-    return truncated(F.when(redact, redacted(text, secret)).otherwise(text))
+    return truncated(F.when(redact, redacted_all(text, secrets)).otherwise(text))
 
 
 def cleaned_section(x: Column) -> Column:

@@ -11,8 +11,8 @@ from ..sources.rules import Rule
 
 RULE = Rule(
     id="secret.high-entropy-string", title="High-entropy value under a credential-like name", category="secrets", severity="high", confidence="low", on="added", paths=("**",), patterns=(".",), redact=True,
-    question="Is this value a live credential? If so it must be rotated, because the history keeps it.",
-    guidance="Statistics cannot tell a token from encoded test data, so someone has to decide.\n\nA live value is rotated first and removed second. Anything else is suppressed where it stands, with the reason.",
+    question="What does this value open, and who could have copied it from here?",
+    guidance="Look up where the value is accepted. If anything accepts it, replace it there before touching this line.\n\nEncoded data and test values score as high as keys do: note on the line what it is, and the finding is suppressed.",
     cwe=("CWE-798",),
 )
 MIN_ENTROPY, MIN_LENGTH = 3.6, 20
@@ -30,9 +30,11 @@ NOISY = [
 
 def candidates(lines: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """``lines`` whose first assignment gives a value worth measuring: with name and value."""
-    lines = lines.where(F.col("text").rlike(ASSIGNMENT))
-    part = lambda k: F.nullif(F.regexp_extract("text", ASSIGNMENT, k), F.lit(""))
-    found = lines.withColumns({"name": part(1), "value": F.coalesce(*[part(k) for k in range(2, 6)])})
+    # The pattern runs once over a line that has a sign of assignment; its groups come from the short text it matched.
+    met = F.when(F.contains("text", F.lit("=")) | F.contains("text", F.lit(":")), F.regexp_extract("text", ASSIGNMENT, 0))
+    lines = lines.withColumn("_met", met).where("_met <> ''")
+    both = F.split(F.regexp_replace("_met", ASSIGNMENT, "$1\u0001$2$3$4$5"), "\u0001", 2)
+    found = lines.withColumn("_both", both).withColumns({"name": F.get("_both", F.lit(0)), "value": F.nullif(F.get("_both", F.lit(1)), F.lit(""))}).drop("_met", "_both")
     plausible = (F.octet_length("value") >= min_length) & F.col("name").rlike(NAMES) & ~F.col("value").rlike(PLACEHOLDERS) & ~F.col("value").rlike(STRUCTURAL)
     return found.where(plausible & (F.length(F.regexp_replace("value", "[^/]", "")) <= 2) & ~F.contains("value", F.lit(" ")))
 

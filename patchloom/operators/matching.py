@@ -45,60 +45,59 @@ def first_match(text: Column, found: tuple[str, ...]) -> Column:
     return F.coalesce(*map(one, found))
 
 
-def _near(lines: DataFrame, rules: list[Rule]) -> tuple[DataFrame, dict[str, Column]]:
-    """``lines`` with a flag for each near constraint, and the condition of each rule that has one."""
-    checks = {}
+def _near(lines: DataFrame, rules: list[tuple[int, Rule]]) -> tuple[DataFrame, dict[int, Column]]:
+    """``lines`` (with ``hits``) and a flag for each near constraint, and the condition of each rule that has one.
+
+    The constraint's patterns run in those hunks, or files, only in which the rule's own patterns hit a line.
+    """
+    checks: dict[int, Column] = {}
+    wanted: dict[str, Column] = {}
     flags: dict[str, Column] = {}
-    for k, r in enumerate(rules):
+    for k, r in rules:
         if not r.near:
             continue
+        whole = Window.partitionBy("patch_id", "file_idx") if r.near.scope == "file" else Window.partitionBy(*HUNK)
+        wanted[f"near_{k}"] = F.max(F.array_contains(F.transform("hits", lambda x: x["rule_ord"]), k)).over(whole)
+        frame = whole if r.near.scope == "file" else Window.partitionBy(*HUNK).orderBy("line_idx").rowsBetween(-r.near.window, r.near.window)
         ok = F.lit(True)
         for side, found in (("absent", r.near.absent), ("present", r.near.present)):
             if not found:
                 continue
-            section = (F.col("section") != "") & like_any(F.col("section"), found)
-            if r.near.scope == "file":
-                hit = F.max(like_any(F.col("text"), found) | F.coalesce(section, F.lit(False))).over(Window.partitionBy("patch_id", "file_idx"))
-            else:
-                frame = Window.partitionBy(*HUNK).orderBy("line_idx").rowsBetween(-r.near.window, r.near.window)
-                hit = F.max(like_any(F.col("text"), found)).over(frame) | F.coalesce(section, F.lit(False))
-            flags[f"near_{k}_{side}"] = hit
+            section = F.coalesce((F.col("section") != "") & like_any(F.col("section"), found), F.lit(False))
+            here = F.when(F.col(f"near_{k}"), like_any(F.col("text"), found) | section if r.near.scope == "file" else like_any(F.col("text"), found))
+            hit = F.coalesce(F.max(here).over(frame), F.lit(False))
+            flags[f"near_{k}_{side}"] = hit if r.near.scope == "file" else hit | (F.col(f"near_{k}") & section)
             ok = ok & (~F.col(f"near_{k}_{side}") if side == "absent" else F.col(f"near_{k}_{side}"))
-        checks[r.id] = ok
-    return lines.withColumns(flags) if flags else lines, checks
+        checks[k] = ok
+    return (lines.withColumns(wanted).withColumns(flags) if flags else lines), checks
 
 
 def line_hits(lines: DataFrame, rules: list[Rule]) -> DataFrame:
-    """A row for each rule and line that matches: the line's columns, prev_text, rule_ord, match.
+    """A row for each rule and line that matches: the line's columns, prev_text, lang, rule_ord, match.
 
     ``rules`` in order give rule_ord; file rules are not lines' business. ``lines`` needs patch_id, file_idx,
     hunk_idx, line_idx, kind, text, section and path, and no lines of binary files.
     """
-    hunk = Window.partitionBy(*HUNK).orderBy("line_idx")
-    lines = lines.withColumn("prev_text", F.lag("text").over(hunk)).withColumn("lang", language(F.col("path")))
     wanted = [(k, r) for k, r in enumerate(rules) if r.trigger != "file"]
-    lines, near = _near(lines, [r for _, r in wanted])
-    tests = []
+    prev = F.lag("text").over(Window.partitionBy(*HUNK).orderBy("line_idx"))
+    if not wanted:
+        return lines.withColumns({"prev_text": prev, "lang": F.lit(""), "rule_ord": F.lit(0), "match": F.lit("")}).where("false")
+    blank = ~F.col("text").rlike(r"[^\p{IsWhite_Space}]")
+    first = F.array(*[F.struct(F.lit(k).alias("rule_ord"), F.when(triggered(r, F.col("kind")), first_match(F.col("text"), r.patterns)).alias("match")) for k, r in wanted])
+    lines = lines.withColumn("hits", F.when(~blank, F.filter(first, lambda x: x["match"].isNotNull()))).withColumn("prev_text", prev)
+    lines, near = _near(lines, wanted)
+    flagged = [f for f in lines.columns if f.startswith("near_")]
+    found = lines.where(F.size("hits") > 0).withColumn("hit", F.explode("hits")).withColumn("lang", language(F.col("path")))
+    # What is left are few rows: each is held against the rest of its own rule only.
+    case = None
     for k, r in wanted:
-        # Dear conditions stand behind cheap ones: the kind, the patterns, then what few lines come to.
         ok = path_applies(r, F.col("path"), F.col("lang"))
         if r.exclude_patterns:
             ok = ok & ~like_any(F.col("text"), r.exclude_patterns)
-        if r.id in near:
-            ok = ok & near[r.id]
-        found = F.when(triggered(r, F.col("kind")), first_match(F.col("text"), r.patterns))
-        tests.append((k, found, ok))
-    if not tests:
-        return lines.withColumn("rule_ord", F.lit(0)).withColumn("match", F.lit("")).where("false")
-    flagged = [f for f in lines.columns if f.startswith("near_")]
-    lines = lines.where(F.col("text").rlike(r"[^\p{IsWhite_Space}]"))
-    first = F.array(*[F.struct(F.lit(k).alias("rule_ord"), found.alias("match")) for k, found, _ in tests])
-    found = lines.withColumn("hit", F.explode(F.filter(first, lambda x: x["match"].isNotNull())))
-    # What is left are few rows: each is held against the rest of its own rule only.
-    case = None
-    for k, _, ok in tests:
+        if k in near:
+            ok = ok & near[k]
         case = F.when(F.col("hit.rule_ord") == k, ok) if case is None else case.when(F.col("hit.rule_ord") == k, ok)
-    return found.where(case).select("*", F.col("hit.rule_ord").alias("rule_ord"), F.col("hit.match").alias("match")).drop("hit", *flagged)
+    return found.where(case).select("*", F.col("hit.rule_ord").alias("rule_ord"), F.col("hit.match").alias("match")).drop("hit", "hits", *flagged)
 
 
 def file_hits(files: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import globs
 from ..functions import text as T
 from ..functions.languages import language
-from ..operators import diff, entropy, findings, matching, routing, scoring
+from ..operators import detectors, diff, findings, matching, routing, scoring
 from ..sources import baseline as B
 from ..sources.config import Config
-from ..sources.rules import CONFIDENCES, Rule, RuleSet, to_frame
+from ..sources.rules import Rule, RuleSet, to_frame
 from .cut import cut
 
 
@@ -44,12 +44,15 @@ def stats_of(files: DataFrame, n_rules: int, exclude_paths=()) -> DataFrame:
     return base.join(langs, "patch_id").withColumn("rules_evaluated", F.lit(n_rules))
 
 
-def hits_of(files: DataFrame, lines: DataFrame, rules: list[Rule], cfg: Config, entropy_on: bool) -> DataFrame:
-    """Every match as it is met: place, rule_ord, line, texts and inline suppression, before any folding."""
+def hits_of(files: DataFrame, lines: DataFrame, rules: list[Rule], cfg: Config, detecting: list[detectors.Detector] = ()) -> DataFrame:
+    """Every match as it is met: place, rule_ord, line, texts and inline suppression, before any folding.
+
+    A detector's rule_ord follows those of ``rules``.
+    """
     keep = ~globs.any_of(F.col("path"), list(cfg.exclude_paths)) if cfg.exclude_paths else F.lit(True)
     files = files.where(keep)
     lines = lines.where(keep & ~F.col("binary"))
-    catalogue = [*rules, entropy.RULE]
+    catalogue = [*rules, *(d.rule for d in detecting)]
     ids = F.array(*[F.lit(r.id) for r in catalogue])
     rule_id = F.element_at(ids, F.col("rule_ord") + 1)
     common = ["patch_id", "file_idx", "hunk_idx", "line_idx", "path", "text", "section", "old_line", "rule_ord", "match", "line", "title_of", "suppressed", "suppressed_by", "suppression_reason", "snippet_of"]
@@ -62,15 +65,10 @@ def hits_of(files: DataFrame, lines: DataFrame, rules: list[Rule], cfg: Config,
         F.lit(False).alias("suppressed"), F.lit("").alias("suppressed_by"), F.lit("").alias("suppression_reason"), F.concat("status", F.lit(" "), "path", was).alias("snippet_of"),
     )
     parts.append(whole)
-    if entropy_on:
-        from pyspark.sql import Window
-
+    if detecting:
         lagged = lines.withColumn("prev_text", F.lag("text").over(Window.partitionBy(*matching.HUNK).orderBy("line_idx")))
-        found = entropy.hits(lagged, cfg.entropy.min_entropy, cfg.entropy.min_length, list(cfg.entropy.exclude_paths))
-        found = found.withColumns({
-            "rule_ord": F.lit(len(rules)), "line": F.when(F.col("new_line") > 0, F.col("new_line")).otherwise(F.col("old_line")),
-            "title_of": F.concat(F.lit("High-entropy value assigned to `"), "name", F.lit("`")), "snippet_of": F.col("text"),
-        })
+    for k, d in enumerate(detecting):
+        found = d.hits(lagged, cfg).withColumns({"rule_ord": F.lit(len(rules) + k), "snippet_of": F.col("text")})
         parts.append(matching.noted(found, rule_id, cfg.marker).select(common))
     out = parts[0]
     for p in parts[1:]:
@@ -78,21 +76,24 @@ def hits_of(files: DataFrame, lines: DataFrame, rules: list[Rule], cfg: Config,
     return out.withColumn("rule_id", rule_id).withColumn("fingerprint", T.fingerprint(F.col("rule_id"), F.col("path"), F.col("text")))
 
 
-def described(hits: DataFrame, rules: list[Rule], cfg: Config) -> DataFrame:
+def described(hits: DataFrame, rules: list[Rule], cfg: Config, detecting: list[detectors.Detector] = ()) -> DataFrame:
     """Hits with what their rules say and their texts as they may be shown."""
-    meta = to_frame(hits.sparkSession, [*rules, entropy.RULE]).drop("rule_id")
+    meta = to_frame(hits.sparkSession, [*rules, *(d.rule for d in detecting)]).drop("rule_id")
     rows = hits.join(F.broadcast(meta), "rule_ord")
-    secret = F.col("match")
+    own = F.array("match")
     if cfg.redact_across_rules:
-        # Whatever a redacting rule found on a line is masked in other rules' findings of that line too.
-        on_line = hits.join(F.broadcast(meta.select("rule_ord", "redact")), "rule_ord").where("redact").groupBy("patch_id", "file_idx", "hunk_idx", "line_idx").agg(F.first("match").alias("_secret"))
-        rows = rows.join(on_line, ["patch_id", "file_idx", "hunk_idx", "line_idx"], "left").withColumn("redact", F.col("redact") | F.col("_secret").isNotNull())
-        secret = F.coalesce("_secret", "match")
-    shown = lambda text: F.when(F.col("match") == "", T.truncated(T.trimmed(text))).otherwise(T.displayed(text, secret, F.col("redact")))
+        # Whatever redacting rules found on a line, all of it, is masked in every finding of that line.
+        on_line = hits.join(F.broadcast(meta.select("rule_ord", "redact")), "rule_ord").where("redact and match <> ''").groupBy("patch_id", "file_idx", "hunk_idx", "line_idx").agg(F.collect_set("match").alias("_secrets"))
+        rows = rows.join(on_line, ["patch_id", "file_idx", "hunk_idx", "line_idx"], "left").withColumn("redact", F.col("redact") | F.col("_secrets").isNotNull())
+        own = F.coalesce("_secrets", own)
+    # A match holds its own secret for certain, and others where they lie within it.
+    inside = F.filter(own, lambda s: F.contains("match", T.trimmed(s)))
+    in_match = F.when(F.size(inside) > 0, inside).otherwise(own)
+    shown = lambda text, secrets: F.when(F.col("match") == "", T.truncated(T.trimmed(text))).otherwise(T.displayed(text, secrets, F.col("redact")))
     return rows.withColumns({
-        "snippet": F.when(F.col("trigger") == "file", F.col("snippet_of")).otherwise(shown(F.col("snippet_of"))), "match": F.when(F.col("match") == "", "").otherwise(shown(F.col("match"))),
+        "snippet": F.when(F.col("trigger") == "file", F.col("snippet_of")).otherwise(shown(F.col("snippet_of"), own)), "match": F.when(F.col("match") == "", "").otherwise(shown(F.col("match"), in_match)),
         "title": F.coalesce("title_of", "title"), "section": T.cleaned_section(F.coalesce("section", F.lit(""))), "file": F.col("path"),
-    }).drop("title_of", "snippet_of", "path", "text", "_secret")
+    }).drop("title_of", "snippet_of", "path", "text", "_secrets")
 
 
 def analyse(patches: DataFrame, rules: RuleSet, cfg: Config = Config(), baseline: DataFrame | None = None, strict_hunks: bool = False) -> Analysis:
@@ -105,14 +106,12 @@ def analyse(patches: DataFrame, rules: RuleSet, cfg: Config = Config(), baseline
 def analyse_changes(files: DataFrame, lines: DataFrame, rules: RuleSet, cfg: Config = Config(), baseline: DataFrame | None = None, rejected: DataFrame | None = None) -> Analysis:
     """The same from files and lines that are parsed already."""
     chosen = rules.selected(cfg.only, cfg.disable, cfg.enable, cfg.severity, cfg.min_confidence)
-    rid = entropy.RULE.id
-    on = cfg.entropy.enabled and (not cfg.only or rid in cfg.only) and not (rid in cfg.disable and rid not in cfg.enable)
-    on = on and CONFIDENCES[entropy.RULE.confidence][0] >= CONFIDENCES[cfg.min_confidence or "low"][0]
+    detecting = detectors.running(cfg)
     # The conditions of all rules make a wide plan: what follows starts from the few rows that it leaves.
-    hits = findings.first_only(cut(hits_of(files, lines, chosen, cfg, on)))
+    hits = findings.first_only(cut(hits_of(files, lines, chosen, cfg, detecting)))
     known = baseline if baseline is not None else B.empty(files.sparkSession)
     hits = findings.baselined(hits, B.reasons(known))
-    rows = cut(findings.folded(described(hits, chosen, cfg)))
+    rows = cut(findings.folded(described(hits, chosen, cfg, detecting)))
     rows = routing.routed(scoring.scored(rows, cfg.weights), cfg.router)
     stats = stats_of(files, len(rules), cfg.exclude_paths)
     none = rejected if rejected is not None else files.select("patch_id", F.lit("").alias("reason")).where("false")

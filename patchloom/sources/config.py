@@ -41,7 +41,7 @@ class Config:
     weights: Weights = Weights()
     router: Router = Router()
     marker: str = "patchloom:ignore"
-    redact_across_rules: bool = False
+    redact_across_rules: bool = True
 
 
 #: The fields of each section.

@@ -45,6 +45,24 @@ def base_ref(root: str = ".") -> str:
     return next((t for t in tries if _known(root, t)), "")
 
 
+def repo_root(root: str = ".") -> str:
+    """The top folder of the work tree that holds ``root``; ``root`` itself outside of any."""
+    try:
+        return _git(root, "rev-parse", "--show-toplevel").strip() or root
+    except RuntimeError:
+        return root
+
+
+def described(root: str = ".", base: str = "", head: str = "", staged: bool = False) -> str:
+    """What a comparison is of, in words."""
+    if staged:
+        return "staged changes"
+    if not base:
+        return "changes of the work tree"
+    short = lambda ref: _git(root, "rev-parse", "--short", ref).strip() if _known(root, ref) else ref
+    return f"{base} ({short(base)}) to {head or 'HEAD'} ({short(head or 'HEAD')})"
+
+
 def from_git(spark: SparkSession, root: str = ".", base: str = "", head: str = "", staged: bool = False, context: int = 5) -> DataFrame:
     """One patch of a work tree: staged changes, a range, or the work tree itself."""
     args = ["diff", "--no-color", "--no-ext-diff", "--find-renames", f"-U{context if context > 0 else 5}"]

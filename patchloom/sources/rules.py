@@ -161,6 +161,7 @@ class RuleSet:
     rules: list[Rule]
     by_id: dict[str, Rule]
     overridden: dict[str, list[str]] = field(default_factory=dict)
+    warnings: list[str] = field(default_factory=list)
 
     def __len__(self) -> int:
         return len(self.rules)
@@ -182,6 +183,12 @@ class RuleSet:
         return [replace(r, severity=(severity or {}).get(r.id, r.severity)) for r in chosen]
 
 
+def slow_patterns(r: Rule) -> list[str]:
+    """Patterns of a rule that a backtracking matcher may not finish in reasonable time."""
+    near = r.near or Near()
+    return [p for p in (*r.patterns, *r.exclude_patterns, *near.present, *near.absent) if patterns.nested_repetition(p)]
+
+
 def compile_set(packs: list[list[Rule]]) -> RuleSet:
     """A later pack's rule replaces an earlier one of the same id."""
     by_id: dict[str, Rule] = {}
@@ -193,7 +200,8 @@ def compile_set(packs: list[list[Rule]]) -> RuleSet:
                 overridden.setdefault(r.id, [by_id[r.id].pack]).append(r.pack)
             by_id[r.id] = replace(r, languages=tuple(k.strip().lower() for k in r.languages), file_events=tuple(k.strip().lower() for k in r.file_events))
     live = sorted((r for r in by_id.values() if r.enabled), key=lambda r: (-SEVERITIES[r.severity], r.id))
-    return RuleSet(live, by_id, overridden)
+    slow = [f"rule {r.id!r}: nested repetition may take exponential time: {p}" for r in by_id.values() for p in slow_patterns(r)]
+    return RuleSet(live, by_id, overridden, slow)
 
 
 def parse_pack(text: str, name: str, is_json: bool = False) -> list[Rule]:
