@@ -38,6 +38,14 @@ def _session():
     return spark
 
 
+def _banner() -> str:
+    import platform
+
+    from pyspark import __version__ as engine
+
+    return f"patchloom {__version__} (Spark {engine}, Python {platform.python_version()})\n"
+
+
 def _write(path: str, text: str) -> None:
     if path in ("", "-"):
         sys.stdout.write(text)
@@ -71,18 +79,27 @@ def _analysis(a: argparse.Namespace):
 
     cfg, spark = _config(a), _session()
     chosen = rules.default(list(cfg.rule_paths))
+    note = (lambda text: None) if a.quiet else lambda text: print(f"patchloom: {text}", file=sys.stderr)
+    for slow in chosen.warnings:
+        note(slow)
+    a.source = "standard input" if a.diff == "-" else a.diff
     if a.diff == "-":
         rows = patches.from_texts(spark, {"-": sys.stdin.read()})
     elif a.diff:
         with open(a.diff, encoding="utf-8", errors="replace", newline="") as f:
             rows = patches.from_texts(spark, {a.diff: f.read()})
     else:
-        rows = patches.from_git(spark, a.root, a.base or ("" if a.staged else patches.base_ref(a.root)), a.head, a.staged, a.context)
+        base = a.base or ("" if a.staged else patches.base_ref(a.root))
+        a.source = patches.described(a.root, base, a.head, a.staged)
+        rows = patches.from_git(spark, patches.repo_root(a.root), base, a.head, a.staged, a.context)
+    note(f"{a.source}, {len(chosen)} rules")
     known = baseline.entries(spark, cfg.baseline) if cfg.baseline else None
     return analyse(rows, chosen, cfg, known), rows.first()["patch_id"], cfg, spark
 
 
 def scan(a: argparse.Namespace) -> int:
+    from pyspark.sql import functions as F
+
     from .plans import reports
 
     found, patch_id, cfg, _ = _analysis(a)
@@ -93,7 +110,7 @@ def scan(a: argparse.Namespace) -> int:
         sys.stdout.write("no changes\n")
         return 0
     r = reports.collected(found, patch_id)
-    contract = lambda: json.dumps(json.loads(reports.json_reports(found.findings, found.stats, found.category_scores, found.scores).where(f"patch_id = {patch_id!r}").first()["report"]), indent=2, ensure_ascii=False) + "\n"
+    contract = lambda: json.dumps(json.loads(reports.json_reports(found.findings, found.stats, found.category_scores, found.scores, {"source": a.source}).where(F.col("patch_id") == patch_id).first()["report"]), indent=2, ensure_ascii=False) + "\n"
     forms: dict[str, Callable[[], str]] = {"pretty": lambda: reports.pretty(r, a.color), "markdown": lambda: reports.markdown(r, cfg.router.mention, cfg.marker), "sarif": lambda: reports.sarif(r), "json": contract}
     _write(a.out, forms["markdown" if a.format == "md" else a.format]())
     for path, form in ((a.sarif_out, "sarif"), (a.markdown_out, "markdown"), (a.json_out, "json")):
@@ -127,7 +144,7 @@ def rules_cmd(a: argparse.Namespace) -> int:
     if a.what == "validate":
         own = rules.compile_set([p for path in a.names for p in rules.load_path(path)])
         shipped = rules.default().by_id
-        sys.stdout.write(f"{len(own)} rules\n" + "".join(f"{i} overrides a built-in rule\n" for i in own.ids if i in shipped))
+        sys.stdout.write(f"{len(own)} rules\n" + "".join(f"{i} overrides a built-in rule\n" for i in own.ids if i in shipped) + "".join(f"warning: {w}\n" for w in own.warnings))
         return 0
     known = rules.default(a.rules)
     if a.what == "show":
@@ -170,6 +187,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(flag, default="")
         s.add_argument("--root", default=".")
         s.add_argument("--staged", action="store_true")
+        s.add_argument("--quiet", action="store_true")
         s.add_argument("--context", type=int, default=5)
         s.add_argument("--fail-score", type=float, default=0)
         for flag in ("--only", "--disable", "--rules"):
@@ -199,7 +217,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--root", default=".")
     i.add_argument("--force", action="store_true")
     i.set_defaults(run=init)
-    sub.add_parser("version").set_defaults(run=lambda a: sys.stdout.write(f"patchloom {__version__}\n") * 0)
+    sub.add_parser("version").set_defaults(run=lambda a: sys.stdout.write(_banner()) * 0)
     return p
 
 

@@ -1,11 +1,12 @@
 """The registered queries of the engine, each with its SQL for a second engine.
 
-All run over every document. The SQL is built from the same rules, in the dialect's own regular expressions, and
-shares no expression with the Spark plans.
+All run over every document. The SQL is built from the same rules, whose patterns the second engine reads in their own
+dialect; globs, languages and everything else are written for it apart from the functions that Spark runs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from ..functions.languages import language
 from ..operators import diff, entropy, findings, matching, routing, scoring
 from ..sources import baseline as B
 from ..sources.config import Config
-from ..sources.rules import Rule
-from . import corpus
+from ..sources.rules import Rule, default
+from . import catalogue, corpus
 from .analysis import analyse_changes, described, hits_of, stats_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +49,25 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _glob_body(g: str) -> str:
+    out, k = "", 0
+    while k < len(g):
+        if g.startswith("**/", k):
+            out, k = out + "([^/]+/)*", k + 3
+        elif g.startswith("**", k):
+            out, k = out + ".*", k + 2
+        elif g[k] == "{":
+            end = g.index("}", k)
+            out, k = out + "(" + "|".join(map(_glob_body, g[k + 1 : end].split(","))) + ")", end + 1
+        else:
+            out, k = out + {"*": "[^/]*", "?": "[^/]"}.get(g[k], re.escape(g[k])), k + 1
+    return out
+
+
 def sql_glob(path: str, found: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"regexp_matches({path}, {q('(?i)' + globs.to_java(g).removeprefix('(?iu)(?d)'))})" for g in found) + ")" if found else "false"
+    """Globs read character by character for the second engine; a glob without a slash holds at any depth."""
+    whole = lambda g: "(?i)^" + ("" if "/" in g else "(.*/)?") + _glob_body(g) + "$"
+    return "(" + " OR ".join(f"regexp_matches({path}, {q(whole(g))})" for g in found) + ")" if found else "false"
 
 
 def sql_any(text: str, found: tuple[str, ...]) -> str:
@@ -60,17 +78,17 @@ def sql_match(text: str, found: tuple[str, ...]) -> str:
     return "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, {q(p)}, 0), '')" for p in found) + ")"
 
 
-def sql_path(r: Rule) -> str:
+def sql_path(r: Rule, lang: str = LANG) -> str:
     out = f"NOT {sql_glob('path', r.exclude_paths)}"
     if r.languages:
-        out += f" AND {LANG} IN ({', '.join(map(q, r.languages))})"
+        out += f" AND {lang} IN ({', '.join(map(q, r.languages))})"
     return out + (f" AND {sql_glob('path', r.paths)}" if r.paths else "")
 
 
-def sql_hits(r: Rule, source: str = "ln") -> str:
+def sql_hits(r: Rule, source: str = "ln", lang: str = LANG, order: int | None = None) -> str:
     """The lines that a line rule matches, with its number and the match."""
     kinds = {"added": "('added')", "removed": "('removed')", "any": "('added', 'removed')"}[r.trigger]
-    where = f"kind IN {kinds} AND trim(text) <> '' AND {sql_any('text', r.patterns)} AND {sql_path(r)}"
+    where = f"kind IN {kinds} AND trim(text) <> '' AND {sql_any('text', r.patterns)} AND {sql_path(r, lang)}"
     if r.exclude_patterns:
         where += f" AND NOT {sql_any('text', r.exclude_patterns)}"
     extra = ""
@@ -83,7 +101,7 @@ def sql_hits(r: Rule, source: str = "ln") -> str:
                 extra += f", {inner} AS near_{side}"
                 where += f" AND {'NOT ' * (side == 'a')}near_{side}"
     columns = "patch_id, file_idx, hunk_idx, line_idx, path, kind, text, prev_text, section, old_line, new_line, anchor_line"
-    return f"SELECT {columns}, {IDS.index(r.id)} AS rule_ord, {q(r.id)} AS rule_id, {sql_match('text', r.patterns)} AS match FROM (SELECT *{extra} FROM {source}) WHERE {where}"
+    return f"SELECT {columns}, {IDS.index(r.id) if order is None else order} AS rule_ord, {q(r.id)} AS rule_id, {sql_match('text', r.patterns)} AS match FROM (SELECT *{extra} FROM {source}) WHERE {where}"
 
 
 _LINE_RULES = [r for r in RULES if r.trigger != "file"]
@@ -91,15 +109,21 @@ _FILE_RULES = [r for r in RULES if r.trigger == "file"]
 _META = ", ".join(f"({k}, {q(r.id)}, {q(r.category)}, {q(r.severity)}, {q(r.confidence)}, {q(r.trigger)}, {str(r.redact).lower()}, {q(r.title)})" for k, r in enumerate(RULES))
 _NOTED = f"contains({{}}, {q(T.MARKER)})"
 _FINGERPRINT = "substr(sha256(rule_id || chr(0) || path || chr(0) || regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+', ' ', 'g')), 1, 16)"
-#: hits: every match; dd: without repeats of a fingerprint and line; fd: folded; sc: with scores.
-SQL_HITS = f"""
+
+
+def sql_findings(files: bool = True, more: str = "", meta: str = "") -> str:
+    """hits: every match; dd: without repeats of a fingerprint and line; fd: folded; sc: with scores."""
+    whole = " UNION ALL ".join(
+        f"SELECT patch_id, file_idx, 0, 0, path, path AS text, CASE WHEN status = 'deleted' THEN 0 ELSE 1 END, {IDS.index(r.id)}, {q(r.id)}, '', false FROM fl WHERE {sql_path(r)} AND status IN ({', '.join(map(q, r.file_events))})"
+        for r in _FILE_RULES
+    )
+    return f"""
 hl AS ({' UNION ALL '.join(sql_hits(r) for r in _LINE_RULES)}),
 hits AS (SELECT patch_id, file_idx, hunk_idx, line_idx, path, text, anchor_line AS line, rule_ord, rule_id, match,
-    ({_NOTED.format('text')} OR {_NOTED.format("coalesce(prev_text, '')")}) AS suppressed FROM hl
-  UNION ALL {' UNION ALL '.join(f"SELECT patch_id, file_idx, 0, 0, path, path AS text, CASE WHEN status = 'deleted' THEN 0 ELSE 1 END, {IDS.index(r.id)}, {q(r.id)}, '', false FROM fl WHERE {sql_path(r)} AND status IN ({', '.join(map(q, r.file_events))})" for r in _FILE_RULES)}),
+    ({_NOTED.format('text')} OR {_NOTED.format("coalesce(prev_text, '')")}) AS suppressed FROM hl {'UNION ALL ' * files + whole * files} {more}),
 fp AS (SELECT *, {_FINGERPRINT} AS fingerprint FROM hits),
 dd AS (SELECT * FROM fp QUALIFY row_number() OVER (PARTITION BY patch_id, fingerprint, line ORDER BY file_idx, rule_ord, hunk_idx, line_idx) = 1),
-meta AS (SELECT * FROM (VALUES {_META}) m(rule_ord, rid, category, severity, confidence, trigger, redact, title)),
+meta AS (SELECT * FROM (VALUES {_META}{meta}) m(rule_ord, rid, category, severity, confidence, trigger, redact, title)),
 fd AS (SELECT patch_id, rule_id, path AS file, suppressed, rule_ord, list(line ORDER BY file_idx, rule_ord, hunk_idx, line_idx) AS all_lines,
   list(fingerprint ORDER BY file_idx, rule_ord, hunk_idx, line_idx) AS prints, count(*) AS occurrences FROM dd GROUP BY ALL),
 sc AS (SELECT fd.*, all_lines[1] AS line, prints[1] AS fingerprint, category, severity, confidence, trigger, title,
@@ -107,6 +131,9 @@ sc AS (SELECT fd.*, all_lines[1] AS line, prints[1] AS fingerprint, category, se
     * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 ELSE 0.45 END * CASE trigger WHEN 'removed' THEN 1.3 ELSE 1.0 END * 10.0) / 10.0 AS score
   FROM fd JOIN meta USING (rule_ord))
 """
+
+
+SQL_HITS = sql_findings()
 ALL = f"WITH RECURSIVE {corpus.SQL}, {SQL_HITS}"
 LINES = f"WITH {corpus.SQL}"
 
@@ -116,7 +143,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str, rules: list[Rule] = RULES) -> DataFrame:
-    return hits_of(corpus.files(spark, sf_dir), corpus.lines(spark, sf_dir), rules, Config(), False)
+    return hits_of(corpus.files(spark, sf_dir), corpus.lines(spark, sf_dir), rules, Config())
 
 
 def _folded(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> DataFrame:
@@ -328,7 +355,7 @@ def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOTALS = f"""tt AS (SELECT patch_id, round(sum(score), 1) AS raw, max(score) AS lead, max({SEVERITY_RANK.format('severity')}) AS worst_rank, count(*) AS n FROM sc WHERE NOT suppressed GROUP BY patch_id),
 st AS (SELECT patch_id, count(*) AS files, sum(additions + deletions) AS changed FROM fl GROUP BY patch_id),
-sg AS (SELECT patch_id, coalesce(raw, 0) AS raw, coalesce(worst_rank, 0) AS worst_rank, coalesce(n, 0) AS n, 15.0 * (1 - exp(-(files / 25.0 + changed / 800.0))) AS blast,
+sg AS (SELECT patch_id, files, changed, coalesce(raw, 0) AS raw, coalesce(worst_rank, 0) AS worst_rank, coalesce(n, 0) AS n, 15.0 * (1 - exp(-(files / 25.0 + changed / 800.0))) AS blast,
   CASE WHEN n > 0 THEN 85.0 * (1 - exp(-lead / 38.0)) + (85.0 - 85.0 * (1 - exp(-lead / 38.0))) * (1 - exp(-(raw - lead) / 70.0)) ELSE 0 END AS signals FROM st LEFT JOIN tt USING (patch_id)),
 ps AS (SELECT *, least(100.0, signals + blast) AS exact FROM sg)"""
 _R1 = "round({} * 10) / 10"
@@ -424,14 +451,29 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("patch_id", "rule_id", "level", F.col("file").alias("uri"), F.col("line").alias("start_line"), "fingerprint", "suppression", F.col("result_order").cast("long").alias("result_order"))
 
 
-@query()
+_FIRST = f"SELECT patch_id, arg_min(rule_id, k) AS first_rule, arg_min(file, k) AS first_file, arg_min(fingerprint, k) AS first_print FROM (SELECT *, (-{SEVERITY_RANK.format('severity')}, CASE confidence WHEN 'high' THEN -3 WHEN 'medium' THEN -2 ELSE -1 END, file, line, rule_id) AS k FROM sc WHERE NOT suppressed) GROUP BY patch_id"
+
+
+@query(
+    f"{ALL}, {_TOTALS}, f1 AS ({_FIRST}), hs AS (SELECT patch_id, count(*) AS n FROM sc WHERE suppressed GROUP BY patch_id), hi AS (SELECT patch_id, count(*) AS n FROM sc WHERE NOT suppressed AND severity = 'high' GROUP BY patch_id), "
+    f"cs AS (SELECT patch_id, category, sum(score) AS score FROM sc WHERE NOT suppressed GROUP BY ALL), c1 AS (SELECT patch_id, arg_min(category, (-round(score, 1), category)) AS worst_category FROM cs GROUP BY patch_id) "
+    f"SELECT ps.patch_id, {_R1.format('exact')} AS total, ps.files AS files_changed, ps.n AS findings, coalesce(hs.n, 0) AS ignored, coalesce(hi.n, 0) AS high, worst_category, first_rule, first_file, first_print "
+    "FROM ps LEFT JOIN f1 USING (patch_id) LEFT JOIN hs USING (patch_id) LEFT JOIN hi USING (patch_id) LEFT JOIN c1 USING (patch_id)"
+)
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON report for each patch."""
+    """A JSON report for each patch, and what a reader finds in it."""
     from .reports import json_reports
 
     rows = scoring.scored(routing.routed(_folded(spark, sf_dir), _ROUTER))
     stats = stats_of(corpus.files(spark, sf_dir), len(RULES))
-    return json_reports(rows, stats, scoring.category_scores(rows), scoring.patch_scores(rows, stats))
+    said = json_reports(rows, stats, scoring.category_scores(rows), scoring.patch_scores(rows, stats))
+    of = lambda path: F.get_json_object("report", "$." + path)
+    n = lambda path: F.coalesce(of(path).cast("long"), F.lit(0))
+    return said.select(
+        "patch_id", of("score.total").cast("double").alias("total"), n("stats.files_changed").alias("files_changed"), n("summary.total").alias("findings"), n("summary.suppressed").alias("ignored"),
+        n("summary.by_severity.high").alias("high"), of("score.categories[0].category").alias("worst_category"), of("findings[0].rule_id").alias("first_rule"), of("findings[0].file").alias("first_file"),
+        of("findings[0].fingerprint").alias("first_print"),
+    )
 
 
 def as_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,18 +490,142 @@ def as_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(F.col("patch_id").cast("string").alias("patch_id"), F.array_join(F.transform("fs", lambda x: x["f"]), "\n").alias("text"))
 
 
-@query(f"{LINES} SELECT patch_id::VARCHAR AS patch_id, file_idx, hunk_idx, line_idx, kind, path, trim(section) AS section, old_line, new_line, anchor_line FROM ln WHERE NOT regexp_matches(text, '^[ ]?$') OR true")
+@query(f"{LINES} SELECT patch_id::VARCHAR AS patch_id, file_idx, hunk_idx, line_idx, kind, path, trim(section) AS section, old_line, new_line, anchor_line FROM ln")
 def diff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the changes as diffs, parse them again, and get the relation that they were written from."""
     parsed = diff.parse(as_patches(spark, sf_dir))
     return parsed.lines.select(*KEY, "kind", "path", "section", "old_line", "new_line", "anchor_line")
 
 
-@query()
+_RE2 = lambda p: q(p.replace("(?iu)", "(?i)"))
+_MET = q(entropy.ASSIGNMENT)
+_ENTROPY_SQL = f"""ev AS (SELECT *, regexp_extract(text, {_MET}, 1) AS name, coalesce(nullif(regexp_extract(text, {_MET}, 2), ''), nullif(regexp_extract(text, {_MET}, 3), ''),
+  nullif(regexp_extract(text, {_MET}, 4), ''), nullif(regexp_extract(text, {_MET}, 5), '')) AS value FROM ln WHERE kind = 'added' AND regexp_matches(text, {_MET})),
+eb AS (SELECT * EXCLUDE (h), -list_sum(list_transform(map_values(h), lambda c: (c / strlen(value)) * log2(c / strlen(value)))) AS bits FROM
+  (SELECT *, (SELECT histogram(b) FROM (SELECT substr(hex(value), 2 * k + 1, 2) AS b FROM (SELECT unnest(range(strlen(value))) AS k))) AS h FROM ev
+  WHERE strlen(value) >= 20 AND regexp_matches(name, {_RE2(entropy.NAMES)}) AND NOT regexp_matches(value, {_RE2(entropy.PLACEHOLDERS)}) AND NOT regexp_matches(value, {_RE2(entropy.STRUCTURAL)})
+  AND strlen(value) - strlen(replace(value, '/', '')) <= 2)),
+eh AS (SELECT *, regexp_matches(value, '[a-z]')::INT + regexp_matches(value, '[A-Z]')::INT + regexp_matches(value, '[0-9]')::INT + regexp_matches(value, '[^a-zA-Z0-9]')::INT AS kinds FROM eb WHERE bits >= 3.6)"""
+_ENTROPY_HITS = f"UNION ALL SELECT patch_id, file_idx, hunk_idx, line_idx, path, text, new_line, {len(RULES)}, {q(entropy.RULE.id)}, value, ({_NOTED.format('text')} OR {_NOTED.format(chr(99) + 'oalesce(prev_text, ' + chr(39) * 2 + ')')}) FROM eh WHERE kinds >= 3 OR (kinds = 2 AND strlen(value) >= 32)"
+_ENTROPY_META = f", ({len(RULES)}, {q(entropy.RULE.id)}, 'secrets', 'high', 'low', 'added', true, '')"
+
+
+@query(
+    f"WITH RECURSIVE {corpus.SQL}, {_ENTROPY_SQL}, {sql_findings(False, _ENTROPY_HITS, _ENTROPY_META)}, {_TOTALS} SELECT patch_id::VARCHAR AS patch_id, files AS files_changed, changed AS lines_changed, n AS findings, raw, "
+    f"{_R1.format('signals')} AS signals, {_R1.format('blast')} AS blast_radius, {_R1.format('exact')} AS total, "
+    "CASE WHEN exact >= 75 THEN 'critical' WHEN exact >= 45 THEN 'high' WHEN exact >= 20 THEN 'medium' WHEN exact >= 5 THEN 'low' ELSE 'minimal' END AS band FROM ps"
+)
 def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diffs in, a score per patch out, with the corpus rules and the entropy detector."""
+    """Diffs in, a score per patch out, with the corpus rules and the entropy detector. Every file is a modified one."""
     parsed = diff.parse(as_patches(spark, sf_dir))
-    return analyse_changes(parsed.files, parsed.lines, corpus.rules()).scores.drop("languages")
+    scores = analyse_changes(parsed.files, parsed.lines, corpus.rules()).scores
+    return scores.select(
+        "patch_id", F.col("files_changed").cast("long").alias("files_changed"), (F.col("additions") + F.col("deletions")).cast("long").alias("lines_changed"), F.col("n_findings").alias("findings"),
+        "raw", "signals", "blast_radius", "total", "band",
+    )
+
+
+BUILTIN = default().rules
+_BUILTIN_LINE_RULES = [(k, r) for k, r in enumerate(BUILTIN) if r.trigger != "file"]
+
+
+def _named(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("rule_id", F.element_at(F.array(*[F.lit(r.id) for r in BUILTIN]), F.col("rule_ord") + 1))
+
+
+_CASE_ROWS = ", ".join(f"({n}, {q(path)}, {q(kind)}, {q(text)})" for n, path, kind, text, _ in catalogue.cases(BUILTIN))
+_CASE_LANG = "CASE path " + " ".join(f"WHEN {q(p)} THEN {q(lang)}" for p, lang in catalogue.LANGUAGE.items()) + " END"
+
+
+@query(
+    f"WITH cs AS MATERIALIZED (SELECT 'cases' AS patch_id, *, 1 AS hunk_idx, 1 AS line_idx, '' AS section, 0 AS old_line, 0 AS new_line, 1 AS anchor_line, NULL::VARCHAR AS prev_text FROM (VALUES {_CASE_ROWS}) v(file_idx, path, kind, text)), "
+    f"h AS ({' UNION ALL '.join(sql_hits(r, 'cs', _CASE_LANG, k) for k, r in _BUILTIN_LINE_RULES)}) SELECT file_idx, rule_id, match FROM h"
+)
+def catalogue_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line rule of the packs over lines written for each of them."""
+    return _named(matching.line_hits(catalogue.lines(spark, BUILTIN), BUILTIN)).select("file_idx", "rule_id", "match")
+
+
+@query(
+    f"{LINES}, lm AS MATERIALIZED (SELECT * FROM ln), h AS ({' UNION ALL '.join(sql_hits(r, 'lm', LANG, k) for k, r in _BUILTIN_LINE_RULES)}) SELECT patch_id, file_idx, hunk_idx, line_idx, rule_id, match FROM h"
+)
+def catalogue_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line rule of the packs over the lines of all documents."""
+    return _named(matching.line_hits(_lines(spark, sf_dir), BUILTIN)).select(*KEY, "rule_id", "match")
+
+
+@query(f"{ALL} SELECT patch_id, rule_id, count(*) AS n, (SELECT count(*) FROM fl WHERE fl.patch_id = hits.patch_id AND {sql_glob('fl.path', _GLOBS)}) AS files_skipped FROM hits WHERE NOT {sql_glob('path', _GLOBS)} GROUP BY ALL")
+def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by rule and the files left out, with globs that exclude some paths."""
+    files = corpus.files(spark, sf_dir)
+    hits = hits_of(files, _lines(spark, sf_dir), RULES, Config(exclude_paths=_GLOBS)).groupBy("patch_id", "rule_id").agg(F.count("*").alias("n"))
+    stats = stats_of(files, len(RULES), _GLOBS).select("patch_id", F.col("files_skipped").cast("long").alias("files_skipped"))
+    return hits.join(stats, "patch_id").select("patch_id", "rule_id", "n", "files_skipped")
+
+
+_WEIGHTS = scoring.Weights({"critical": 50.0, "low": 6.0}, 1.5, 50.0, 30.0, 20.0, {"critical": 80.0})
+
+
+def _reweighted(sql: str) -> str:
+    for old, new in (("'critical' THEN 40.0", "'critical' THEN 50.0"), ("'low' THEN 4.0", "'low' THEN 6.0"), ("THEN 1.3 ELSE", "THEN 1.5 ELSE"), ("85.0", "80.0"), ("15.0 *", "20.0 *"), ("/ 38.0", "/ 30.0"), ("/ 70.0", "/ 50.0"), (">= 75", ">= 80")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(_reweighted(SQL["patch_score"]))
+def weight_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of patches with every weight changed."""
+    rows = _folded(spark, sf_dir, Config(weights=_WEIGHTS))
+    stats = stats_of(corpus.files(spark, sf_dir), len(RULES))
+    return scoring.patch_scores(rows, stats, _WEIGHTS).select("patch_id", "raw", "signals", "blast_radius", "total", "band")
+
+
+_NOTES = [f"# {T.MARKER}[a.b, c.*] why", f"// {T.MARKER} a.b -- because", f"# {T.MARKER} a.b because", f"/* {T.MARKER} reason only */", f"# {T.MARKER}", f"# {T.MARKER}[a.b not closed"]
+_SAID = [("a.b c.*", "false", "why"), ("a.b", "false", "because"), ("a.b", "false", "because"), ("", "true", "reason only"), ("", "true", ""), (None, None, None)]
+_PICK = lambda k: "CASE line_idx % 6 " + " ".join(f"WHEN {n} THEN {'NULL' if x[k] is None else q(x[k])}" for n, x in enumerate(_SAID)) + " END"
+
+
+@query(f"{LINES} SELECT patch_id, file_idx, hunk_idx, line_idx, {_PICK(0)} AS ids, {_PICK(1)} AS every, {_PICK(2)} AS reason FROM ln")
+def suppression_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each form of a suppression note, read from lines that end in it."""
+    notes = F.element_at(F.array(*map(F.lit, _NOTES)), F.col("line_idx") % 6 + 1)
+    note = T.suppression(F.concat(F.substring(F.md5("text"), 1, 6), F.lit(" = 1 "), notes))
+    rows = _lines(spark, sf_dir).select(*KEY, note.alias("note"))
+    return rows.select(*KEY, F.array_join("note.ids", " ").alias("ids"), F.col("note.every").cast("string").alias("every"), F.col("note.reason").alias("reason"))
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch for each document, of one of six kinds of file headers."""
+    one, two, p = F.substring(F.md5("text"), 1, 8), F.substring(F.md5("text"), 9, 8), F.col("path")
+    body = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("\n"))
+    kinds = [
+        body("diff --git a/", p, " b/", p, "\nnew file mode 100644\nindex 000..1\n--- /dev/null\n+++ b/", p, "\n@@ -0,0 +1,2 @@\n+", one, "\n+", two),
+        body("diff --git a/", p, " b/", p, "\ndeleted file mode 100755\n--- a/", p, "\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-", one, "\n-", two),
+        body("diff --git a/", p, " b/", p, ".new\nsimilarity index 90%\nrename from ", p, "\nrename to ", p, ".new\n--- a/", p, "\n+++ b/", p, ".new\n@@ -1 +1 @@\n-", one, "\n+", two),
+        body("diff --git a/", p, " b/", p, "\nBinary files a/", p, " and b/", p, " differ"),
+        body("diff --git a/", p, " b/", p, "\nold mode 100644\nnew mode 100755"),
+        body('diff --git "a/caf\\303\\251/', p, '" "b/caf\\303\\251/', p, '"\n--- "a/caf\\303\\251/', p, '"\t2024-01-01\n+++ "b/caf\\303\\251/', p, '"\n@@ -1 +1 @@\n-', one, "\n+", two),
+    ]
+    docs = corpus._keys(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("text is not null")
+    return docs.select(F.col("doc_id").cast("string").alias("patch_id"), F.element_at(F.array(*kinds), (F.col("doc_id") % 6 + 1).cast("int")).alias("text"))
+
+
+@query(
+    f"WITH {corpus.SQL} SELECT doc_id::VARCHAR AS patch_id, CASE doc_id % 6 WHEN 2 THEN path || '.new' WHEN 5 THEN 'café/' || path ELSE path END AS path, CASE doc_id % 6 WHEN 2 THEN path ELSE '' END AS old_path, "
+    "CASE doc_id % 6 WHEN 0 THEN 'created' WHEN 1 THEN 'deleted' WHEN 2 THEN 'renamed' ELSE 'modified' END AS status, doc_id % 6 = 3 AS \"binary\", CASE doc_id % 6 WHEN 1 THEN '100755' WHEN 4 THEN '100644' ELSE '' END AS old_mode, "
+    "CASE doc_id % 6 WHEN 0 THEN '100644' WHEN 4 THEN '100755' ELSE '' END AS new_mode, CASE doc_id % 6 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 5 THEN 1 ELSE 0 END::BIGINT AS additions, "
+    "CASE doc_id % 6 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 5 THEN 1 ELSE 0 END::BIGINT AS deletions FROM src"
+)
+def file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Created, deleted, renamed, binary, re-moded and quoted files, parsed."""
+    return diff.parse(_states(spark, sf_dir)).files.select("patch_id", "path", "old_path", "status", "binary", "old_mode", "new_mode", "additions", "deletions")
+
+
+@query(f"{LINES} SELECT patch_id, file_idx, hunk_idx, line_idx, CASE WHEN strlen(s) > 80 THEN s[1 : 77] || '...' ELSE s END AS section FROM (SELECT *, trim('fn ' || md5(text) || md5(path) || repeat('x', line_idx)) AS s FROM ln)")
+def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of hunks as findings show them."""
+    heading = F.concat(F.lit(" fn "), F.md5("text"), F.md5("path"), F.repeat(F.lit("x"), F.col("line_idx")), F.lit("\t"))
+    return _lines(spark, sf_dir).select(*KEY, T.cleaned_section(heading).alias("section"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

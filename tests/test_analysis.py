@@ -126,3 +126,92 @@ def test_redaction_across_rules(spark):
     cfg = Config(entropy=dataclasses.replace(Config().entropy, enabled=False), redact_across_rules=True, only=("t.any", "t.pass"))
     rows = analyse(from_texts(spark, {"p": PATCH}), rs, cfg).findings.collect()
     assert len(rows) == 2 and not any("hunter2secret" in r["snippet"] for r in rows)
+
+
+def test_two_secrets_of_a_line(spark):
+    """Every secret that a redacting rule found on a line is masked in all findings of it, in every report."""
+    pack = """
+rules:
+  - {id: t.a, title: a, category: secrets, severity: high, on: added, redact: true, patterns: ['AAAA1+22+'], question: q}
+  - {id: t.b, title: b, category: secrets, severity: high, on: added, redact: true, patterns: ['BBBB3+44+'], question: q}
+  - {id: t.c, title: c, category: tampering, severity: low, on: added, patterns: ['k AAAA\\w+'], question: q}
+"""
+    rs = R.compile_set([R.parse_pack(pack, "t")])
+    found = analyse(from_texts(spark, {"p": "diff --git a/x b/x\n@@ -1 +1 @@\n+k AAAA11112222 BBBB33334444\n"}), rs, Config(entropy=dataclasses.replace(Config().entropy, enabled=False)))
+    r = reports.collected(found, "p")
+    texts = [reports.markdown(r), reports.pretty(r), reports.sarif(r), reports.json_reports(found.findings, found.stats, found.category_scores, found.scores).first()["report"], str(found.findings.collect())]
+    assert len(r["findings"]) == 3 and not any("11112222" in t or "33334444" in t for t in texts)
+
+
+def test_colors_formats_and_fences(found):
+    r = reports.collected(found, "p")
+    assert "\x1b[" not in reports.pretty(r, False) and "\x1b[" in reports.pretty(r, True)
+    assert json.loads(reports.sarif(reports.collected(found, "q")))["runs"][0]["results"] == []
+
+
+def test_weights(spark):
+    w = scoring.Weights({"critical": 50.0}, 2.0, 0, -1, 20.0, {"critical": 90.0})
+    row = spark.createDataFrame([("critical", "high", "removed")], "severity string, confidence string, trigger string")
+    assert scoring.scored(row, w).first()["score"] == 100 and w.get("saturation") == 70 and w.get("lead_scale") == 38 and w.get("blast_radius_weight") == 20
+
+
+def test_detectors(spark, ruleset):
+    """A function from lines to hits is a rule like any other."""
+    from pyspark.sql import functions as F
+
+    from patchloom.operators import detectors
+
+    rule = R.Rule(id="t.long-line", title="long", category="tampering", severity="medium", on="added", patterns=(".",), question="why?")
+    longest = lambda lines, cfg: lines.where("kind = 'added' and length(text) > 40").withColumns({"match": F.substring("text", 1, 5), "line": F.col("new_line"), "title_of": F.lit(None).cast("string")})
+    detectors.register(detectors.Detector(rule, longest))
+    try:
+        rows = analyse(from_texts(spark, {"p": PATCH}), ruleset, Config()).findings.where("rule_id = 't.long-line'").collect()
+        assert [(r["line"], r["match"], r["title"], r["score"]) for r in rows] == [(10, "md5(d", "long", 7.0)]
+        assert analyse(from_texts(spark, {"p": PATCH}), ruleset, Config(disable=("t.long-line",))).findings.where("rule_id = 't.long-line'").count() == 0
+    finally:
+        detectors.unregister("t.long-line")
+
+
+def test_sample_patch(spark):
+    """A change with a hole of every kind: what the shipped rules say of it, and its score."""
+    patch = """diff --git a/api/orders.py b/api/orders.py
+--- a/api/orders.py
++++ b/api/orders.py
+@@ -1,4 +1,6 @@ class Orders:
+ import flask
+-@login_required
++DEFAULT_PASSWORD = "changeme9"
++subprocess.run(cmd, shell=True)
++x = pickle.loads(body)
+ def get(): pass
+diff --git a/infra/a.tf b/infra/a.tf
+--- a/infra/a.tf
++++ b/infra/a.tf
+@@ -1 +1 @@
+-cidr_blocks = ["10.0.0.0/8"]
++cidr_blocks = ["0.0.0.0/0"]
+"""
+    a = analyse(from_texts(spark, {"p": patch}), R.default(), Config())
+    got = {r["rule_id"]: r["line"] for r in a.findings.collect()}
+    assert got == {
+        "control.authz-annotation-removed": 1, "authn.default-or-hardcoded-credentials": 2, "injection.os-command": 3, "injection.unsafe-deserialization": 4, "iac.network-open-to-world": 1,
+    }
+    assert a.scores.first()["band"] == "critical" and a.scores.first()["total"] > 80
+
+
+def test_every_rule_finds_its_lines(spark):
+    """Each rule of the packs finds the lines written for it and passes over their neighbours."""
+    from patchloom.operators import matching
+    from patchloom.plans import catalogue
+
+    rules = R.default().rules
+    hits = {(r["file_idx"], rules[r["rule_ord"]].id) for r in matching.line_hits(catalogue.lines(spark, rules), rules).select("file_idx", "rule_ord").collect()}
+    wrong = []
+    order = {}
+    for rid, (_, yes, no) in catalogue.CASES.items():
+        for k in range(len(yes) + len(no)):
+            order[len(order)] = (rid, k < len(yes), [*yes, *no][k])
+    wrong = [x for n, x in order.items() if ((n, x[0]) in hits) != x[1]]
+    assert not wrong
+    line_rules = {r.id for r in rules if r.trigger != "file"}
+    assert line_rules - set(catalogue.CASES) == {"secret.cloud-provider-credential", "secret.service-token"}

@@ -6,7 +6,7 @@ from patchloom.plans import queries as Q
 
 FAST = [
     "changed_lines", "line_numbering", "anchor_lines", "file_totals", "language_counts", "path_glob_filter", "trigger_filter", "rule_match_first", "near_absent_hunk", "near_file_scope", "file_event_rule", "rule_hits",
-    "entropy_findings", "fingerprints", "truncate_snippet", "baseline_suppression", "fold_repeats", "patch_score", "codeowners_last_match", "sarif_results", "diff_parse",
+    "entropy_findings", "fingerprints", "truncate_snippet", "baseline_suppression", "fold_repeats", "patch_score", "catalogue_cases", "suppression_forms", "file_states", "section_headings", "excluded_paths", "weight_overrides", "report_json", "codeowners_last_match", "sarif_results", "diff_parse",
 ]
 
 

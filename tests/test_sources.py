@@ -69,3 +69,24 @@ def test_config(tmp_path):
     for bad in ({"version": 2}, {"nope": 1}, {"rules": {"nope": 1}}, {"exclude_paths": "x"}, {"fail_score": "x"}):
         with pytest.raises(config.ConfigError):
             config.from_dict(bad)
+
+
+def test_slow_patterns_are_told():
+    pack = "rules:\n  - {id: t.x, title: x, category: tampering, severity: low, on: added, patterns: ['(a+)+b'], question: q}\n"
+    assert rules.compile_set([rules.parse_pack(pack, "t")]).warnings and not rules.default().warnings
+
+
+def test_git_sources(tmp_path):
+    import subprocess
+
+    from patchloom.sources import patches
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    for k in range(2):
+        (tmp_path / "f").write_text(f"{k}\n")
+        run("add", "f")
+        run("commit", "-q", "-m", str(k))
+    (tmp_path / "sub").mkdir()
+    assert patches.base_ref(str(tmp_path)) == "main" and patches.repo_root(str(tmp_path / "sub")).endswith(tmp_path.name)
+    assert patches.described(str(tmp_path), "HEAD~1").startswith("HEAD~1 (") and patches.described(staged=True) == "staged changes" and patches.described() == "changes of the work tree"
