@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from functools import partial
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a job whose result is written are of no more use.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset, as in local tests."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder, for local masters only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder; executors of a cluster need a shared one")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="patchloom-")
@@ -20,20 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001 - the session has ended; its folder goes with it
+        _delete(spark, path)
+    except (Py4JError, OSError, AttributeError):  # the session has ended before
         pass
 
 
 class Scratch:
-    """A folder of tables of one run. Each is cut from its lineage and survives lost executors."""
+    """A folder of tables of one run. Each is cut from its lineage and survives lost executors.
+
+    Tables that no later step reads are dropped on the way; :meth:`close` deletes the rest once the caller is done
+    with the result, and the end of the program does otherwise.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        atexit.register(_delete, spark, self.at)
+        self._end = atexit.register(partial(_at_exit, spark, self.at))
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -41,11 +56,22 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         at = self.path(name)
-        df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, df: DataFrame) -> None:
-        """Free a kept table that no later step reads."""
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if f.startswith(("file:", "hdfs:")) or "://" in f:
-                _delete(self.spark, f)
+        before = self.spark.conf.get(_FREE)
+        self.spark.conf.set(_FREE, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            self.spark.conf.set(_FREE, before)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        out.kept_at = at
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Free kept tables that no later step reads."""
+        for table in tables:
+            if table is not None:
+                _delete(self.spark, table.kept_at)
+
+    def close(self) -> None:
+        _delete(self.spark, self.at)
+        atexit.unregister(self._end)
