@@ -1,8 +1,9 @@
 """Vectorised text primitives over Arrow string arrays.
 
-Texts are handled as flat UTF-8 buffers in slices of about a megabyte (one longer text makes a slice of
-its own), so the memory that a task needs follows the longest text and not the batch or the partition.
-Hashes are 64 bits wide and seeded; equal byte strings always get equal hashes on every executor.
+Texts are handled as flat UTF-8 buffers in slices of about a quarter of a megabyte (one longer text makes a slice
+of its own), so the memory that a task needs follows the longest text and not the batch or the partition. Inside a
+long text bytes are judged and hashed in blocks: beside the text itself, its words' bounds and hashes are held, 24
+bytes a word. Hashes are 64 bits wide and seeded; equal byte strings always get equal hashes on every executor.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes that are judged or hashed at once.
+BLOCK = 1 << 18
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 3
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
-_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+_UP = np.cumprod(np.concatenate([np.ones(1, U64), np.full(BLOCK - 1, _BASE, U64)]), dtype=U64)
+_DOWN = np.cumprod(np.concatenate([np.ones(1, U64), np.full(BLOCK - 1, _BASE_INV, U64)]), dtype=U64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -32,15 +36,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        steps = np.full(size, _BASE if kind == "up" else _BASE_INV, U64)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps, dtype=U64)
-    return _powers[kind][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that near inputs get far outputs."""
     x = x ^ (x >> U64(33))
@@ -51,26 +46,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _offsets(texts: pa.Array) -> np.ndarray:
+    """The n + 1 places in the body where texts begin and end."""
+    if not len(texts):
+        return np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    return np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the n + 1 offsets into them; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if not len(texts):
-        return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    body = texts.buffers()[2]
+    if texts.null_count:
+        texts = texts.fill_null("")
+    off, body = _offsets(texts).astype(np.int64), texts.buffers()[2] if len(texts) else None
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.empty(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets) of runs of texts of at most ``limit`` bytes, or of one longer text."""
-    data, off = buffers(texts)
-    a, n = 0, len(off) - 1
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    off = _offsets(texts)
+    a, n = 0, len(texts)
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
-        yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
+        b = max(a + 1, int(np.searchsorted(off, int(off[a]) + limit, "right")) - 1)
+        yield a, b, *buffers(texts.slice(a, b - a))
         a = b
 
 
@@ -92,15 +95,30 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by differences of one polynomial prefix sum."""
-    if not len(start):
-        return np.empty(0, U64)
-    up, down = _power("up", len(data)), _power("down", len(data))
+def _raw(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial of each span inside one block, by differences of one prefix sum."""
     prefix = np.empty(len(data) + 1, U64)
     prefix[0] = 0
-    np.cumsum(_BYTE[data] * up, out=prefix[1:])
-    raw = (prefix[end] - prefix[start]) * down[np.minimum(start, len(data) - 1)]
+    np.cumsum(_BYTE[data] * _UP[: len(data)], out=prefix[1:])
+    return (prefix[end] - prefix[start]) * _DOWN[np.minimum(start, len(data) - 1)]
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span. Spans are in order and do not overlap; powers start anew in every block."""
+    raw, k = np.empty(len(start), U64), 0
+    while k < len(start):
+        a = int(start[k])
+        stop = max(k + 1, int(np.searchsorted(end, a + BLOCK, "right")))
+        b = int(end[stop - 1])
+        if b - a <= BLOCK:
+            raw[k:stop] = _raw(data[a:b], start[k:stop] - a, end[k:stop] - a)
+        else:  # one span longer than a block: its pieces, moved to their places
+            total = 0
+            for c in range(a, b, BLOCK):
+                piece = data[c : min(b, c + BLOCK)]
+                total += int((_BYTE[piece] * _UP[: len(piece)]).sum(dtype=U64)) * pow(_BASE, c - a, 1 << 64)
+            raw[k] = total & (1 << 64) - 1
+        k = stop
     return mix(raw + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
@@ -108,17 +126,27 @@ def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray = SPACED, lower: b
     """Split every text into maximal runs of ``kind`` bytes; A-Z become a-z first unless told otherwise."""
     if lower:
         data = LOWER[data]
-    inside = kind[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[off] = True
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | edge[1 : len(data)]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | edge[1 : len(data)]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    starts, ends, n, last = [], [], len(data), False
+    for x in range(0, n, BLOCK):
+        inside = kind[data[x : x + BLOCK]]
+        before = np.concatenate([[last], inside[:-1]])
+        apart = ~inside
+        edges = off[np.searchsorted(off, x) : np.searchsorted(off, x + len(inside))] - x
+        ends.append(np.flatnonzero(before & (apart | _at(edges, len(inside)))) + x)
+        starts.append(np.flatnonzero(inside & (~before | _at(edges, len(inside)))) + x)
+        last = bool(inside[-1])
+    if last:
+        ends.append(np.array([n]))
+    start, end = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (starts, ends))
     return Words(data, start, end, np.searchsorted(start, off), span_hash(data, start, end))
 
 
+def _at(places: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[places] = True
+    return out
+
+
 def _size(n: int) -> np.uint64:
     return U64(n * 0xD6E8FEB86659FD93 & 2**64 - 1)
 
