@@ -6,6 +6,9 @@ sketched in parts. The more two sets overlap the likelier their registers agree:
 propose pairs, a joint likelihood over the registers drops the pairs that cannot reach the threshold, and
 the rest are confirmed on their full sets. Chance enters only in the first two steps; see :data:`BANDS`
 and :data:`DOUBT` for how little.
+
+Pairs of a bucket are never rows of a table. Two rounds compare each member with one pivot of its bucket, which
+settles most of a large group; what is left meets in blocks, as arrays, and a block returns one link a member.
 """
 
 from __future__ import annotations
@@ -33,9 +36,16 @@ THRESHOLD = (75, 100)
 CLASSES = 256
 #: Pairs are confirmed in groups around one text; a group of more is split and the text sent to each part.
 GROUP = 64
+#: Rounds of pivots before members meet in blocks.
+ROUNDS = 2
+#: Members of a part of a bucket, and bytes of their sets, on average; two parts meet in a block.
+PART, PART_BYTES = 512, 16 << 20
+#: Pairs that a block judges at once.
+AT_ONCE = 1 << 14
 
 _SEEDS = np.random.default_rng(17).integers(1, 2**31, (2, REGISTERS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-SKETCHED = "doc_id long, n_shingles long, d1 long, d2 long, registers binary"
+SKETCHED = "doc_id long, t1 long, t2 long, n_shingles long, d1 long, d2 long, sketch binary"
+SET = "doc long, d1 long, d2 long, shingles binary"
 
 
 def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -54,11 +64,17 @@ def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def class_counts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """How many shingles of each set fall in each class, (n, CLASSES) uint16; the summed lesser counts of two sets
+    """How many shingles of each set fall in each class, (n, CLASSES) uint8; the summed lesser counts of two sets
     bound what they have in common. A set with more in a class than fit has the greatest number there."""
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     flat = np.bincount(of * CLASSES + (hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=(len(first) - 1) * CLASSES)
-    return np.minimum(flat, 65535).astype(np.uint16).reshape(-1, CLASSES)
+    return np.minimum(flat, 255).astype(np.uint8).reshape(-1, CLASSES)
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Registers and class counts of a column of sketches."""
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * REGISTERS + CLASSES)
+    return np.ascontiguousarray(flat[:, : 2 * REGISTERS]).view(np.uint16), flat[:, 2 * REGISTERS :]
 
 
 def _exceeds(x: np.ndarray) -> np.ndarray:
@@ -95,14 +111,14 @@ def _digests(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for a, b, data, off in X.slices(texts):
+        for a, b, data, off in X.slices(batch.column(3)):
             h, first = X.shingle_sets(data, off)
-            size = np.diff(first)
-            digests, regs = _digests(h, first), np.hstack([registers(h, first), class_counts(h, first)])
+            regs, counts = registers(h, first), class_counts(h, first)
+            packed = [r.tobytes() + c.tobytes() for r, c in zip(regs, counts, strict=True)]
+            kept = [batch.column(k).slice(a, b - a) for k in range(3)]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(size, pa.int64()), *(pa.array(d) for d in digests), pa.array([x.tobytes() for x in regs], pa.binary())],
-                ["doc_id", "n_shingles", "d1", "d2", "registers"],
+                [*kept, pa.array(np.diff(first), pa.int64()), *(pa.array(d) for d in _digests(h, first)), pa.array(packed, pa.binary())],
+                ["doc_id", "t1", "t2", "n_shingles", "d1", "d2", "sketch"],
             )
 
 
@@ -110,8 +126,7 @@ def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS + CLASSES)
-        regs = regs[:, :REGISTERS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+        regs = unpacked(batch.column(1))[0].reshape(-1, BANDS, ROWS).astype(np.uint64)
         key = np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
         for k in range(ROWS):
             key = X.mix(key ^ (regs[:, :, k] + np.uint64(1)) * X._GRAM[k])
@@ -119,159 +134,226 @@ def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(X.signed(key.ravel())), pa.array(ids, pa.int64())], ["band", "id"])
 
 
+def _possible(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which pairs of (registers, class counts, sizes) can reach the threshold: exact bounds, then the likelihood."""
+    (ra, ca, na), (rb, cb, nb) = a, b
+    keep = np.flatnonzero(THRESHOLD[1] * np.minimum(na, nb) >= THRESHOLD[0] * np.maximum(na, nb))
+    ca, cb = ca[keep], cb[keep]
+    both = np.minimum(ca, cb).sum(1, dtype=np.int64)
+    full = (np.maximum(ca, cb) == 255).any(1)
+    keep = keep[full | (THRESHOLD[1] * both >= THRESHOLD[0] * (na[keep] + nb[keep] - both))]
+    out = np.zeros(len(na), bool)
+    if len(keep):
+        out[keep] = may_reach(ra[keep], rb[keep], na[keep], nb[keep], THRESHOLD[0] / THRESHOLD[1])
+    return out
+
+
 def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    floor = THRESHOLD[0] / THRESHOLD[1]
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        (ra, ca), (rb, cb) = (np.hsplit(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS + CLASSES), [REGISTERS]) for c in ("ra", "rb"))
-        na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
-        both = np.minimum(ca, cb).sum(1, dtype=np.int64)
-        full = (np.maximum(ca, cb) == 65535).any(1)
-        fits = full | (THRESHOLD[1] * both >= THRESHOLD[0] * (na + nb - both))
-        keep = fits & may_reach(ra, rb, na, nb, floor)
-        yield batch.filter(pa.array(keep)).select(["a", "b", "da", "db"])
+        for k in range(0, batch.num_rows, 4096):
+            part = batch.slice(k, 4096)
+            sides = [(*unpacked(part.column(f"s{c}")), np.asarray(part.column(f"n{c}"))) for c in "ab"]
+            yield part.filter(pa.array(_possible(*sides))).select(["a", "b"])
 
 
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, part, id, text), the row of ``a`` itself first in its group: the pairs (a, id) that hold.
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return THRESHOLD[1] * both >= THRESHOLD[0] * (len(x) + len(y) - both)
 
-    ``a`` and ``id`` are set digests; a text that has another digest (its doc_id has several texts) is no
-    member of the group.
-    """
-    group, centre = None, np.empty(0, np.uint64)
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to the shingle set of each text, with its digests."""
     for batch in batches:
-        ids, keys, parts = (np.asarray(batch.column(c)) for c in ("id", "a", "part"))
-        found: list[tuple[int, int]] = []
-        for x, y, data, off in X.slices(batch.column("text")):
+        for a, b, data, off in X.slices(batch.column(1)):
             h, first = X.shingle_sets(data, off)
-            digests = _digests(h, first)[0]
-            for k in range(x, y):
-                if digests[k - x] != ids[k]:
-                    continue
-                own = h[first[k - x] : first[k - x + 1]]
-                if ids[k] == keys[k]:
-                    group, centre = (keys[k], parts[k]), own.copy()
-                elif group == (keys[k], parts[k]):
-                    at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
-                    both = int((centre[at] == own).sum())
-                    if THRESHOLD[1] * both >= THRESHOLD[0] * (len(own) + len(centre) - both):
-                        found.append((keys[k], ids[k]))
+            sets = [h[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(d) for d in _digests(h, first)), pa.array(sets, pa.binary())], ["doc", "d1", "d2", "shingles"])
+
+
+def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, id, shingles), the row of ``a`` itself first in its group: the pairs (a, id) that hold."""
+    group, centre = None, np.empty(0, np.uint64)
+    for batch in batches:
+        ids, keys, parts = (np.asarray(batch.column(c)).tolist() for c in ("id", "a", "part"))
+        sets, found = batch.column("shingles"), []
+        for k, id_ in enumerate(ids):
+            own = np.frombuffer(sets[k].as_buffer(), np.uint64)
+            if id_ == keys[k]:
+                group, centre = (keys[k], parts[k]), own.copy()
+            elif group == (keys[k], parts[k]) and _alike(own, centre):
+                found.append((keys[k], id_))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: digests; da, db: a document of each) whose texts reach the threshold."""
-    parts = pairs.groupBy("a", "da").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
-    parts = scratch.keep(parts, "parts")
-    spread = F.pmod(F.xxhash64("b"), F.col("parts"))
-    partners = pairs.join(parts.select("a", "parts"), "a").select("a", spread.alias("part"), F.col("b").alias("id"), F.col("db").alias("doc_id"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    centres = parts.select("a", each.alias("part"), F.col("a").alias("id"), F.col("da").alias("doc_id"))
-    rows = partners.union(centres).join(docs, "doc_id").select("a", "part", "id", "text", (F.col("id") != F.col("a")).alias("partner"))
+def confirmed(scratch: Scratch, pairs: DataFrame, pool: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
+    parts = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts")), "parts")
+    partners = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("id"))
+    centres = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
+    rows = partners.union(centres).join(pool.select("id", "shingles"), "id").withColumn("partner", F.col("id") != F.col("a"))
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "partner", "id").drop("partner")
     return rows.mapInArrow(confirm, "a long, b long")
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, at, text) to (shingle, id, at, n): every shingle of a set whose digest is the row's id."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole blocks with the bounds of each; rows come sorted by (band, i, j)."""
+    held, last = [], None
     for batch in batches:
-        ids, ats = np.asarray(batch.column("id")), np.asarray(batch.column("at"))
-        for a, b, data, off in X.slices(batch.column("text")):
-            h, first = X.shingle_sets(data, off)
-            size = np.where(_digests(h, first)[0] == ids[a:b], np.diff(first), 0)
-            of = np.repeat(np.arange(a, b), np.diff(first))
-            keep = size[of - a] > 0
-            of = of[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(X.signed(h[keep])), pa.array(ids[of]), pa.array(ats[of]), pa.array(size[of - a])], ["shingle", "id", "at", "n"])
+        if not batch.num_rows:
+            continue
+        key = np.stack([np.asarray(batch.column(c)) for c in ("band", "i", "j")])
+        at = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        if last is not None and (key[:, 0] != last).any():
+            at = np.concatenate([[0], at])
+        if len(at):
+            held.append(batch.slice(0, int(at[-1])))
+            yield _bounded(held)
+            held = []
+        held.append(batch.slice(int(at[-1]) if len(at) else 0))
+        last = key[:, -1]
+    if held:
+        yield _bounded(held)
+
+
+def _bounded(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    key = np.stack([np.asarray(table[c]) for c in ("band", "i", "j")])
+    return table, np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [table.num_rows]])
+
+
+def _pairs_of(bounds: np.ndarray, first: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of each block, about AT_ONCE at a time: of all rows, or of the first part's with the second's."""
+    left, right, size = [], [], 0
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = np.arange(a, b)
+        rows, others = (own[first[a:b]], own[~first[a:b]]) if cross[a] else (own, own)
+        for k in range(len(rows)):
+            to = others if cross[a] else own[k + 1 :]
+            left.append(np.full(len(to), rows[k]))
+            right.append(to)
+            size += len(to)
+            if size >= AT_ONCE:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, size = [], [], 0
+    if size:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links (a, b) between labels: each component has its least."""
+    while len(a):
+        least = label.copy()
+        np.minimum.at(least, label[a], label[b])
+        np.minimum.at(least, label[b], label[a])
+        least = least[least]
+        while (least[least] != least).any():
+            least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    return label
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of members (band, i, j, first, id, at, n, sketch, shingles) to links (a, b) that join what reaches
+    the threshold: as many rows at most as there are members. Pairs of one component are passed over, those found
+    on the way too."""
+    for table, bounds in _whole_groups(batches):
+        at, n = np.asarray(table["at"]), np.asarray(table["n"])
+        regs, counts = unpacked(table["sketch"].combine_chunks())
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        nodes, own = np.unique(at, return_inverse=True)
+        label = np.arange(len(nodes))
+        for u, v in _pairs_of(bounds, np.asarray(table["first"]), np.asarray(table["i"]) != np.asarray(table["j"])):
+            apart = label[own[u]] != label[own[v]]
+            u, v = u[apart], v[apart]
+            can = _possible((regs[u], counts[u], n[u]), (regs[v], counts[v], n[v]))
+            u, v = u[can], v[can]
+            for x, y in zip(u.tolist(), v.tolist(), strict=True):
+                if label[own[x]] != label[own[y]] and _alike(sets[x], sets[y]):
+                    label = merged(label, own[[x]], own[[y]])
+        new = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[label[new]], pa.int64()), pa.array(nodes[new], pa.int64())], ["a", "b"])
 
 
-def _able(scratch: Scratch, live: DataFrame, pool: DataFrame) -> DataFrame:
-    """The rows of ``live`` that can still link to one of another component in their bucket, with n and s.
+def _open(scratch: Scratch, live: DataFrame) -> DataFrame:
+    """The rows of the buckets that lie in several components."""
+    still = live.groupBy("band").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x <> y").select("band")
+    return scratch.keep(live.join(still, "band"), "live")
 
-    n: the size of the row's set; s: how many of its shingles some live text of another component has. A link
-    of sets of sizes n and n' has at most s of n + n' - s shingles in common, so a text whose s is too small
-    for the smallest set in its bucket is beyond all others. This is exact, and it settles the texts of a
-    large group that are changed too much to link, however many the others are.
-    """
-    own = live.groupBy("id").agg(F.min("at").alias("at"))
-    rows = pool.select("id", "text").join(own, "id").select("id", "at", "text").mapInArrow(_shingles, "shingle long, id long, at long, n long")
-    shared = rows.groupBy("shingle").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x <> y").select("shingle")
-    # A text that stands in the pool more than once counts as often: too large an s only keeps more.
-    counted = rows.join(scratch.keep(shared, "shared"), "shingle").groupBy("id", "n").agg(F.count("*").alias("m"))
-    counted = scratch.keep(counted.select("id", "n", F.least("m", "n").alias("s")), "counted")
-    known = scratch.keep(live.select("band", "id", "place", "at").join(counted, "id"), "known")
-    least = scratch.keep(known.groupBy("band").agg(F.min("n").alias("smallest")), "smallest")
-    can = f"{THRESHOLD[1]} * s >= {THRESHOLD[0]} * (n + greatest(smallest, s) - s)"
-    return known.join(least, "band").where(can).select("band", "id", "place", "at", "n", "s")
+
+def _labelled(scratch: Scratch, live: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components of ``links``, the rows of ``live`` that are still open, with their component ``at``)."""
+    comps = components(scratch, links)
+    at = comps.select(F.col("node").alias("id"), F.col("component").alias("now"))
+    now = live.select("band", "id").join(at, "id", "left").select("band", "id", F.coalesce("now", "id").alias("at"))
+    return comps, _open(scratch, scratch.keep(now, "labelled"))
+
+
+def _blocks(live: DataFrame, pool: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links found by all members of a bucket meeting part by part."""
+    size = live.join(pool.select("id", "n"), "id").groupBy("band").agg(F.count("*").alias("rows"), F.sum(F.col("n") * 8).alias("bytes"))
+    parts = scratch.keep(size.select("band", F.ceil(F.greatest(F.col("rows") / PART, F.col("bytes") / PART_BYTES)).cast("int").alias("parts")), "parts")
+    dealt = live.join(parts, "band").withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("band", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), (F.col("s") <= F.col("t")).alias("first"), "id", "at")
+    rows = dealt.join(pool.select("id", "n", "sketch", "shingles"), "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
+    return rows.mapInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(sketches, classes) of ``docs`` (doc_id, text; other columns are not read).
 
-    ``sketches``: doc_id, n_shingles, d1, d2 (digests of the shingle set) for every row. ``classes``: d1, d2,
-    component_id for every set that some text has: the smallest doc_id reachable over pairs with
-    100 * intersection >= 75 * union.
+    ``sketches``: doc_id, t1, t2 (digests of the text), n_shingles, d1, d2 (digests of the shingle set) for every
+    row. ``classes``: d1, d2, doc (smallest doc_id of the set), component (a number), component_id for every set
+    that some text has: the smallest doc_id reachable over pairs with 100 * intersection >= 75 * union.
 
-    Bands are compared around pivots, never as all pairs of a bucket. Each round compares the next few members
-    of a bucket with all after them that lie in another component, and these pivots are then done. Buckets go
-    on, with twelve times as many pivots a round (a thousand at most), while what is left of them lies in several components. Equal
-    sets are one node throughout. Null texts and texts without words link with nothing; a null doc_id keeps its
-    row and links with nothing; a repeated doc_id keeps its rows.
+    Sets are told apart by both digests, shingles by a 64-bit hash. Each of ROUNDS rounds compares the members of a
+    bucket with one of them; buckets go on while they lie in several components. Members of those that are left
+    meet in blocks of two parts; such a block's pairs are judged as arrays and not sent anywhere. A group of texts
+    of which many are near one another but do not link costs its square in these judgements. Equal sets are one
+    node throughout. Null texts and texts without words link with nothing; a null doc_id keeps its row and links
+    with nothing; a repeated doc_id keeps its rows, each compared by its own text; ties go to the smaller doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = scratch.keep(docs.mapInArrow(sketch, SKETCHED), "sketches")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    sketches = scratch.keep(hashed.mapInArrow(sketch, SKETCHED), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
-    sets = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n_shingles", "registers"), "doc_id").alias("s"))
-    sets = scratch.keep(sets.select("d1", "d2", "doc", F.col("s.n_shingles").alias("n"), F.col("s.registers").alias("registers")), "sets")
-    banded = scratch.keep(sets.select("d1", "registers").mapInArrow(band, "band long, id long"), "bands")
-    buckets = scratch.keep(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "buckets")
-    live = scratch.keep(banded.join(buckets, "band").select("band", "id", F.xxhash64("id").alias("place"), F.col("id").alias("at"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("s")), "members")
+    sets = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("s"))
+    sets = scratch.keep(sets.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "doc", F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "sets")
+    banded = scratch.keep(sets.select("id", "sketch").mapInArrow(band, "band long, id long"), "bands")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    live = scratch.keep(banded.join(buckets, "band").select("band", "id", F.col("id").alias("at")), "members")
     scratch.drop(banded)
-    side = lambda x: sets.select(F.col("d1").alias(x), F.col("doc").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    # Only documents in a bucket with others are ever compared: their texts are set apart once.
-    pool = live.select("id").distinct().join(side("id").select("id", F.col("did").alias("doc_id")), "id").join(docs, "doc_id")
-    pool = scratch.keep(pool.select("doc_id", "id", "text"), "pool")
-    links = comps = before = None
-    k = 1
-    while True:
-        place = F.row_number().over(Window.partitionBy("band").orderBy("place", "id"))
-        # Each task keeps a bucket's first members only before they are shuffled.
-        pivots = scratch.keep(live.withColumn("nth", place).where(f"nth <= {k}").drop("nth"), "pivots")
-        tried = live.alias("m").join(pivots.alias("p"), "band").where("m.at <> p.at and struct(m.place, m.id) > struct(p.place, p.id)")
-        both = "least(m.s, p.s)"
-        tried = tried.where(f"m.s is null or {THRESHOLD[1]} * {both} >= {THRESHOLD[0]} * (m.n + p.n - {both})")
-        pairs = tried.select(F.col("p.id").alias("a"), F.col("m.id").alias("b")).distinct()
-        if before is not None:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        before = pairs if before is None else before.union(pairs)
-        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "da", "db", "na", "nb", "ra", "rb")
-        near = scratch.keep(near.mapInArrow(likely, "a long, b long, da long, db long"), "likely")
-        new = scratch.keep(confirmed(scratch, near, pool.select("doc_id", "text")), "links")
+    # Only texts in a bucket with others are ever compared: their sets are set apart once.
+    wanted = live.select("id").distinct().join(sets.select("id", "d1", "d2", "doc", "n", "sketch"), "id")
+    texts = docs.join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
+    pool = wanted.join(texts.mapInArrow(_sets, SET).dropDuplicates(["doc", "d1", "d2"]), ["doc", "d1", "d2"])
+    pool = scratch.keep(pool.select("id", "n", "sketch", "shingles"), "pool")
+    side = lambda x: pool.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    links, comps = None, None
+    for turn in range(ROUNDS):
+        least = live.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "band", "id"), "id", "at")).alias("p")).select("band", F.col("p.id").alias("a"), F.col("p.at").alias("pat"))
+        pairs = live.join(least, "band").where("at <> pat").select("a", F.col("id").alias("b")).distinct()
+        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        near = scratch.keep(near.mapInArrow(likely, "a long, b long"), "likely")
+        new = scratch.keep(confirmed(scratch, near, pool), "links")
         links = new if links is None else links.union(new)
-        comps = components(scratch, links)
-        last = scratch.keep(pivots.groupBy("band").agg(F.max(F.struct("place", "id")).alias("last")), "last")
-        rest = live.join(last, "band").where("struct(place, id) > last").select("band", "id", "place")
-        at = comps.select(F.col("node").alias("id"), F.col("component").alias("now"))
-        live = scratch.keep(rest.join(at, "id", "left").select("band", "id", "place", F.coalesce("now", "id").alias("at")), "rest")
-        live = _open(scratch, live)
+        comps, live = _labelled(scratch, live, links)
         if live.isEmpty():
             break
-        live = _open(scratch, scratch.keep(_able(scratch, live, pool), "able"))
-        if live.isEmpty():
-            break
-        k = min(12 * k, 1000)
-    named = sets.select("d1", "d2", "doc").join(comps.withColumnRenamed("node", "d1"), "d1", "left")
-    named = scratch.keep(named.select("d1", "d2", "doc", F.coalesce("component", "d1").alias("component")), "named")
-    least = scratch.keep(named.groupBy("component").agg(F.min("doc").alias("component_id")), "least")
-    return sketches.drop("registers"), scratch.keep(named.join(least, "component").select("d1", "d2", "component_id"), "classes")
-
-
-def _open(scratch: Scratch, live: DataFrame) -> DataFrame:
-    """The rows of the buckets that lie in several components."""
-    still = live.groupBy("band").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x <> y").select("band")
-    return scratch.keep(live.join(scratch.keep(still, "open"), "band"), "live")
+    else:
+        new = scratch.keep(_blocks(live, pool, scratch), "links")
+        comps = components(scratch, links.union(new))
+    named = sets.select("id", "d1", "d2", "doc").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    named = scratch.keep(named.select("d1", "d2", "doc", F.coalesce("component", "id").alias("component")), "named")
+    scratch.drop(pool, sets, live)
+    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    classes = scratch.keep(named.join(least, "component").select("d1", "d2", "doc", "component", "component_id"), "classes")
+    return sketches.drop("sketch"), classes
 
 
 def op1(docs: DataFrame) -> DataFrame:
@@ -280,3 +362,22 @@ def op1(docs: DataFrame) -> DataFrame:
     alone = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     grouped = sketches.where("n_shingles > 0 and doc_id is not null").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     return alone.union(grouped).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: of the smallest doc_id, and among the rows that
+    share it, of the smallest text digest. Texts without words and null doc_ids stay; repeated rows are one."""
+    sketches, classes = near_duplicates(docs, scratch)
+    rows = sketches.where("n_shingles > 0 and doc_id is not null").join(classes.select("d1", "d2", "component"), ["d1", "d2"])
+    key = F.struct("doc_id", "t1", "t2")
+    best = scratch.keep(rows.groupBy("component").agg(F.min(key).alias("best")), "best")
+    gone = rows.join(best, "component").where(key != F.col("best")).select("doc_id", "t1", "t2").distinct()
+    twice = rows.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t1", "t2")
+    gone, twice = scratch.keep(gone, "gone"), scratch.keep(twice, "twice")
+    hashed = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_t1": F.xxhash64(F.col("text").cast("string")), "_t2": F.xxhash64(F.lit(1), F.col("text").cast("string"))})
+    is_in = lambda t: (F.col("_d") == t["doc_id"]) & (F.col("_t1") == t["t1"]) & (F.col("_t2") == t["t2"])
+    kept = hashed.join(gone, is_in(gone), "left_anti")
+    if not twice.isEmpty():
+        one = kept.join(twice, is_in(twice), "left_semi").dropDuplicates(["_d", "_t1", "_t2"])
+        kept = kept.join(twice, is_in(twice), "left_anti").union(one)
+    return kept.select(*docs.columns)
