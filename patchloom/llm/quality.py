@@ -120,11 +120,22 @@ def _held_out():
     return Y.remainder(F.col("doc_id"), 3) == 1
 
 
+def model(docs: DataFrame, labels: DataFrame) -> dict:
+    """The machine fitted on the sample of ``labels`` and their texts."""
+    rows = Y.sample(docs, labels, "quality", _held_out(), SAMPLE)
+    return fit(Y.collected(rows, _features, "x binary, v binary, s array<double>"))
+
+
+def chosen(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be good, each judged by its own text whatever its doc_id."""
+    return Y.scores(docs, score, model(docs, labels), docs.columns).where(F.col("_score") >= THRESHOLD).drop("_score")
+
+
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
-    Learns from at most :data:`SAMPLE` labelled rows that are not held out. A null text is scored as an empty
-    one; with no usable labels every score is near 0.5.
+    Learns from at most :data:`SAMPLE` labelled rows, of :data:`features.SAMPLE_BYTES` in all, that are not held
+    out. Rows that repeat a doc_id are scored each by its own text. A null text is scored as an empty one; with no
+    usable labels every score is near 0.5. Ties of scores are no matter; other columns are not read.
     """
-    rows = Y.sample(docs, labels, "quality", _held_out(), SAMPLE)
-    return Y.scored(docs, score, _held_out(), THRESHOLD, fit(Y.collected(rows, _features, "x binary, v binary, s array<double>")))
+    return Y.scored(docs, score, _held_out(), THRESHOLD, model(docs, labels))

@@ -88,8 +88,9 @@ def score(model: tuple[np.ndarray, np.ndarray, float], data: np.ndarray, off: np
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
-    Learns from at most :data:`SAMPLE` labelled rows that are not held out. A null or empty text is scored like
-    a text without any known feature; with no usable labels every score is 0.5.
+    Learns from at most :data:`SAMPLE` labelled rows, of :data:`features.SAMPLE_BYTES` in all, that are not held
+    out. Rows that repeat a doc_id are scored each by its own text. A null or empty text is scored like a text
+    without any known feature; with no usable labels every score is 0.5. Other columns are not read.
     """
     rows = Y.sample(docs, labels, "toxic", _held_out(), SAMPLE)
     examples = [(np.frombuffer(r["x"], np.int32), r["y"]) for r in Y.collected(rows, _features, "x binary")]
