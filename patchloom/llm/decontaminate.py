@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from . import _text as X
 
 WINDOW = 10
-#: Bytes of benchmark text that are sent to the executors at once; a larger benchmark takes several passes.
-BLOCK_BYTES = 8 << 20
+#: Words of benchmark text that are sent to the executors at once; a larger benchmark takes several passes.
+BLOCK_WORDS = 1 << 18
+#: Words of an item that are dealt to one block together.
+PIECE = 4096
 _SLOTS = 1 << 20
-HITS = "doc_id long, n_words long, spans array<struct<start: int, end: int>>, items array<long>"
 
 
 @dataclass
@@ -32,19 +33,40 @@ class Index:
     place: np.ndarray
     size: np.ndarray
     words: np.ndarray
-    items: list[list[int]]
+    items: np.ndarray
+    first: np.ndarray
     slots: np.ndarray
 
 
-def _item_windows(ids: list[int], texts: list[str]) -> dict[tuple[int, ...], set[int]]:
-    found: dict[tuple[int, ...], set[int]] = {}
-    for item, text in zip(ids, texts, strict=True):
-        data, off = X.buffers(pa.array([text], pa.string()))
-        h = X.words(data, off, X.ALNUM).hash.tolist()
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, words): each item's word hashes in runs of PIECE, which overlap so that every window lies in one."""
+    for batch in batches:
+        for a, b, data, off in X.slices(batch.column(1)):
+            w = X.words(data, off, X.ALNUM)
+            for d in range(a, b):
+                h = w.hash[w.first[d - a] : w.first[d - a + 1]]
+                step = PIECE - WINDOW + 1
+                runs = [h[k : k + PIECE] for k in range(0, max(1, len(h) - WINDOW + 1), step)] if len(h) else []
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[d].as_py()] * len(runs), pa.int64()), pa.array([r.tobytes() for r in runs], pa.binary())], ["item_id", "words"])
+
+
+def _windows(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, sizes, items) of the pieces: one row for each distinct window and item."""
+    rows, sizes, items = [np.empty((0, WINDOW), np.uint64)], [], []
+    for item, raw in pieces:
+        h = np.frombuffer(raw, np.uint64)
         size = min(WINDOW, len(h))
-        for k in range(len(h) - size + 1 if h else 0):
-            found.setdefault(tuple(h[k : k + size]), set()).add(item)
-    return found
+        own = np.zeros((len(h) - size + 1, WINDOW), np.uint64)
+        own[:, :size] = np.lib.stride_tricks.sliding_window_view(h, size)
+        rows.append(own)
+        sizes += [size] * len(own)
+        items += [item] * len(own)
+    rows, sizes, items = np.concatenate(rows), np.array(sizes, np.int64), np.array(items, np.int64)
+    order = np.lexsort((items, sizes, *rows.T))
+    rows, sizes, items = rows[order], sizes[order], items[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1) | (sizes[1:] != sizes[:-1]) | (items[1:] != items[:-1])
+    return rows[new], sizes[new], items[new]
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -53,14 +75,22 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return slots
 
 
-def _index(windows: dict[tuple[int, ...], set[int]], counts: dict[int, int]) -> Index:
-    rows = []
-    for words, items in windows.items():
-        place = min(range(len(words)), key=lambda k: (counts.get(words[k], 0), words[k], k))
-        rows.append((words[place], place, len(words), words + (0,) * (WINDOW - len(words)), sorted(items)))
-    rows.sort(key=lambda r: (r[0], r[1], r[3]))
-    anchor = np.array([r[0] for r in rows], np.uint64)
-    return Index(anchor, *(np.array([r[k] for r in rows], np.int64) for k in (1, 2)), np.array([r[3] for r in rows], np.uint64).reshape(-1, WINDOW), [r[4] for r in rows], _slots(anchor))
+def _index(rows: np.ndarray, sizes: np.ndarray, items: np.ndarray, vocabulary: np.ndarray, frequency: np.ndarray) -> Index:
+    """The windows of :func:`_windows` with their items, by their rarest word."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1) | (sizes[1:] != sizes[:-1])
+    at = np.flatnonzero(new)
+    words, size = rows[at], sizes[at]
+    rank = np.empty(len(vocabulary), np.int64)
+    rank[np.lexsort((vocabulary, frequency))] = np.arange(len(vocabulary))
+    ranks = rank[np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))] if len(words) else np.empty((0, WINDOW), np.int64)
+    ranks[np.arange(WINDOW)[None] >= size[:, None]] = len(vocabulary)
+    place = ranks.argmin(1)
+    anchor = words[np.arange(len(words)), place]
+    order = np.argsort(anchor, kind="stable")
+    count = np.diff(np.append(at, len(rows)))[order]
+    flat = np.repeat(at[order], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return Index(anchor[order], place[order], size[order], words[order], items[flat], np.concatenate([[0], np.cumsum(count)]), _slots(anchor))
 
 
 def _expand(index: Index, w: X.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -81,24 +111,24 @@ def _expand(index: Index, w: X.Words) -> tuple[np.ndarray, np.ndarray]:
     return window, start
 
 
-def _scan(index: Index, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns text, n_words, spans, items and any others: what this block's windows add."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        for a, b, data, off in X.slices(batch.column(1)):
+        names = batch.schema.names
+        for a, b, data, off in X.slices(batch.column(0)):
             w = X.words(data, off, X.ALNUM)
             window, start = _expand(index, w) if len(w.hash) else (np.empty(0, np.int64), np.empty(0, np.int64))
-            spans, items = batch.column(3).slice(a, b - a).to_pylist(), batch.column(4).slice(a, b - a).to_pylist()
+            spans, items = (batch.column(c).slice(a, b - a).to_pylist() for c in ("_spans", "_items"))
             of = np.searchsorted(w.first, start, "right") - 1
             for d in np.unique(of).tolist():
                 mine = of == d
-                seen = set(items[d]).union(*(index.items[k] for k in np.unique(window[mine]).tolist()))
+                seen = set(items[d]).union(*(index.items[index.first[k] : index.first[k + 1]].tolist() for k in np.unique(window[mine]).tolist()))
                 begin = start[mine] - w.first[d]
                 runs = [(s["start"], s["end"]) for s in spans[d]] + list(zip(begin.tolist(), (begin + index.size[window[mine]]).tolist(), strict=True))
                 spans[d], items[d] = [{"start": s, "end": e} for s, e in _joined(runs)], sorted(seen)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            out = {"doc_id": batch.column(0).slice(a, b - a), "text": batch.column(1).slice(a, b - a), "n_words": pa.array(np.diff(w.first), pa.int64()), "spans": pa.array(spans, kind), "items": pa.array(items, pa.list_(pa.int64()))}
-            if last:
-                del out["text"]
-            yield pa.RecordBatch.from_pydict(out)
+            new = {"_n_words": pa.array(np.diff(w.first), pa.int64()), "_spans": pa.array(spans, kind), "_items": pa.array(items, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k).slice(a, b - a)) for k, c in enumerate(names)], names)
 
 
 def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,8 +141,11 @@ def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
-    """How often each word of a benchmark block stands in the corpus; as many rows as the block has words."""
+def counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each of these sorted words stands in the corpus."""
+    total = np.zeros(len(vocabulary), np.int64)
+    if not len(vocabulary):
+        return total
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
@@ -125,37 +158,54 @@ def counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
                 at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
                 total += np.bincount(at[vocab[at] == h], minlength=len(vocab))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(X.signed(vocab[some])), pa.array(total[some])], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
 
+    # As many rows as the block has words.
     rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {r["word"] & 2**64 - 1: r["n"] for r in rows}
+    for r in rows:
+        total[r["word"]] = r["n"]
+    return total
 
 
-def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, spans, items for every row of ``docs``.
+def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` with _n_words, _spans and _items, each row judged by its own text whatever its doc_id.
 
-    ``spans``: the runs of words, counted from 0, that lie in occurrences of benchmark windows. ``items``: the
+    ``_spans``: the runs of words, counted from 0, that lie in occurrences of benchmark windows. ``_items``: the
     item_ids of those windows, sorted. Items without words, with a null text or with a null item_id have no
-    windows; repeated items count once. A null text has no words.
+    windows; repeated items count once. A null text has no words. A long item is dealt to blocks in pieces.
     """
     kind = "array<struct<start: int, end: int>>"
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(kind).alias("spans"), F.array().cast("array<long>").alias("items"))
+    out = docs.select(F.col("text").cast("string").alias("_text"), *docs.columns, F.lit(0).cast("long").alias("_n_words"), F.array().cast(kind).alias("_spans"), F.array().cast("array<long>").alias("_items"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
+    pieces = items.mapInArrow(_pieces, "item_id long, words binary")
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // (8 * BLOCK_WORDS)))
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        windows = _item_windows([r["item_id"] for r in rows], [r["text"] for r in rows])
-        vocabulary = np.unique(np.array([w for ws in windows for w in ws], np.uint64))
-        frequency = counts(docs, vocabulary) if len(vocabulary) else {}
-        shared = docs.sparkSession.sparkContext.broadcast(_index(windows, frequency))
-        out = out.mapInArrow(lambda batches, shared=shared, last=k == blocks - 1: _scan(shared.value, last, batches), HITS if k == blocks - 1 else HITS.replace(",", ", text string,", 1))
-    return out
+        rows = pieces.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k).collect()
+        windows = _windows([(r["item_id"], bytes(r["words"])) for r in rows])
+        vocabulary = np.unique(windows[0][np.arange(WINDOW)[None] < windows[1][:, None]])
+        index = _index(*windows, vocabulary, counts(docs.select(F.col("text").cast("string").alias("text")), vocabulary))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        out = out.mapInArrow(lambda batches, shared=shared: _scan(shared.value, batches), out.schema)
+    return out.drop("_text")
+
+
+def find(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, n_words, spans, items for every row of ``docs``; see :func:`scan`."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scan(docs, items).select("doc_id", F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without any window of a benchmark item."""
+    return scan(docs, items).where(F.size("_spans") == 0).select(*docs.columns)
 
 
 def op5(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``; see :func:`find`."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``; see :func:`scan`.
+
+    Rows that repeat a doc_id are judged each by its own text; other columns are not read.
+    """
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     named = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
     found = find(docs, items).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"))

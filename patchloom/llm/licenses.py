@@ -114,7 +114,7 @@ def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocabulary = np.unique(np.concatenate([hashes(t.split()) for _, t in templates])) if templates else np.empty(0, np.uint64)
-    index = docs.sparkSession.sparkContext.broadcast(Index(templates, phrases, counts(docs, vocabulary) if len(vocabulary) else {}))
+    index = docs.sparkSession.sparkContext.broadcast(Index(templates, phrases, dict(zip(vocabulary.tolist(), counts(docs, vocabulary).tolist(), strict=True))))
     kinds = [pa.list_(pa.struct([("start", pa.int32()), ("label", pa.string())])), pa.list_(pa.struct([("start", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))]
 
     def run(batches):
