@@ -1,13 +1,18 @@
 """A hierarchical Pitman-Yor language model of word pairs, its seating sampled by Gibbs.
 
 Every word has a restaurant for the words that follow it, the start of a text has one too, and all of these have
-the unigram restaurant as parent; every word is a dish. Cells (word before, word, count) and their numbers of
-tables are a table of all pairs. A sweep seats all customers of all cells anew at once, with the parent and the
-other dishes' tables as they were, then all customers of the parent; probabilities are averages over the later
-sweeps. A cell of one customer has one table whatever happens, so only the others are swept.
-
-What is broadcast has a fixed size and only saves shuffles: the words and pairs of the highest counts. All others
-are joined. Hot words are among those, so no join has a hot key.
+the unigram restaurant as parent; every word is a dish. No word or pair is left out.
+
+A cell is a pair (word before, word) with its customers and tables. Cells are dealt to parts: those of a rare word by
+that word, other cells of a rare word before by that, and cells of two common words by the pair, so that a part has
+all of a rare word and no part has a hot key. A part is one row of packed columns, and what is exchanged between
+tasks are packed blocks of many pairs. A sweep draws the tables of every cell anew given all others (exactly for up
+to EXACT customers, by weighted seatings beyond; a cell of one customer has one table whatever happens), then those
+of the parent restaurant. Probabilities are averages over the later sweeps.
+
+What is broadcast has a fixed size: counts, tables and probabilities of the COMMON words of the highest counts, and
+the pairs of the highest counts, which only saves exchanging them. Discounts are estimated, of each common context
+and of all rare ones together; the strength is fixed.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,23 +30,44 @@ from . import _text as X
 from ._store import Scratch
 from .features import remainder
 
-#: Words and pairs that are broadcast, at most.
+#: Words, and pairs, that are broadcast, at most.
 COMMON, PAIRS = 1 << 18, 1 << 20
-SWEEPS, BURN_IN = 6, 3
-#: Seatings drawn for a cell, of which one is taken by its weight.
+SWEEPS, BURN_IN = 4, 2
+KEPT = SWEEPS - BURN_IN
+#: Customers up to which a cell's number of tables is drawn from its exact distribution.
+EXACT = 64
+#: Seatings drawn for a cell of more, of which one is taken by its weight.
 DRAWS = 4
 STRENGTH = 1.0
+#: Tokens of a part, about, and parts that one task deals blocks to; more parts are dealt in several steps.
+PART, FAN = 1 << 20, 1024
 #: Words are known by their place among the common ones, or else by their hash as a signed number.
 END, START = COMMON, COMMON + 1
+_IDS = COMMON + 2
 #: The hash that stands for the end of a text among word hashes.
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
-_FLUSH, _ROWS = 1 << 20, 1 << 17
+_FLUSH = 1 << 20
 
 
 def _held_out():
     return remainder(F.col("doc_id"), 7) == 2
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, byte plane by byte plane, compressed."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    flat = flat.reshape(len(kinds), 8, len(flat) // (8 * len(kinds)))
+    return [np.ascontiguousarray(flat[k].T).reshape(-1).view(kind) for k, kind in enumerate(kinds)]
+
+
+_I, _F = np.int64, np.float64
+
+
 class _Tally:
     """Sums by key that never hold much more than ``_FLUSH`` keys."""
 
@@ -113,29 +140,6 @@ class Common:
         return u, w, first
 
 
-def _cells(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    u, w = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    order = np.lexsort((w, u))
-    u, w = u[order], w[order]
-    new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-    at = np.flatnonzero(new)
-    return pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(w[at]), pa.array(np.diff(np.append(at, len(u))))], ["u", "w", "n"])
-
-
-def _paired(common: Common, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts, size = [], 0
-    for batch in batches:
-        for _, _, data, off in X.slices(batch.column(0)):
-            parts.append(common.ids(data, off)[:2])
-            size += len(parts[-1][0])
-            if size > _FLUSH:
-                yield _cells(parts)
-                parts, size = [], 0
-    if size:
-        yield _cells(parts)
-
-
 def _rise(x: np.ndarray, a: np.ndarray) -> np.ndarray:
     """log(gamma(x + a) / gamma(x)), exact for a small ``a`` too."""
     low = sum(np.log1p(a / (x + k)) for k in range(6))
@@ -196,12 +200,35 @@ def seat(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, key: np.
     return t, log
 
 
+def _exact_tables(n: int, d: np.ndarray, a: np.ndarray, step: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Numbers of tables of cells of ``n`` customers each, from their distribution given all other cells.
+
+    The weight of t tables sums over all ways to sit: beside t tables and i customers of the dish a new table weighs
+    a + step * t and the old ones i - d * t.
+    """
+    f = np.zeros((n + 1, len(d)))
+    f[1] = 1
+    for i in range(1, n):
+        t = np.arange(1, i + 1)[:, None]
+        opened = f[1 : i + 1] * (a + step * t)
+        f[1 : i + 1] *= i - d * t
+        f[2 : i + 2] += opened
+        if i % 8 == 0:
+            f /= f.max(0)
+    upto = np.cumsum(f[1:], axis=0)
+    return 1 + (upto < u * upto[-1]).sum(0)
+
+
 def tables(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Numbers of tables: one of DRAWS seatings of each cell, by weight. For two customers the first draw is exact."""
-    out = np.ones(len(n), np.int64)
-    two, many = np.flatnonzero(n == 2), np.flatnonzero(n > 2)
-    new = a[two] + step[two]
-    out[two] += _uniform(key[two], 0) * (new + 1 - d[two]) < new
+    """Numbers of tables of cells of any numbers of customers; none for none."""
+    out = np.minimum(n, 1).astype(np.int64)
+    order = np.argsort(n, kind="stable")
+    bounds = np.searchsorted(n[order], np.arange(2, EXACT + 2))
+    for m, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), 2):
+        for k in range(x, y, 1 << 14):
+            at = order[k : min(y, k + (1 << 14))]
+            out[at] = _exact_tables(m, d[at], a[at], step[at], _uniform(key[at], 0))
+    many = order[bounds[-1] :]
     each = np.repeat(many, DRAWS)
     keys = _mixed(key[each] + np.tile(np.arange(1, DRAWS + 1, dtype=np.uint64), len(many)))
     t, log = seat(n[each], d[each], a[each], step[each], keys)
@@ -210,34 +237,6 @@ def tables(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, key: n
     return out
 
 
-def _reseated(sweep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with u, w, n, d, a and step: ``t`` drawn anew, many rows at a time as a turn of :func:`seat` has a price."""
-    held, size = [], 0
-
-    def drawn() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        col = {c: np.asarray(table[c]) for c in ("u", "w", "n", "d", "a", "step")}
-        u, w = (np.ascontiguousarray(col[c], np.int64).view(np.uint64) for c in ("u", "w"))
-        key = _mixed(_mixed(u + np.uint64(sweep)) + w)
-        t = tables(col["n"], *(col[c].astype(float) for c in ("d", "a", "step")), key)
-        yield from table.set_column(table.schema.get_field_index("t"), "t", pa.array(t)).to_batches()
-
-    for batch in batches:
-        held.append(batch)
-        size += len(batch)
-        if size > _ROWS:
-            yield from drawn()
-            held, size = [], 0
-    if size:
-        yield from drawn()
-
-
-def _redrawn(df: DataFrame, sweep: int) -> DataFrame:
-    """Cells are dealt anew by both words, so that those of a hot one are seated in many tasks."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "u", "w").mapInArrow(lambda batches: _reseated(sweep, batches), df.schema)
-
-
 class Seating:
     """Tables of one restaurant: ``dish`` (index into the dishes served) and ``size``, sorted by dish.
 
@@ -285,84 +284,273 @@ class Seating:
             self._seat(who, prior)
 
 
-def _discount(once: Column, twice: Column) -> Column:
-    return F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5)))
+def _common(ids: np.ndarray) -> np.ndarray:
+    return (ids >= 0) & (ids < _IDS)
+
+
+def distinct(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs, in order, with their summed counts."""
+    both = _common(u) & _common(w)
+    code = u[both] * _IDS + w[both]
+    order = np.argsort(code)
+    code, m = code[order], n[both][order]
+    at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[: len(code)])
+    out = [(code[at] // _IDS, code[at] % _IDS, np.add.reduceat(m, at) if len(at) else m)]
+    a, b, m = u[~both], w[~both], n[~both]
+    order = np.lexsort((b, a))
+    a, b, m = a[order], b[order], m[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+    out.append((a[at], b[at], np.add.reduceat(m, at) if len(at) else m))
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+
 
+def _code(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each pair."""
+    return X.mix(X.mix(u.astype(_I).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + w.astype(_I).view(np.uint64))
 
-def _hot(key: str) -> Column:
-    return F.col(key).between(0, START)
 
+def part_of(u: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each pair: by the rare word, else by the rare word before, else by both."""
+    alone = X.mix(np.where(_common(w), u, w).astype(_I).view(np.uint64))
+    return (np.where(_common(u) & _common(w), _code(u, w), alone) % np.uint64(parts)).astype(_I)
+
+
+def _dealt(part: np.ndarray, fan: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """A block for each of the parts modulo ``fan``, in which rows keep their order."""
+    to = part % fan
+    order = np.argsort(to.astype(np.int16) if fan < 1 << 15 else to, kind="stable")
+    bounds = np.searchsorted(to[order], np.arange(fan + 1))
+    some = np.flatnonzero(np.diff(bounds))
+    blocks = [pack(*(c[order[bounds[k] : bounds[k + 1]]] for c in columns)) for k in some]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(_I)), pa.array(blocks, pa.binary())], ["part", "block"])
+
+
+def _regrouped(kinds: tuple, parts: int, fan: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a coarser dealing, dealt anew to more parts."""
+    held, size = [], 0
+
+    def dealt():
+        columns = [np.concatenate([h[k] for h in held]) for k in range(len(kinds))]
+        part = part_of(columns[0], columns[1], parts)
+        for own in np.unique(part % (fan // FAN)):
+            mine = part % (fan // FAN) == own
+            batch = _dealt(part[mine], fan, *(c[mine] for c in columns))
+            yield batch
+
+    for batch in batches:
+        for raw in batch.column("block"):
+            held.append(unpack(raw.as_buffer(), *kinds))
+            size += len(held[-1][0])
+            if size > _FLUSH:
+                yield from dealt()
+                held, size = [], 0
+    if size:
+        yield from dealt()
 
-def _with(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """A left join by a word: the common words are broadcast, so no task gets a hot one."""
-    near = df.where(_hot(key)).join(F.broadcast(table.where(_hot(key))), key, "left")
-    return near.unionByName(df.where(~_hot(key)).join(table.where(~_hot(key)), key, "left"))
 
+def exchanged(blocks: DataFrame, kinds: tuple, parts: int) -> DataFrame:
+    """(part, block) dealt to ``parts`` parts, of blocks dealt to at most FAN; each step multiplies the parts by FAN."""
+    fan = min(parts, FAN)
+    while fan < parts:
+        fan = fan * FAN
+        step = fan
+        blocks = blocks.repartition("part").mapInArrow(lambda b, step=step: _regrouped(kinds, step, step, b), "part long, block binary")
+    return blocks
 
-def _ones(k: int) -> Column:
-    return F.sum((F.col("n") == k).cast("long"))
 
+def parts_for(tokens: int) -> int:
+    """Parts of about PART tokens: any number up to FAN, and powers of FAN beyond."""
+    wanted, parts = max(1, -(-tokens // PART)), FAN
+    if wanted <= FAN:
+        return wanted
+    while parts < wanted:
+        parts *= FAN
+    return parts
 
-def _at_most(df: DataFrame, most: int) -> tuple[int | None, Column, list]:
-    """(cut, level, levels): the rows whose level is ``cut`` or more are the highest counts, ``most`` at the most."""
-    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    # At most 1,100 rows: the sixteenths of a doubling that counts lie in.
-    levels = sorted(((r["at"], r["rows"], r["n"]) for r in df.groupBy(level.alias("at")).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()), reverse=True)
+
+def _paired(common: Common, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def blocks() -> pa.RecordBatch:
+        u, w = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        u, w, n = distinct(u, w, np.ones(len(u), _I))
+        return _dealt(part_of(u, w, parts), min(parts, FAN), u, w, n)
+
+    for batch in batches:
+        for _, _, data, off in X.slices(batch.column(0)):
+            held.append(common.ids(data, off)[:2])
+            size += len(held[-1][0])
+            if size > _FLUSH:
+                yield blocks()
+                held, size = [], 0
+    if size:
+        yield blocks()
+
+
+CELLS = "part long, ones binary, many binary, rare binary"
+#: many: u, w, n, t, s (tables summed over the samples), more (cells of one customer that a rare u has in the part).
+_MANY = (_I, _I, _I, _I, _I, _I)
+#: rare: w, once, root tables, and for each sample customers and tables of the root.
+_RARE = (_I,) * (3 + 2 * KEPT)
+
+
+def gather(table: pa.Table) -> pa.Table:
+    """The cells of one part, of all its blocks: those of one customer apart from the others."""
+    blocks = [unpack(raw.as_buffer(), _I, _I, _I) for chunk in table["block"].chunks for raw in chunk]
+    u, w, n = distinct(*(np.concatenate([b[k] for b in blocks]) for k in range(3)))
+    one = n == 1
+    keys, more = np.unique(u[one & ~_common(u) & _common(w)], return_counts=True)
+    um, wm = u[~one], w[~one]
+    at = np.minimum(np.searchsorted(keys, um), max(len(keys) - 1, 0))
+    extra = np.where(~_common(um) & (keys[at] == um), more[at], 0) if len(keys) else np.zeros(len(um), _I)
+    rare = np.unique(w[~_common(w)])
+    once = np.bincount(np.searchsorted(rare, w[one & ~_common(w)]), minlength=len(rare)).astype(_I)
+    zero = np.zeros(len(rare), _I)
+    many = pack(um, wm, n[~one], np.ones(len(um), _I), np.zeros(len(um), _I), extra)
+    return pa.table({"part": table["part"].slice(0, 1), "ones": pa.array([pack(u[one], w[one])], pa.binary()), "many": pa.array([many], pa.binary()), "rare": pa.array([pack(rare, once, np.ones(len(rare), _I), *[zero] * (2 * KEPT))], pa.binary())})
+
+
+def _totals(columns: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums for the common words over all parts of a task: (id, kind, n); kinds count from 0, contexts before words.
+
+    ``columns`` of cells: "begin" customers, cells of one and of two customers of each context, and cells of one of
+    each word; "t" tables of each context and word. Rare contexts together are id -1; rare words together id -2: customers and
+    tables of the root, words of one customer and of two.
+    """
+    kinds = 4 if columns == ("begin",) else 2
+    sums = np.zeros((kinds, _IDS))
+    other = np.zeros(4)
+    root = np.zeros(4)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            u, w, n, t, _, _ = unpack(batch.column("many")[k].as_buffer(), *_MANY)
+            hot, dish = _common(u), _common(w)
+            if kinds == 4:
+                a, b = unpack(batch.column("ones")[k].as_buffer(), _I, _I)
+                one = np.bincount(a[_common(a)], minlength=_IDS)
+                sums[0] += one + np.bincount(u[hot], n[hot], _IDS)
+                sums[1] += one
+                sums[2] += np.bincount(u[hot], n[hot] == 2, _IDS)
+                sums[3] += np.bincount(b[_common(b)], minlength=_IDS)
+                other += [0, len(a) - _common(a).sum(), (n[~hot] == 2).sum(), 0]
+            else:
+                sums[0] += np.bincount(u[hot], t[hot], _IDS)
+                sums[1] += np.bincount(w[dish], t[dish], _IDS)
+                rw, once, rt = unpack(batch.column("rare")[k].as_buffer(), *_RARE)[:3]
+                each = once + np.bincount(np.searchsorted(rw, w[~dish]), t[~dish], len(rw)).astype(_I)
+                root += [each.sum(), rt.sum(), (each == 1).sum(), (each == 2).sum()]
+    kind, at = np.nonzero(sums)
+    rows = [at, kind, sums[kind, at].astype(_I)]
+    if kinds == 4:
+        rows = [np.concatenate([r, x]) for r, x in zip(rows, ([-1] * 4, range(4), other), strict=True)]
+    else:
+        rows = [np.concatenate([r, x]) for r, x in zip(rows, ([-2] * 4, range(4), root), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(r.astype(_I)) for r in rows], ["id", "kind", "n"])
+
+
+def _summed(cells: DataFrame, columns: tuple, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(kinds, _IDS) sums of the common words, and those of the rare ones together; of a fixed size."""
+    used = cells.select("ones", "many") if columns == ("begin",) else cells.select("many", "rare")
+    rows = used.mapInArrow(lambda b: _totals(columns, b), "id long, kind long, n long").groupBy("id", "kind").agg(F.sum("n").alias("n")).toArrow()
+    at, kind, n = (np.asarray(rows[c], _I) for c in ("id", "kind", "n"))
+    out, rest = np.zeros((kinds, _IDS)), np.zeros(4)
+    out[kind[at >= 0], at[at >= 0]] = n[at >= 0]
+    rest[kind[at < 0]] = n[at < 0]
+    return out, rest
+
+
+def _discount(once, twice):
+    return np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.1, 0.9)
+
+
+def reseat(sweep: int, shared: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tables of all cells of each part drawn anew, then the root's tables of the part's rare words."""
+    rest = STRENGTH + shared["customers"]
+    for batch in batches:
+        for k in range(batch.num_rows):
+            u, w, n, t, s, more = unpack(batch.column("many")[k].as_buffer(), *_MANY)
+            rare = unpack(batch.column("rare")[k].as_buffer(), *_RARE)
+            rw, once, rt = rare[:3]
+            hot, dish = _common(u), _common(w)
+            new = (STRENGTH + shared["d0"] * shared["root"]) * shared["base"]
+            p = np.empty(len(w))
+            p[dish] = shared["p"][w[dish]]
+            at = np.searchsorted(rw, w[~dish])
+            served = once + np.bincount(at, t[~dish], len(rw)).astype(_I)
+            p[~dish] = ((served - shared["d0"] * rt + new) / rest)[at]
+            d, tables_of = np.full(len(u), shared["d_rare"]), np.empty(len(u))
+            d[hot], tables_of[hot] = shared["d"][u[hot]], shared["t"][u[hot]]
+            keys, back = np.unique(u[~hot], return_inverse=True)
+            tables_of[~hot] = more[~hot] + np.bincount(back, t[~hot], len(keys))[back]
+            key = X.mix(_code(u, w) + np.uint64(sweep))
+            t = tables(n, d, (STRENGTH + d * np.maximum(tables_of - t, 0)) * p, d * p, key)
+            served = once + np.bincount(at, t[~dish], len(rw)).astype(_I)
+            d0 = np.full(len(rw), shared["d0"])
+            rt = tables(served, d0, (STRENGTH + d0 * (shared["root"] - rt)) * shared["base"], d0 * shared["base"], X.mix(rw.view(np.uint64) ^ np.uint64(sweep + 77)))
+            rare[2] = rt
+            if sweep >= BURN_IN:
+                s = s + t
+                rare[3 + 2 * (sweep - BURN_IN)], rare[4 + 2 * (sweep - BURN_IN)] = served, rt
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("part").slice(k, 1), batch.column("ones").slice(k, 1), pa.array([pack(u, w, n, t, s, more)], pa.binary()), pa.array([pack(*rare)], pa.binary())], ["part", "ones", "many", "rare"]
+            )
+
+
+def _at_most(levels: list[tuple[int, int]], most: int) -> int | None:
+    """The least level from which on no more than ``most`` rows remain; ``levels`` are (level, rows)."""
     cut, held = None, 0
-    for at, rows, _ in levels:
+    for at, rows in sorted(levels, reverse=True):
         held += rows
         if held > most:
             break
         cut = at
-    return cut, level, levels
+    return cut
 
 
-KEPT = SWEEPS - BURN_IN
+def _level(n):
+    """The sixteenth of a doubling that a count lies in."""
+    return np.floor(np.log2(n) * 16 + 1e-9).astype(_I)
 
 
 class Model:
-    """``contexts`` (u, c, d, t0..), ``words`` (w, n, p0..), ``cells`` (u, w, n, s: tables summed over the samples)."""
+    """The cells of all parts after the last sweep, and the arrays of the common words that are broadcast."""
 
     def __init__(self, scratch: Scratch, cells: DataFrame, n_words: int):
+        context = cells.sparkSession.sparkContext
         base = 1 / (n_words + 1)
-        contexts = cells.groupBy("u").agg(F.sum("n").alias("c"), _ones(1).alias("once"), _discount(_ones(1), _ones(2)).alias("d"))
-        contexts = scratch.keep(contexts, "contexts")
-        words = scratch.keep(cells.groupBy("w").agg(F.sum("n").alias("count"), _ones(1).alias("once")).withColumn("t", F.lit(1).cast("long")), "words")
-        words = words.withColumn("p", F.lit(base))
-        seated = _with(cells.where("n > 1"), "u", contexts.select("u", "d", "once")).select("u", "w", "n", "d", "once", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("s"))
-        seated, root, self.unknown = scratch.keep(seated, "seated"), n_words, []
+        (c, once, twice, alone), rest = _summed(cells, ("begin",), 4)
+        d, d_rare = _discount(once, twice), float(_discount(rest[1], rest[2]))
+        (more, served), rare = _summed(cells, ("t",), 2)
+        root = np.where(alone + served > 0, 1, 0)
+        self.t, self.p, self.unknown = [], [], []
         for sweep in range(SWEEPS):
-            of = _with(_with(seated, "u", seated.groupBy("u").agg(F.sum("t").alias("more"))), "w", words.select("w", "p"))
-            of = of.withColumn("a", (STRENGTH + F.col("d") * (F.col("once") + F.col("more") - F.col("t"))) * F.col("p")).withColumn("step", F.col("d") * F.col("p")).drop("more", "p")
-            seated = _redrawn(of, sweep).drop("a", "step").withColumn("s", F.col("s") + (F.col("t") if sweep >= BURN_IN else 0))
-            seated = scratch.keep(seated, "seated")
-            words = _with(words.drop("n"), "w", seated.groupBy("w").agg(F.sum("t").alias("more"))).withColumn("n", F.col("once") + F.coalesce("more", F.lit(0))).drop("more", "p")
-            words = scratch.keep(words, "served")
-            d, customers = words.agg(_discount(_ones(1), _ones(2)), F.sum("n")).first()
-            customers = customers or 0
-            of = words.withColumn("u", F.lit(-1).cast("long")).withColumn("d", F.lit(float(d))).withColumn("a", (STRENGTH + d * (root - F.col("t"))) * base).withColumn("step", F.lit(d * base))
-            words = scratch.keep(_redrawn(of, sweep).drop("u", "d", "a", "step"), "words")
-            root = words.agg(F.sum("t")).first()[0] or 0
-            rest = (STRENGTH + d * root) * base
-            words = words.withColumn("p", (F.col("n") - d * F.col("t") + rest) / (STRENGTH + customers))
+            n = alone + served
+            some = np.flatnonzero(n)
+            d0 = float(_discount((n == 1).sum() + rare[2], (n == 2).sum() + rare[3]))
+            customers, in_root = float(n.sum() + rare[0]), float(root.sum() + rare[1])
+            p = (n - d0 * root + (STRENGTH + d0 * in_root) * base) / (STRENGTH + customers)
+            shared = context.broadcast({"p": p, "d": d, "t": once + more, "d_rare": d_rare, "d0": d0, "root": in_root, "customers": customers, "base": base})
+            cells, old = scratch.keep(cells.mapInArrow(lambda b, sweep=sweep, shared=shared: reseat(sweep, shared.value, b), CELLS), "cells"), cells
+            scratch.drop(old)
+            (more, served), rare = _summed(cells, ("t",), 2)
+            n, each = alone + served, np.full(len(some), d0)
+            a = (STRENGTH + d0 * (in_root - root[some])) * base
+            root[some] = tables(n[some].astype(_I), each, a, each * base, X.mix(some.astype(np.uint64) ^ np.uint64(sweep + 77)))
             if sweep >= BURN_IN:
-                k = sweep - BURN_IN
-                self.unknown.append(rest / (STRENGTH + customers))
-                words = words.withColumn(f"p{k}", F.col("p"))
-                sums = seated.groupBy("u").agg(F.sum("t").alias("more"))
-                contexts = _with(contexts, "u", sums).withColumn(f"t{k}", F.col("once") + F.coalesce("more", F.lit(0))).drop("more")
-                contexts = scratch.keep(contexts, "contexts")
-        self.contexts = contexts.drop("once")
-        self.words = scratch.keep(words.select("w", "count", *(f"p{k}" for k in range(KEPT))), "words")
-        self.seated = seated.select("u", "w", "n", "s")
-        self.cells = cells.where("n = 1").select("u", "w", "n", F.lit(KEPT).cast("long").alias("s")).unionByName(self.seated)
-
-    def log(self, pairs: DataFrame) -> tuple[DataFrame, Column]:
-        """The rows of ``pairs`` (u, w, n, s; null counts where a pair is new), and log10 of their probabilities."""
-        zero = lambda c: F.coalesce(c, F.lit(0.0))
-        back = sum((STRENGTH + zero("d") * zero(f"t{k}")) * F.coalesce(f"p{k}", F.lit(self.unknown[k])) for k in range(KEPT)) / KEPT
-        p = (zero("n") - zero("d") * zero("s") / KEPT + back) / (STRENGTH + zero("c"))
-        return _with(_with(pairs, "w", self.words), "u", self.contexts), F.log10(p)
+                new = (STRENGTH + d0 * (root.sum() + rare[1])) * base / (STRENGTH + n.sum() + rare[0])
+                self.p.append((n - d0 * root) / (STRENGTH + n.sum() + rare[0]) + new)
+                self.unknown.append((new, d0, float(STRENGTH + n.sum() + rare[0])))
+                self.t.append(once + more)
+        self.cells, self.c, self.d, self.d_rare = cells, c, d, d_rare
+
+    def log(self, u: np.ndarray, w: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of pairs of common words."""
+        return _log(self.c[u], self.d[u], n, s, [t[u] for t in self.t], [p[w] for p in self.p])
+
+
+def _log(c, d, n, s, t: list, p: list) -> np.ndarray:
+    back = sum((STRENGTH + d * tk) * pk for tk, pk in zip(t, p, strict=True)) / KEPT
+    return np.log10((n - d * s / KEPT + back) / (STRENGTH + c))
 
 
 def _served(n: np.ndarray, t: np.ndarray, d: float, prior: np.ndarray) -> np.ndarray:
@@ -372,76 +560,203 @@ def _served(n: np.ndarray, t: np.ndarray, d: float, prior: np.ndarray) -> np.nda
     return (n - d * t + (STRENGTH + d * t.sum()) * prior) / (STRENGTH + n.sum())
 
 
+def _frequent(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, log10 probabilities) of the pairs of common words of the highest counts, PAIRS at most."""
+
+    def levels(batches):
+        count = np.zeros(1200, _I)
+        for batch in batches:
+            for raw in batch.column(0):
+                u, w, n = unpack(raw.as_buffer(), *_MANY)[:3]
+                both = _common(u) & _common(w)
+                count += np.bincount(_level(n[both]), minlength=1200)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["at", "rows"])
+
+    found = model.cells.select("many").mapInArrow(levels, "at long, rows long").groupBy("at").agg(F.sum("rows").alias("rows")).collect()
+    cut = _at_most([(r["at"], r["rows"]) for r in found], PAIRS)
+    if cut is None:
+        return np.empty(0, _I), np.empty(0)
+
+    def chosen(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                u, w, n, _, s, _ = unpack(raw.as_buffer(), *_MANY)
+                keep = _common(u) & _common(w) & (_level(n) >= cut)
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (u, w, n, s)], ["u", "w", "n", "s"])
+
+    rows = model.cells.select("many").mapInArrow(chosen, "u long, w long, n long, s long").toArrow()
+    u, w, n, s = (np.asarray(rows[c], _I) for c in ("u", "w", "n", "s"))
+    code = u * _IDS + w
+    order = np.argsort(code)
+    return code[order], model.log(u, w, n, s)[order]
+
+
+LOOKED_UP = "row long, log double, base double, known long, u long, x double, p double"
+
+
+def look_up(shared: dict, cells: pa.Table, tokens_: pa.Table) -> pa.Table:
+    """The tokens of one part held against its cells: sums by row, and tokens after a rare word with what is known
+    of them here (x: customers less discounts, p: the parent's probability)."""
+    blocks = [unpack(raw.as_buffer(), _I, _I, _I) for chunk in tokens_["block"].chunks for raw in chunk]
+    u, w, row = (np.concatenate([b[k] for b in blocks]) if blocks else np.empty(0, _I) for k in range(3))
+    if not len(u):
+        return pa.table({f.name: pa.array([], f.type) for f in _LOOKED_UP})
+    n, s, count = np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(u))
+    dish = _common(w)
+    p = [np.where(dish, pk[np.where(dish, w, 0)], shared["unknown"][k][0]) for k, pk in enumerate(shared["p"])]
+    if cells.num_rows:
+        a1, b1 = unpack(cells["ones"][0].as_buffer(), _I, _I)
+        a2, b2, n2, _, s2, _ = unpack(cells["many"][0].as_buffer(), *_MANY)
+        rare = unpack(cells["rare"][0].as_buffer(), *_RARE)
+        keys = np.concatenate([_code(a1, b1), _code(a2, b2)])
+        order = np.argsort(keys)
+        keys, customers, seated = keys[order], np.concatenate([np.ones(len(a1)), n2])[order], np.concatenate([np.full(len(a1), KEPT), s2])[order]
+        code = _code(u, w)
+        at = np.minimum(np.searchsorted(keys, code), max(len(keys) - 1, 0))
+        if len(keys):
+            found = keys[at] == code
+            n, s = np.where(found, customers[at], 0), np.where(found, seated[at], 0)
+        rw = rare[0]
+        if len(rw):
+            each = rare[1] + np.bincount(np.searchsorted(rw, b2[~_common(b2)]), n2[~_common(b2)], len(rw))
+            at = np.minimum(np.searchsorted(rw, w), len(rw) - 1)
+            known = ~dish & (rw[at] == w)
+            count = np.where(known, each[at], 0)
+            for k, (new, d0, total) in enumerate(shared["unknown"]):
+                p[k] = np.where(known, (rare[3 + 2 * k] - d0 * rare[4 + 2 * k])[at] / total + new, p[k])
+    hot = _common(u)
+    at = np.where(hot, u, 0)
+    log = np.where(hot, _log(shared["c"][at], shared["d"][at], n, s, [t[at] for t in shared["t"]], p), 0)
+    rows, back = np.unique(row, return_inverse=True)
+    add = lambda x: np.bincount(back, x, len(rows))
+    cold = np.flatnonzero(~hot)
+    none = lambda k, kind: pa.nulls(k, kind)
+    sums = [pa.array(rows), pa.array(add(log)), pa.array(add(np.where(dish, 0, np.log10(count + 1)))), pa.array(add(~dish & (count > 0)).astype(_I)), none(len(rows), pa.int64()), none(len(rows), pa.float64()), none(len(rows), pa.float64())]
+    mean = sum(p) / KEPT
+    cold_rows = [pa.array(row[cold]), none(len(cold), pa.float64()), none(len(cold), pa.float64()), none(len(cold), pa.int64()), pa.array(u[cold]), pa.array((n - shared["d_rare"] * s / KEPT)[cold]), pa.array(mean[cold])]
+    return pa.table([pa.concat_arrays([x, y]) for x, y in zip(sums, cold_rows, strict=True)], schema=_LOOKED_UP)
+
+
+_LOOKED_UP = pa.schema([("row", pa.int64()), ("log", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("u", pa.int64()), ("x", pa.float64()), ("p", pa.float64())])
+
+
+def _rare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, c, s): customers and summed tables that each rare context has in a part."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            a, _ = unpack(batch.column("ones")[k].as_buffer(), _I, _I)
+            u, _, n, _, s, _ = unpack(batch.column("many")[k].as_buffer(), *_MANY)
+            a, rare = a[~_common(a)], ~_common(u)
+            keys, back = np.unique(np.concatenate([a, u[rare]]), return_inverse=True)
+            sums = [np.bincount(back, np.concatenate([np.full(len(a), one), x[rare]]), len(keys)).astype(_I) for one, x in ((1, n), (KEPT, s))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, sums)], ["u", "c", "s"])
+
+
+SCORED = "doc_id long, row long, n_tokens long, n_known long, base double, model double, part long, block binary"
+
+
+def _score(shared: dict, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text with the sums of what is broadcast, and blocks (u, w, row) of the other tokens."""
+    common, codes, logs, log_n, n_end = (shared[k] for k in ("common", "codes", "logs", "log_n", "n_end"))
+    seen, held, size = TaskContext.get().partitionId() << 40, [], 0
+
+    def blocks() -> pa.RecordBatch:
+        u, w, row = (np.concatenate([h[k] for h in held]) for k in range(3))
+        out = _dealt(part_of(u, w, parts), min(parts, FAN), u, w, row)
+        kinds = [pa.int64()] * 4 + [pa.float64()] * 2
+        return pa.RecordBatch.from_arrays([*(pa.nulls(out.num_rows, k) for k in kinds), *out.columns], _SCORED)
+
+    for batch in batches:
+        for a, b, data, off in X.slices(batch.column(1)):
+            u, w, first = common.ids(data, off)
+            of = np.repeat(np.arange(b - a), np.diff(first))
+            near, hot = _common(w), _common(u)
+            value, found = np.zeros(len(w)), np.zeros(len(w), bool)
+            if len(codes):
+                own = np.where(near & hot, u * _IDS + w, -1)
+                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                found = codes[at] == own
+                value = np.where(found, logs[at], 0)
+            base, known = np.where(near, log_n[np.where(near, w, 0)], 0), near & ((w != END) | (n_end > 0))
+            add = lambda x: pa.array(np.bincount(of, x, b - a))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(a, b - a), pa.array(seen + np.arange(b - a)), pa.array(np.diff(first), pa.int64()), pa.array(np.bincount(of, known, b - a).astype(_I)),
+                    add(base), add(value), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary()),
+                ],
+                _SCORED,
+            )
+            held.append((u[~found], w[~found], seen + of[~found]))
+            size += len(held[-1][0])
+            seen += b - a
+            if size > _FLUSH:
+                yield blocks()
+                held, size = [], 0
+    if size:
+        yield blocks()
+
+
+_SCORED = ["doc_id", "row", "n_tokens", "n_known", "base", "model", "part", "block"]
+
+
+class Learnt:
+    """What is learnt of the texts of ``train``: word counts, common words and the model's cells."""
+
+    def __init__(self, train: DataFrame, scratch: Scratch, most: int = COMMON):
+        counts = train.mapInArrow(lambda b: _tallied(b, lambda data, off: tokens(data, off)[0]), "k long, n long")
+        counts = scratch.keep(counts.groupBy("k").agg(F.sum("n").alias("n")), "counts")
+        end = X.signed(np.array([END_HASH], np.uint64))[0].item()
+        level = F.floor(F.log2(F.col("n").cast("double")) * 16 + 1e-9).cast("int")
+        # At most 1,100 rows.
+        levels = counts.groupBy(level.alias("at")).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
+        self.tokens, self.words = sum(r["n"] for r in levels), sum(r["rows"] for r in levels)
+        cut = _at_most([(r["at"], r["rows"]) for r in levels], most)
+        top = counts.where(F.lit(False) if cut is None else (level >= cut) & (F.col("k") != end)).toArrow()
+        self.common = Common(np.asarray(top["k"], _I).view(np.uint64), np.asarray(top["n"], _I))
+        ends = counts.where(F.col("k") == end).select("n").collect()
+        self.ends = ends[0]["n"] if ends else 0
+        scratch.drop(counts)
+        self.parts = parts = parts_for(self.tokens)
+        words = train.sparkSession.sparkContext.broadcast(self.common)
+        blocks = exchanged(train.mapInArrow(lambda b: _paired(words.value, parts, b), "part long, block binary"), (_I, _I, _I), parts)
+        self.model = Model(scratch, scratch.keep(blocks.groupBy("part").applyInArrow(gather, CELLS), "cells"), self.words)
+
+    def arrays(self) -> dict:
+        m = self.model
+        return {"c": m.c, "d": m.d, "t": m.t, "p": m.p, "unknown": m.unknown, "d_rare": m.d_rare}
+
+
 def op9(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Learns from all rows that are not held out. ``base_score`` is the add-one unigram's log10 probability and
     ``score`` the model's. A null text is an empty one: its only token is the end. Without training rows every
-    word is unknown.
+    word is unknown. Rows that repeat a doc_id are texts of their own; other columns are not read; among words of
+    equal counts the broadcast takes all of a level or none.
     """
     scratch = Scratch(docs.sparkSession, "language-model")
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    train = docs.where(~_held_out()).select("text")
-    counts = train.mapInArrow(lambda b: _tallied(b, lambda data, off: tokens(data, off)[0]), "k long, n long")
-    counts = scratch.keep(counts.groupBy("k").agg(F.sum("n").alias("n")), "counts")
-    end = X.signed(np.array([END_HASH], np.uint64))[0].item()
-    cut, level, levels = _at_most(counts, COMMON)
-    n_all, v_all = sum(r[2] for r in levels), sum(r[1] for r in levels)
-    top = counts.where(F.lit(False) if cut is None else (level >= cut) & (F.col("k") != end)).toArrow()
-    common = Common(np.asarray(top["k"], np.int64).view(np.uint64), np.asarray(top["n"], np.int64))
-    shared = context.broadcast(common)
-    cells = train.mapInArrow(lambda b: _paired(shared.value, b), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
-    learnt = Model(scratch, scratch.keep(cells, "cells"), v_all)
-    inner = learnt.seated.where(_hot("u") & _hot("w"))
-    pair_cut, level, _ = _at_most(inner, PAIRS)
-    frequent = F.lit(False) if pair_cut is None else _hot("u") & _hot("w") & (F.col("n") > 1) & (level >= pair_cut)
-    rows, log = learnt.log(learnt.seated.where(frequent))
-    top = rows.select((F.col("u") * (START + 1) + F.col("w")).alias("code"), log.alias("log")).toArrow()
-    code, log_p = np.asarray(top["code"], np.int64), np.asarray(top["log"], float)
-    order = np.argsort(code)
-    ends = counts.where(F.col("k") == end).select("n").collect()
-    n_end = ends[0]["n"] if ends else 0
-    log_n = np.zeros(START + 1)
-    log_n[: len(common.n)], log_n[END] = np.log10(common.n + 1), np.log10(n_end + 1)
-    model = context.broadcast((common, code[order], log_p[order], log_n, n_end))
-
-    def score(batches):
-        words, codes, logs, log_n, n_end = model.value
-        part, seen = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for a, b, data, off in X.slices(batch.column(1)):
-                u, w, first = words.ids(data, off)
-                of = np.repeat(np.arange(b - a), np.diff(first))
-                near, hot = (w >= 0) & (w <= START), (u >= 0) & (u <= START)
-                base = np.where(near, log_n[np.where(near, w, 0)], 0)
-                known = near & ((w != END) | (n_end > 0))
-                at, found = np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-                if len(codes):
-                    own = np.where(near & hot, u * (START + 1) + w, -1)
-                    at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-                    found = codes[at] == own
-                value = np.where(found, logs[at], 0) if len(codes) else np.zeros(len(w))
-                lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[~found], minlength=b - a))]).astype(np.int32))
-                add = lambda x: pa.array(np.bincount(of, x, b - a))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a), pa.array((part << 40) + seen + np.arange(b - a)), pa.array(np.diff(first), pa.int64()),
-                        pa.array(np.bincount(of, known, b - a).astype(np.int64)), add(base), add(value),
-                        *(pa.ListArray.from_arrays(lists, pa.array(x[~found])) for x in (u, w)),
-                    ],
-                    ["doc_id", "row", "n_tokens", "n_known", "base", "model", "u", "w"],
-                )
-                seen += b - a
-
-    scored = docs.mapInArrow(score, "doc_id long, row long, n_tokens long, n_known long, base double, model double, u array<long>, w array<long>")
-    scored = scratch.keep(scored, "scored")
-    far = scored.select("row", F.explode(F.arrays_zip("u", "w")).alias("x")).select("row", F.col("x.u").alias("u"), F.col("x.w").alias("w"))
-    far, log = learnt.log(far.join(learnt.cells.where(~frequent), ["u", "w"], "left"))
-    rare = ~_hot("w") & F.col("count").isNotNull()
-    far = far.groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(rare, F.log10(F.col("count") + 1))).alias("more"), F.sum(rare.cast("long")).alias("known"))
+    learnt = Learnt(docs.where(~_held_out()).select("text"), scratch)
+    model, parts, n_all = learnt.model, learnt.parts, learnt.tokens
+    codes, logs = _frequent(model)
+    log_n = np.zeros(_IDS)
+    log_n[: len(learnt.common.n)], log_n[END] = np.log10(learnt.common.n + 1), np.log10(learnt.ends + 1)
+    shared = context.broadcast({"common": learnt.common, "codes": codes, "logs": logs, "log_n": log_n, "n_end": learnt.ends})
+    arrays = context.broadcast(learnt.arrays())
+    scored = scratch.keep(docs.mapInArrow(lambda b: _score(shared.value, parts, b), SCORED), "scored")
+    far = exchanged(scored.where("block is not null").select("part", "block"), (_I, _I, _I), parts)
+    found = model.cells.groupBy("part").cogroup(far.groupBy("part")).applyInArrow(lambda a, b: look_up(arrays.value, a, b), LOOKED_UP)
+    found = scratch.keep(found, "found")
+    stats = model.cells.select("ones", "many").mapInArrow(_rare_contexts, "u long, c long, s long").groupBy("u").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    cold = found.where("u is not null").select("row", "u", "x", "p").join(stats, "u", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.select("doc_id", "row", "n_tokens", "n_known", "base", "model").join(far, "row", "left").select(
+    log = F.log10((F.col("x") + (STRENGTH + model.d_rare * zero("s") / KEPT) * F.col("p")) / (STRENGTH + zero("c")))
+    every = found.where("u is null").select("row", "log", "base", "known").unionByName(cold.select("row", log.alias("log"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")))
+    sums = every.groupBy("row").agg(F.sum("log").alias("log"), F.sum("base").alias("more"), F.sum("known").alias("known"))
+    rows = scored.where("block is null").select("doc_id", "row", "n_tokens", "n_known", "base", "model").join(sums, "row", "left")
+    return rows.select(
         "doc_id", _held_out().alias("held_out"), "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more") - F.col("n_tokens") * float(np.log10(n_all + v_all + 1))).alias("base_score"), (F.col("model") + zero("log")).alias("score"),
+        (F.col("base") + zero("more") - F.col("n_tokens") * float(np.log10(n_all + learnt.words + 1))).alias("base_score"), (F.col("model") + zero("log")).alias("score"),
     )
