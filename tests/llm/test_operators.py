@@ -109,7 +109,7 @@ def test_warc_rows_of_one_page(spark):
     assert got == [(1, "revisit", 2), (1, "revisit", 3), (2, "response", None)] and warc.op4(pages).count() == 5
 
 
-def test_decontamination(spark, docs, none):
+def test_decontamination(spark, docs, none, monkeypatch):
     items = [(1, " ".join(f"w{k}" for k in range(5, 17))), (10, "two WORDS"), (3, None), (4, "..."), (None, "w1 w2"), (10, "two words"), (2, "absent " * 12)]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, spans string")
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -130,11 +130,8 @@ def test_decontamination(spark, docs, none):
                     found |= ids
         want[d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)] += 1
     assert Counter(tuple(r) for r in decontaminate.op5(docs, bench).collect()) == want
-    old, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, 40
-    try:
-        assert Counter(tuple(r) for r in decontaminate.op5(docs, bench).collect()) == want
-    finally:
-        decontaminate.BLOCK_BYTES = old
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 5)
+    assert Counter(tuple(r) for r in decontaminate.op5(docs, bench).collect()) == want
     assert decontaminate.op5(none, bench).count() == 0 and decontaminate.op5(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
@@ -204,3 +201,53 @@ def test_embeddings_of_every_length(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.02]), (5, [1.0]), (6, [2.0]), (7, [-1.0]), (8, [0.0, 1.0]), (9, [0.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.op8(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
+def test_language_model_is_normalised(spark, monkeypatch):
+    """P(w | u) sums to 1 over all words and the unknown one, after common, rare and unseen words alike."""
+    import numpy as np
+    import pyarrow as pa
+
+    L = language_model
+    texts = ["a b a b a c", "a b", "c a b q1 q2", "q2 b q3 a a b", "b b b c a q4", ""] + [f"z{k} a b z{k}" for k in range(30)]
+    learnt = L.Learnt(spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(3), Scratch(spark, "t"), most=6)
+    assert 0 < len(learnt.common.n) <= 6 and learnt.parts == 1
+    cells, arrays = learnt.model.cells.toArrow().combine_chunks(), learnt.arrays()
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    ids = {}
+    for w in [*vocabulary, "never"]:
+        data = np.frombuffer(w.encode(), np.uint8)
+        ids[w] = int(learnt.common.ids(data, np.array([0, len(data)]))[1][0])
+    outcomes = np.array([ids[w] for w in vocabulary] + [ids["never"], L.END])
+    assert len(vocabulary) + 1 == learnt.words
+    stats = {r["u"]: r for r in learnt.model.cells.select("ones", "many").mapInArrow(L._rare_contexts, "u long, c long, s long").collect()}
+    for u in (L.START, ids["a"], ids["b"], ids["z3"], ids["q2"], ids["never"]):
+        block = L.pack(np.full(len(outcomes), u), outcomes, np.arange(len(outcomes)))
+        got = L.look_up(arrays, cells, pa.table({"block": [block]})).to_pydict()
+        if u >= 0 and u <= L.START:
+            p = [10**x for x in got["log"]]
+        else:
+            own = stats.get(u, {"c": 0, "s": 0})
+            cold = [(x, q) for x, q, k in zip(got["x"], got["p"], got["u"]) if k is not None]
+            p = [(x + (L.STRENGTH + learnt.model.d_rare * own["s"] / L.KEPT) * q) / (L.STRENGTH + own["c"]) for x, q in cold]
+        assert len(p) == len(outcomes) and sum(p) == pytest.approx(1) and min(p) > 0, u
+
+
+def test_blocks_are_dealt_in_steps(spark, monkeypatch):
+    """More parts than one task deals to are reached in steps, and nothing is lost on the way."""
+    import numpy as np
+    import pyarrow as pa
+
+    L = language_model
+    monkeypatch.setattr(L, "FAN", 4)
+    u, w = np.arange(500) % 40, np.arange(500) // 40 - 3
+    first = L._dealt(L.part_of(u, w, 16), 4, u, w, np.arange(500))
+    blocks = [(p, b) for p, b in zip(first["part"].to_pylist(), first["block"].to_pylist())]
+    rows = L._regrouped((np.int64,) * 3, 16, 16, iter([pa.RecordBatch.from_pydict({"part": [p for p, _ in blocks], "block": [b for _, b in blocks]})]))
+    seen = []
+    for batch in rows:
+        for p, b in zip(batch["part"].to_pylist(), batch["block"].to_pylist()):
+            a, c, n = L.unpack(b, *(np.int64,) * 3)
+            assert (L.part_of(a, c, 16) == p).all()
+            seen += n.tolist()
+    assert sorted(seen) == list(range(500)) and L.parts_for(5 << 20) == 16 and L.parts_for(3 << 20) == 3
