@@ -1,7 +1,8 @@
 """A corpus from raw documents to tokens: each stage's rows are written and read again for the next.
 
-All stages but the last return the columns of documents; ``n_chars`` follows a changed text. Rows with a null
-doc_id cannot be compared with others and stay, where the stage does not judge the text alone.
+All stages but the last return the columns of documents; ``n_chars`` follows a changed text. Every stage judges
+rows and not doc_ids: rows of one doc_id, or of none, stay or go each by its own text. Rows with a null doc_id
+cannot be ordered among others, so the two stages that dedup keep them as they are.
 """
 
 from __future__ import annotations
@@ -16,34 +17,25 @@ from patchloom.llm.queries import vocabulary
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _chosen(docs: DataFrame, chosen: DataFrame, scratch: Scratch, nulls: bool) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``chosen``; with ``nulls`` those without a doc_id too."""
-    ids = scratch.keep(chosen.where("doc_id is not null").select("doc_id").distinct(), "chosen")
-    kept = docs.join(ids, "doc_id", "left_semi").select(COLUMNS)
-    return kept.union(docs.where("doc_id is null").select(COLUMNS)) if nulls else kept
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good stay."""
-    scored = quality.op2(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _chosen(docs, scored.where("predicted = 1"), Scratch(spark, "quality"), False)
+    return quality.chosen(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the smallest doc_id."""
-    return _chosen(docs, minhash.op1(docs).where("kept"), Scratch(spark, "near"), True)
+    return minhash.deduplicated(docs.select(COLUMNS), Scratch(spark, "near"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document of a smaller doc_id has are taken out; documents that nothing is left of go."""
-    left = chunks.dedupe(docs.select(COLUMNS), Scratch(spark, "substring"))
-    return left.where("text is null or text <> '' or n_chars = 0").select(COLUMNS)
+    left = chunks.dedupe(docs.select(COLUMNS).withColumn("_empty", F.col("text") == ""), Scratch(spark, "substring"))
+    return left.where("text is null or text <> '' or _empty").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    hits = decontaminate.op5(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _chosen(docs, hits.where("not contaminated"), Scratch(spark, "clean"), True)
+    return decontaminate.clean(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +51,8 @@ STAGES = [
     ("benchmark_decontamination", decontaminated),
     ("bpe", tokenised),
 ]
-#: The classifier is fitted by gradients and the sketches are random: beyond SQL. tests/llm holds the stages
-#: against their own operators.
+#: The classifier is fitted by gradients and chunks are cut by a rolling hash: beyond SQL. tests/llm holds the
+#: stages against plain versions written for the tests.
 ORACLE_SQL = None
 
 
