@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -33,7 +34,7 @@ def same_rows(frame, oracle) -> None:
     """Equal columns and, in any order, equal values."""
 
     def norm(rows):
-        return sorted(tuple("null" if v is None or v != v else f"{float(v):.6g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v) for v in row) for row in rows)
+        return sorted(tuple("null" if pd.isna(v) else f"{float(v):.6g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v) for v in row) for row in rows)
 
     columns = sorted(frame.columns)
     assert columns == sorted(oracle.columns)
