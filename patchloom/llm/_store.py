@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows that a Python worker and its task hold at once; the engine's own default is ten times as many.
+_BATCH, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Smaller batches for Python workers, where the session has left their size as it is: texts are long rows."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(_ROWS))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -47,6 +57,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        lean(spark)
         self.spark, self.at, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self._end = atexit.register(partial(_at_exit, spark, self.at))
 

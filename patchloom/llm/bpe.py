@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._store import lean
 
 #: Words kept encoded per worker before the table starts anew.
 CACHE = 400_000
@@ -290,6 +291,7 @@ def _load(shared) -> Bpe:
 
 def _share(df: DataFrame, path: str):
     """The vocabulary (a fixed file of a few megabytes) for all executors, read on the driver."""
+    lean(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

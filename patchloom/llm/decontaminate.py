@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text as X
+from ._store import lean
 
 WINDOW = 10
 #: Words of benchmark text that are sent to the executors at once; a larger benchmark takes several passes.
@@ -112,11 +114,11 @@ def _expand(index: Index, w: X.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns text, n_words, spans, items and any others: what this block's windows add."""
+    """Columns text (or _text), _n_words, _spans, _items and any others: what this block's windows add."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         names = batch.schema.names
-        for a, b, data, off in X.slices(batch.column(0)):
+        for a, b, data, off in X.slices(batch.column("_text" if "_text" in names else "text")):
             w = X.words(data, off, X.ALNUM)
             window, start = _expand(index, w) if len(w.hash) else (np.empty(0, np.int64), np.empty(0, np.int64))
             spans, items = (batch.column(c).slice(a, b - a).to_pylist() for c in ("_spans", "_items"))
@@ -175,7 +177,10 @@ def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows; repeated items count once. A null text has no words. A long item is dealt to blocks in pieces.
     """
     kind = "array<struct<start: int, end: int>>"
-    out = docs.select(F.col("text").cast("string").alias("_text"), *docs.columns, F.lit(0).cast("long").alias("_n_words"), F.array().cast(kind).alias("_spans"), F.array().cast("array<long>").alias("_items"))
+    lean(docs.sparkSession)
+    # The text is sent once, unless it is no text.
+    other = [] if isinstance(docs.schema["text"].dataType, T.StringType) else [F.col("text").cast("string").alias("_text")]
+    out = docs.select(*other, *docs.columns, F.lit(0).cast("long").alias("_n_words"), F.array().cast(kind).alias("_spans"), F.array().cast("array<long>").alias("_items"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
     pieces = items.mapInArrow(_pieces, "item_id long, words binary")
     size = pieces.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]

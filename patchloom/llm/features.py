@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
+from ._store import lean
 
 
 #: Bytes of text in a sample, at most: rows beyond are left out of it.
@@ -64,6 +65,8 @@ def packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
 def collected(rows: DataFrame, featurise, schema: str) -> list:
     """The sample's features on the driver, which fits the model; rows are as many as the sample has."""
 
+    lean(rows.sparkSession)
+
     def run(batches):
         for batch in batches:
             for a, b, data, off in X.slices(batch.column("text")):
@@ -74,16 +77,19 @@ def collected(rows: DataFrame, featurise, schema: str) -> list:
 
 def scores(docs: DataFrame, score, model, carried: list[str]) -> DataFrame:
     """The columns ``carried`` of ``docs`` and a score of the text for every row; ``score(model, data, off)`` runs on slices."""
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField("_score", T.DoubleType())])
+    # The text is sent once, whether it is carried or not.
+    at = carried.index("text") if "text" in carried and isinstance(docs.schema["text"].dataType, T.StringType) else len(carried)
 
     def run(batches):
         for batch in batches:
-            for a, b, data, off in X.slices(batch.column(0)):
-                kept = [batch.column(k + 1).slice(a, b - a) for k in range(len(carried))]
+            for a, b, data, off in X.slices(batch.column(at)):
+                kept = [batch.column(k).slice(a, b - a) for k in range(len(carried))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(score(shared.value, data, off).astype(np.float64))], [*carried, "_score"])
 
-    return docs.select(F.col("text").cast("string").alias("_text"), *carried).mapInArrow(run, schema)
+    return docs.select(*carried, *([F.col("text").cast("string").alias("_text")] if at == len(carried) else [])).mapInArrow(run, schema)
 
 
 def scored(docs: DataFrame, score, held_out: Column, at: float, model) -> DataFrame:
