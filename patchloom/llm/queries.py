@@ -76,7 +76,7 @@ b AS (SELECT page_id, payload_bytes, h,
     to_base(('0x' || h[21:30])::BIGINT, 32, 8), to_base(('0x' || h[31:40])::BIGINT, 32, 8)),
     '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM d),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM b)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner IS NULL OR page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to FROM m
 """
 
@@ -114,13 +114,14 @@ _TEMPLATES = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMP
 _PHRASES = ", ".join(f"('{label}', '{text}')" for text, label in licenses.PHRASES.items())
 ORACLE_OP10 = f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
-t AS (SELECT label, list_distinct(string_split(words, ' ')) AS s FROM (VALUES {_TEMPLATES}) v(label, words)),
+t AS (SELECT label, list_distinct(string_split(words, ' ')) AS s, ceil({licenses.SPREAD} * len(string_split(words, ' ')))::INT AS span FROM (VALUES {_TEMPLATES}) v(label, words)),
 p AS (SELECT label, words AS phrase, len(string_split(words, ' ')) AS size FROM (VALUES {_PHRASES}) v(label, words)),
 places AS (SELECT doc_id, label, k FROM (SELECT doc_id, w, label, phrase, size, unnest(range(len(w) - size + 1)) AS k FROM dw, p WHERE len(w) >= size)
   WHERE array_to_string(w[k + 1 : k + size], ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
-b AS (SELECT doc_id, w[32 * k + 1 : 32 * k + 64] AS block FROM (SELECT doc_id, w, unnest(range(greatest(0, (len(w) - 33) // 32) + 1)) AS k FROM dw WHERE len(w) > 0)),
-held AS (SELECT doc_id, label, len(list_intersect(s, list_distinct(block))) AS n, len(s) AS size FROM b, t),
+few AS (SELECT doc_id, w, label, s, span FROM dw, t WHERE len(list_intersect(s, list_distinct(w))) >= ceil(0.8 * len(s) - 1e-9)),
+b AS (SELECT doc_id, label, s, w[k + 1 : k + span] AS block FROM (SELECT *, unnest(range(len(w))) AS k FROM few) WHERE list_contains(s, w[k + 1])),
+held AS (SELECT doc_id, label, len(list_intersect(s, list_distinct(block))) AS n, len(s) AS size FROM b),
 found AS (SELECT doc_id, label, n / size AS share FROM held WHERE n >= ceil(0.8 * size - 1e-9)),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
