@@ -14,18 +14,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._store import Scratch
 from .components import components
+from .minhash import merged
 
 COSINE = 0.9
-#: Rows that the codebooks and the number of visited cells are fitted on; all rows are indexed.
-SAMPLE = 4096
+#: Rows that the codebooks and the number of visited cells are fitted on, at least and at most; all rows are indexed.
+SAMPLE, MOST_SAMPLE = 4096, 1 << 15
 #: Share of links, between sampled rows and at the very threshold, whose cell the traversal must reach.
 RECALL = 0.995
-#: Members, and visitors, that meet in one task's group at most (on average; they are dealt by hash).
-MEET = 2048
-MOST_CODES = 256
+#: Members of a group of cells, and members and visitors that meet in one task, on average; they are dealt by hash.
+MEET = 1 << 14
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -36,15 +37,18 @@ def _distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ codes.T + (codes * codes).sum(1)
 
 
+def _nearest(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([_distances(x[k : k + 1024], codes).argmin(1) for k in range(0, len(x), 1024)])
+
+
 def _codebook(x: np.ndarray, k: int) -> np.ndarray:
     rng = np.random.default_rng(3)
     codes = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(12):
-        own = _distances(x, codes).argmin(1)
-        for c in range(len(codes)):
-            mine = x[own == c]
-            if len(mine):
-                codes[c] = mine.mean(0)
+        own = _nearest(x, codes)
+        n = np.bincount(own, minlength=len(codes))
+        sums = np.stack([np.bincount(own, x[:, c], len(codes)) for c in range(x.shape[1])], 1)
+        codes[n > 0] = sums[n > 0] / n[n > 0, None]
     return codes
 
 
@@ -63,14 +67,19 @@ def traverse(d1: np.ndarray, d2: np.ndarray, visits: int) -> np.ndarray:
 
 
 class Index:
-    """Codebooks of both halves and the number of cells that each vector visits."""
+    """Codebooks of both halves, the number of cells that each vector visits, and groups of near cells."""
 
     def __init__(self, sample: np.ndarray, n: int):
         x = unit(sample)
-        k = int(min(MOST_CODES, max(2, math.ceil(n ** (1 / 3))), len(x)))
+        k = int(min(max(2, math.ceil(n ** (1 / 3))), len(x)))
         self.cut = x.shape[1] // 2
         self.codes = [_codebook(x[:, : self.cut], k), _codebook(x[:, self.cut :], k)]
         self.visits = self._visits(x)
+        # Groups take whole first codes while these are more than the groups, and parts of them beyond.
+        groups = max(1, -(-n // MEET))
+        first, second = min(groups, len(self.codes[0])), min(-(-groups // len(self.codes[0])), len(self.codes[1]))
+        near = [_nearest(c, _codebook(c, g)) for c, g in zip(self.codes, (first, second), strict=True)]
+        self.group = (near[0][:, None] * second + near[1][None]).ravel().astype(np.int32)
 
     def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(x[:, : self.cut], self.codes[0]), _distances(x[:, self.cut :], self.codes[1])
@@ -83,7 +92,14 @@ class Index:
         near = [(some, COSINE * some + math.sqrt(1 - COSINE**2) * side)]
         a, b = np.nonzero(np.triu(some @ x.T >= COSINE, 1)) if len(x) > 1 else ([], [])
         if len(a):
-            near.append((some[a[:20000]], x[b[:20000]]))
+            # As many of the links as there are sampled rows, each row's at random: no group fills the choice.
+            order = rng.permutation(len(a))
+            turn = np.empty(len(a), np.int64)
+            by = order[np.argsort(a[order], kind="stable")]
+            first = np.searchsorted(a[by], a[by])
+            turn[by] = np.arange(len(a)) - first
+            kept = np.lexsort((rng.random(len(a)), turn))[:4096]
+            near.append((some[a[kept]], x[b[kept]]))
         need = 1
         for u, v in near:
             least = np.minimum(self._places(u, v), self._places(v, u))
@@ -92,11 +108,13 @@ class Index:
 
     def _places(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Cells that come before v's cell in u's traversal."""
-        d1, d2 = self._halves(u)
-        own = self.cell(v)
-        sums = d1[:, :, None] + d2[:, None, :]
-        at = sums.reshape(len(u), -1)[np.arange(len(u)), own]
-        return (sums.reshape(len(u), -1) < at[:, None]).sum(1)
+        own, out = self.cell(v), []
+        step = max(1, (1 << 21) // (len(self.codes[0]) * len(self.codes[1])))
+        for k in range(0, len(u), step):
+            d1, d2 = self._halves(u[k : k + step])
+            sums = (d1[:, :, None] + d2[:, None, :]).reshape(len(d1), -1)
+            out.append((sums < sums[np.arange(len(d1)), own[k : k + step]][:, None]).sum(1))
+        return np.concatenate(out)
 
     def cell(self, x: np.ndarray) -> np.ndarray:
         d1, d2 = self._halves(x)
@@ -106,48 +124,47 @@ class Index:
         return traverse(*self._halves(x), self.visits)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of lists packed as 32-bit numbers."""
+    raw = column.to_pylist()
+    return np.repeat(np.arange(len(raw)), [len(r) // 4 for r in raw]), np.frombuffer(b"".join(raw), np.int32).astype(np.int64)
 
 
-def meet(table: pa.Table) -> pa.Table:
+def meet(table: pa.Table, kind: str) -> pa.Table:
     """Members and visitors of one group of cells: (id, links, near) of those that found links.
 
-    A pair that meets in both vectors' cells is counted where the visitor has the smaller id.
+    A role of 1 is a member, 2 a visitor, 3 both. Members know all cells they visit, visitors those of the group. A
+    pair that meets in both vectors' cells is counted where the visitor has the smaller id.
     """
-    member = np.asarray(table["member"])
-    ids, cell, copies = (np.asarray(table[c]) for c in ("id", "cell", "copies"))
-    dim = len(table["vector"][0].as_py()) // 8
-    x = unit(_matrix(table["vector"], dim))
-    visits = np.frombuffer(b"".join(table["visits"].to_pylist()), np.int32).reshape(len(ids), -1)
-    m, q = np.flatnonzero(member), np.flatnonzero(~member)
+    role, ids, cell, copies = (np.asarray(table[c]) for c in ("role", "id", "cell", "copies"))
+    x = unit(np.frombuffer(b"".join(table["vector"].to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
+    row, visited = _ragged(table["visits"])
+    span = int(max(visited.max(initial=0), cell.max(initial=0))) + 1
+    known = np.sort(row[role[row] != 2] * span + visited[role[row] != 2])
+    calls = role[row] != 1
+    by_cell = np.argsort(visited[calls], kind="stable")
+    caller, called = row[calls][by_cell], visited[calls][by_cell]
+    m = np.flatnonzero(role != 2)
     order = m[np.argsort(cell[m], kind="stable")]
     bounds = np.flatnonzero(np.diff(np.concatenate([[-1], cell[order]])))
-    left, right = [], []
+    links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
     for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True):
-        own = order[a:b]
-        here = q[(visits[q] == cell[own[0]]).any(1)]
-        for k in range(0, len(here), 512):
-            part = here[k : k + 512]
-            u, v = np.nonzero(x[part] @ x[own].T >= COSINE)
-            left.append(part[u])
-            right.append(own[v])
-    u, v = (np.concatenate(s) if s else np.empty(0, np.int64) for s in (left, right))
-    twice = (visits[v] == cell[u][:, None]).any(1)
-    keep = (ids[u] != ids[v]) & (~twice | (ids[u] < ids[v]))
-    u, v = u[keep], v[keep]
-    both, at = np.unique(np.concatenate([ids[u], ids[v]]), return_inverse=True)
-    links = np.bincount(at, np.concatenate([copies[v], copies[u]]), len(both)).astype(np.int64)
-    label, a, b = np.arange(len(both)), at[: len(u)], at[len(u) :]
-    while len(u):
-        least = label.copy()
-        np.minimum.at(least, a, label[b])
-        np.minimum.at(least, b, label[a])
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
-    return pa.table({"id": pa.array(both, pa.int64()), "links": pa.array(links), "near": pa.array(both[label], pa.int64())})
+        at = cell[order[a]]
+        here = caller[np.searchsorted(called, at) : np.searchsorted(called, at, "right")]
+        for c in range(a, b, 2048):
+            own = order[c : min(b, c + 2048)]
+            for k in range(0, len(here), 512):
+                part = here[k : k + 512]
+                u, v = np.nonzero(x[part] @ x[own].T >= COSINE)
+                u, v = part[u], own[v]
+                code = v * span + cell[u]
+                twice = known[np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))] == code if len(known) else np.zeros(len(u), bool)
+                keep = (ids[u] != ids[v]) & (~twice | (ids[u] < ids[v]))
+                u, v = u[keep], v[keep]
+                links += np.bincount(u, copies[v], len(ids)).astype(np.int64) + np.bincount(v, copies[u], len(ids)).astype(np.int64)
+                label = merged(label, label[u], label[v])
+    some = np.flatnonzero(links)
+    return pa.table({"id": pa.array(ids[some], pa.int64()), "links": pa.array(links[some]), "near": pa.array(ids[label[some]], pa.int64())})
 
 
 def near_duplicates(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -155,59 +172,79 @@ def near_duplicates(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     Null and zero vectors, those with null or non-finite components, and null vec_ids link with nothing; others
     with vectors of their own length, each length by an index of its own. Equal vectors are indexed once and count as many links as they are rows; rows
-    that repeat a vec_id are vectors of their own. A vector with itself is no link.
+    that repeat a vec_id are vectors of their own; ties of a component go to the smallest vec_id. A vector with itself
+    is no link. Vectors of any length are held whole, a group's at once; other columns are not read.
     """
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    narrow = rows.schema["embedding"].dataType == T.ArrayType(T.FloatType(), rows.schema["embedding"].dataType.containsNull)
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     keyed = rows.select("vec_id", "embedding", sound.alias("sound"), F.size("embedding").alias("dim"), F.xxhash64(F.lit(1), "embedding").alias("d1"), F.xxhash64(F.lit(2), "embedding").alias("d2"))
     out = keyed.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     for r in keyed.where("sound").groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():
-        out = out.union(_linked(keyed.where(f"sound and dim = {r['dim']}"), r["dim"], r["n"], scratch))
+        out = out.union(_linked(keyed.where(f"sound and dim = {r['dim']}"), r["dim"], r["n"], "<f4" if narrow else "<f8", scratch))
     return out
 
 
-def _linked(good: DataFrame, dim: int, n: int, scratch: Scratch) -> DataFrame:
-    """vec_id, n_links, component_id of ``n`` sound vectors of one length."""
+def _linked(good: DataFrame, dim: int, n: int, kind: str, scratch: Scratch) -> DataFrame:
+    """vec_id, n_links, component_id of ``n`` sound vectors of one length, whose components are of ``kind``."""
     if dim == 1:  # a zero component more changes no angle, and gives both codebooks something to hold
-        good, dim = good.withColumn("embedding", F.concat("embedding", F.array(F.lit(0.0)))), 2
-    classes = good.groupBy("d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    classes = scratch.keep(classes, "classes")
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").collect()
+        good, dim = good.withColumn("embedding", F.concat("embedding", F.array(F.lit(0.0).cast("float" if kind == "<f4" else "double")))), 2
+    classes = good.groupBy("d1", "d2").agg(F.min("vec_id").alias("_first"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    # A vec_id may stand for several vectors: classes have numbers of their own.
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    most = int(min(MOST_SAMPLE, max(SAMPLE, 8 * n ** (1 / 3))))
+    sample = classes.orderBy(F.xxhash64("d1", "d2"), "id").limit(most).select("embedding").collect()
     shared = good.sparkSession.sparkContext.broadcast(Index(np.array([r["embedding"] for r in sample], np.float64), n))
 
     def assign(batches):
+        """A row for each group that a vector visits, and one for its own."""
         index = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                flat = np.asarray(part.column("embedding").flatten(), np.float64).reshape(-1, dim)
-                x = unit(flat)
-                visits = index.visited(x).astype(np.int32)
+                flat = np.asarray(part.column("embedding").flatten()).astype(kind).reshape(-1, dim)
+                x = unit(flat.astype(np.float64))
+                cells, visits = index.cell(x), index.visited(x).astype(np.int32)
+                groups, own = index.group[visits], index.group[cells]
+                out = []
+                for r in range(len(x)):
+                    calls = groups[r] == own[r]
+                    out.append((r, own[r], True, calls.any(), visits[r].tobytes()))
+                    out += [(r, g, False, True, visits[r][groups[r] == g].tobytes()) for g in np.unique(groups[r][~calls])]
+                at = np.array([o[0] for o in out])
+                vectors = [v.tobytes() for v in flat]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("copies"), pa.array(index.cell(x).astype(np.int32)), pa.array([r.tobytes() for r in flat], pa.binary()), pa.array([r.tobytes() for r in visits], pa.binary()), pa.array((np.sort(visits // len(index.codes[1]), 1)).tolist(), pa.list_(pa.int32()))],
-                    ["id", "copies", "cell", "vector", "visits", "groups"],
+                    [
+                        part.column("id").take(pa.array(at)), part.column("copies").take(pa.array(at)), pa.array(cells[at], pa.int32()), pa.array([vectors[k] for k in at], pa.binary()), pa.array([o[4] for o in out], pa.binary()),
+                        pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out]), pa.array([bool(o[3]) for o in out]),
+                    ],
+                    ["id", "copies", "cell", "vector", "visits", "g", "member", "visitor"],
                 )
 
-    placed = scratch.keep(classes.select("id", "copies", "embedding").mapInArrow(assign, "id long, copies long, cell int, vector binary, visits binary, groups array<int>"), "placed")
-    codes = len(shared.value.codes[1])
-    base = placed.select("id", "copies", "cell", "vector", "visits")
-    members = base.withColumn("g", F.floor(F.col("cell") / codes).cast("int"))
-    # As many rows as the codebook has codes: how many members, and visitors, each group of cells has.
-    n_members = {r["g"]: r["n"] for r in members.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    visitors = placed.select("id", "copies", "cell", "vector", "visits", F.explode(F.array_distinct("groups")).alias("g"))
-    n_visitors = {r["g"]: r["n"] for r in visitors.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    parts = lambda counts, g: F.element_at(F.create_map(*[F.lit(v) for k in range(codes_1) for v in (k, max(1, -(-counts.get(k, 0) // MEET)))]), F.col(g))
-    codes_1 = len(shared.value.codes[0])
-    spread = lambda df, own, other: df.withColumn("own", F.pmod(F.xxhash64("id"), parts(own, "g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts(other, "g") - 1)))
-    members = spread(members, n_members, n_visitors).withColumnsRenamed({"own": "s", "other": "q"}).withColumn("member", F.lit(True))
-    visitors = spread(visitors, n_visitors, n_members).withColumnsRenamed({"own": "q", "other": "s"}).withColumn("member", F.lit(False))
-    met = members.unionByName(visitors).groupBy("g", "s", "q").applyInArrow(meet, "id long, links long, near long")
+    placed = classes.select("id", "copies", "embedding").mapInArrow(assign, "id long, copies long, cell int, vector binary, visits binary, g int, member boolean, visitor boolean")
+    placed = scratch.keep(placed, "placed")
+    count = lambda c: F.greatest(F.ceil(F.count_if(c) / MEET), F.lit(1)).cast("int")
+    parts = scratch.keep(placed.groupBy("g").agg(count("member").alias("pm"), count("visitor").alias("pv")), "parts")
+    rows = placed.join(parts, "g")
+    # Where a group is one part, a member that visits is one row; else each role has rows of its own.
+    whole = "pm = 1 and pv = 1"
+    one = rows.where(whole).select("*", (F.col("member").cast("int") + 2 * F.col("visitor").cast("int")).alias("role"), F.lit(0).alias("s"), F.lit(0).alias("q"))
+    mine = lambda p: F.pmod(F.xxhash64("id"), F.col(p)).cast("int")
+    each = lambda p: F.explode(F.sequence(F.lit(0), F.col(p) - 1))
+    split = rows.where(f"not ({whole})")
+    members = split.where("member").select("*", F.lit(1).alias("role"), mine("pm").alias("s"), each("pv").alias("q"))
+    visitors = split.where("visitor").select("*", F.lit(2).alias("role"), each("pm").alias("s"), mine("pv").alias("q"))
+    every = one.unionByName(members).unionByName(visitors).select("g", "s", "q", "role", "id", "copies", "cell", "vector", "visits")
+    met = every.groupBy("g", "s", "q").applyInArrow(lambda t: meet(t, kind), "id long, links long, near long")
     met = scratch.keep(met, "met")
+    scratch.drop(placed)
     joined = components(scratch, met.select(F.col("id").alias("a"), F.col("near").alias("b")))
-    counts = scratch.keep(met.groupBy("id").agg(F.sum("links").alias("links")), "counts")
-    out = classes.select("d1", "d2", "id", "copies").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    out = scratch.keep(out.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "result")
+    counts = met.groupBy("id").agg(F.sum("links").alias("links"))
+    out = classes.select("d1", "d2", "id", "copies", "_first").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    out = scratch.keep(out.select("d1", "d2", "_first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "linked")
+    least = out.groupBy("component").agg(F.min("_first").alias("component_id"))
+    out = scratch.keep(out.join(least, "component").select("d1", "d2", "n_links", "component_id"), "result")
     return good.select("vec_id", "d1", "d2").join(out, ["d1", "d2"]).select("vec_id", "n_links", "component_id")
 
 
