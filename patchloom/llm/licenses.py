@@ -1,8 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Words are ordered by how rare they are in the whole corpus. A block that holds a template's share of words must
-hold one of its rarest words, as many as the share leaves room to miss; blocks with such a word are bounded by
-their length and by how many template words they have at all, and the rest are compared word by word.
+A block is any run of words a quarter longer than the template. Words are ordered by how rare they are in the whole
+corpus. A block that holds a template's share of words must hold one of its rarest words, as many as the share leaves
+room to miss; texts without one, or with too few of the template's words at all, are passed over. Around each such
+word lie the blocks that can hold enough: where its rank and the words near it leave too little they are passed over
+too, and in the rest the distinct words of every block are counted.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._store import lean
 from .decontaminate import _slots, counts
 
-#: Words in a block, and words from one block's start to the next's, at least: every 32 words lie whole in some block.
-BLOCK, STEP = 64, 32
+#: Words of a block for each word of its template.
+SPREAD = 1.25
 #: Share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.8
 #: Phrases whose words must stand one after another, and the labels they give.
@@ -37,6 +40,31 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "apache-2",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the "
+        "license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your "
+        "option any later version",
+    ),
 ]
 FOUND = "doc_id long, n_words long, places array<struct<start: int, label: string>>, blocks array<struct<start: int, label: string, containment: double>>"
 
@@ -50,21 +78,18 @@ class Index:
     """Templates as sorted sets of word numbers, rarest first, with their prefixes inverted."""
 
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], frequency: dict[int, int]):
-        sets = [sorted(set(hashes(text.split()).tolist()), key=lambda h: (frequency.get(h, 0), h)) for _, text in templates]
-        # A longer template has longer steps, for its words to lie whole in some block.
-        self.step = max([STEP, *(len(hashes(text.split())) for _, text in templates)])
-        self.block = self.step * BLOCK // STEP
+        words = [hashes(text.split()) for _, text in templates]
+        sets = [sorted(set(h.tolist()), key=lambda h: (frequency.get(h, 0), h)) for h in words]
+        self.length = [math.ceil(SPREAD * len(h)) for h in words]
         self.vocabulary = np.array(sorted({h for s in sets for h in s}), np.uint64)
         self.slots = _slots(self.vocabulary)
         number = {h: k for k, h in enumerate(self.vocabulary.tolist())}
         self.labels, self.need = [label for label, _ in templates], [math.ceil(CONTAINMENT * len(s) - 1e-9) for s in sets]
-        self.sets = [frozenset(number[h] for h in s) for s in sets]
-        self.prefix: dict[int, list[int]] = {}
+        self.size = [len(s) for s in sets]
+        #: The rank of each word of the vocabulary in each template, rarest first; -1 for none.
+        self.rank = np.full((len(templates), len(self.vocabulary)), -1, np.int32)
         for t, s in enumerate(sets):
-            for h in s[: len(s) - self.need[t] + 1]:
-                self.prefix.setdefault(number[h], []).append(t)
-        self.leads = np.zeros(len(self.vocabulary), bool)
-        self.leads[list(self.prefix)] = True
+            self.rank[t, [number[h] for h in s]] = np.arange(len(s))
         self.phrases = [(hashes(p.split()), label) for p, label in phrases.items()]
 
 
@@ -81,37 +106,63 @@ def places(w: X.Words, phrase: np.ndarray) -> np.ndarray:
 
 
 def blocks(index: Index, w: X.Words) -> Iterator[tuple[int, int, int, float]]:
-    """(text, first word, template, containment) of every block that holds enough of a template."""
+    """(text, first word, template, containment) of each run of overlapping blocks that hold enough of a template:
+    the first word of the run and the greatest containment in it."""
     at = np.flatnonzero(index.slots[w.hash & np.uint64(len(index.slots) - 1)])
     number = np.minimum(np.searchsorted(index.vocabulary, w.hash[at]), len(index.vocabulary) - 1)
     known = index.vocabulary[number] == w.hash[at]
     at, number = at[known], number[known]
     of = np.searchsorted(w.first, at, "right") - 1
-    inside = at - w.first[of]
-    count = np.diff(w.first)
-    last = np.maximum(0, (count - index.step - 1) // index.step)
-    pairs = set()
-    for k in np.flatnonzero(index.leads[number]).tolist():
-        d, b = int(of[k]), int(inside[k]) // index.step
-        pairs |= {(d, c, t) for c in (b, b - 1) if 0 <= c <= last[d] for t in index.prefix[int(number[k])]}
-    for d, b, t in sorted(pairs):
-        if min(index.block, count[d] - b * index.step) < index.need[t]:
+    for t, (need, size, length) in enumerate(zip(index.need, index.size, index.length, strict=True)):
+        rank = index.rank[t, number]
+        mine = np.flatnonzero(rank >= 0)
+        # Texts with a word of the prefix, and with enough of the template's words anywhere.
+        leads = np.unique(of[mine[rank[mine] <= size - need]])
+        pairs = np.unique(of[mine].astype(np.int64) * size + rank[mine])
+        full, held = np.unique(pairs // size, return_counts=True)
+        for d in np.intersect1d(leads, full[held >= need]).tolist():
+            own = mine[np.searchsorted(of[mine], d) : np.searchsorted(of[mine], d, "right")]
+            yield from _runs(t, need, size, length, at[own] - w.first[d], rank[own], d)
+
+
+def _runs(t: int, need: int, size: int, length: int, at: np.ndarray, rank: np.ndarray, d: int) -> Iterator[tuple[int, int, int, float]]:
+    """The runs of one text: ``at`` and ``rank`` are the places and ranks of its template words, in order."""
+    lead = at[rank <= size - need]
+    near = np.searchsorted(lead, at + length) > np.searchsorted(lead, at)  # a block that begins here holds a prefix word
+    end = np.searchsorted(at, at + length)
+    before = np.full(len(at), -1)
+    order = np.lexsort((at, rank))
+    again = rank[order][1:] == rank[order][:-1]
+    before[order[1:][again]] = order[:-1][again]
+    last, start, best = -1, 0, 0
+    for i in np.flatnonzero(near & (end - np.arange(len(at)) >= need)).tolist():
+        here = slice(i, int(end[i]))
+        fresh = before[here] < i
+        # By position: the rarest word here leaves room for the words of higher rank only.
+        if size - int(rank[here].min()) < need:
             continue
-        begin = w.first[d] + b * index.step
-        lo, hi = np.searchsorted(at, begin), np.searchsorted(at, min(begin + index.block, w.first[d + 1]))
-        if hi - lo < index.need[t]:
+        both = int(fresh.sum())
+        if both < need:
             continue
-        both = len(index.sets[t].intersection(number[lo:hi].tolist()))
-        if both >= index.need[t]:
-            yield d, b * index.step, t, both / len(index.sets[t])
+        if last >= 0 and at[i] < last:
+            best = max(best, both)
+        else:
+            if last >= 0:
+                yield d, start, t, best / size
+            start, best = int(at[i]), both
+        last = int(at[i]) + length
+    if last >= 0:
+        yield d, start, t, best / size
 
 
 def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """doc_id, n_words, places, blocks for every row of ``docs``; a null text has no words.
 
-    ``places``: where a phrase's words stand consecutively, in order. ``blocks``: the blocks that hold a share of
-    :data:`CONTAINMENT` of a template's distinct words. Templates and phrases are parameters and small.
+    ``places``: where a phrase's words stand consecutively, in order. ``blocks``: the runs of overlapping blocks that hold
+    a share of :data:`CONTAINMENT` of a template's distinct words. Templates and phrases are parameters and small.
+    Rows of any doc_id, null or repeated, are judged each by its own text; other columns are not read.
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocabulary = np.unique(np.concatenate([hashes(t.split()) for _, t in templates])) if templates else np.empty(0, np.uint64)
     index = docs.sparkSession.sparkContext.broadcast(Index(templates, phrases, dict(zip(vocabulary.tolist(), counts(docs, vocabulary).tolist(), strict=True))))
