@@ -16,15 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Scratch
+from ._store import Scratch, lean
 
 #: Bytes between cuts at most; half of it on average.
 SPREAD = 64
 #: Bytes by which a cut may move on to the start of a word.
 SHIFT = 16
 #: Words that a run of repeated chunks must have. Of a repeated passage its cuts lose at most SPREAD and the
-#: hash's 32 bytes at either end, so 50 words of usual length keep more than these.
-LEAST_WORDS = 20
+#: hash's 32 bytes at either end, so 50 words of usual length keep more than these; 50 words of one or two letters
+#: may not. Text without spaces counts as a word for each of so many bytes.
+LEAST_WORDS, WORD_BYTES = 26, 24
 
 _GEAR = np.random.default_rng(71).integers(0, 2**32, 256, dtype=np.uint32)
 SPAN = "array<struct<start: int, end: int>>"
@@ -93,8 +94,9 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(flags: np.ndarray, at: np.ndarray, begun: np.ndarray, least: int) -> list[dict]:
     """Byte spans of maximal runs of flagged chunks with ``least`` words at least; ``begun``: words begun before each byte."""
+    size = lambda a, b: max(begun[b] - begun[a], (b - a) // WORD_BYTES)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [{"start": int(at[0, a]), "end": int(at[1, b - 1])} for a, b in edges.reshape(-1, 2) if begun[at[1, b - 1]] - begun[at[0, a]] >= least]
+    return [{"start": int(at[0, a]), "end": int(at[1, b - 1])} for a, b in edges.reshape(-1, 2) if size(at[0, a], at[1, b - 1]) >= least]
 
 
 def spans(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +125,10 @@ def find(docs: DataFrame, scratch: Scratch, least: int = LEAST_WORDS) -> DataFra
     ``shared``: byte spans of runs, of ``least`` words at least, of chunks that other documents have too.
     ``later``: the same for chunks that a document of a smaller doc_id has; without these spans every chunk of
     the corpus is left where it stands first. Either may be empty. A null or empty text, and a null doc_id,
-    share nothing; rows that repeat a doc_id are one document.
+    share nothing; rows that repeat a doc_id are one document, so what only they share is not found. Chunks are
+    compared by a 64-bit digest and a passage needs several in a row. Other columns are not read.
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
     cut = docs.mapInArrow(digest, "digest long, doc_id long")
     many = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
