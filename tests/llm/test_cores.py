@@ -94,10 +94,11 @@ def test_warc_parsing():
     body = b"a\r\n\r\nWARC/1.1 b"
     raw = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
     got = list(warc.parse(raw * 2 + b"junk"))
-    assert len(got) == 2 and bytes(got[1][1]) == body and got[0][0]["warc-type"] == "resource"
+    assert len(got) == 3 and bytes(got[1][1]) == body and got[0][0][0] == ("warc-type", "resource") and got[2][2] == "4 bytes that are no record"
     import gzip
 
-    assert list(warc.parse(warc._inflated(gzip.compress(raw) + gzip.compress(raw))))[1][0] == got[0][0] and list(warc.parse(b"")) == []
+    both, error = warc._inflated(gzip.compress(raw) + gzip.compress(raw))
+    assert list(warc.parse(both))[1][0] == got[0][0] and error is None and list(warc.parse(b"")) == []
 
 
 def test_tables_of_many_customers():

@@ -92,21 +92,64 @@ def test_warc(spark):
     scratch = Scratch(spark, "t")
     path = scratch.path("w")
     warc.write(pages, path, scratch)
-    full = {r["metadata"][0]["headers"]: r for r in warc.assemble(warc.read(spark, path)).collect()}
+    full = {r["metadata"][0]["headers"]: r for r in warc.assemble(warc.read(spark, path), scratch).collect()}
     assert len(full) == 7 and {bytes(r["response"]["payload"]).decode() for r in full.values() if r["response"]["record_type"] == "response"} == {"same", "", rows[5][2], rows[6][2]}
     assert all(len(r["request"]) == 1 for r in full.values()) and warc.op4(pages.limit(0)).count() == 0
 
 
-def test_warc_rows_of_one_page(spark):
-    """Rows of one page_id are captures of their own: only the one whose payload recurs is a revisit."""
-    pages = spark.createDataFrame([(1, "u", "A"), (1, "u", "B"), (2, "u", "A"), (3, "u", "B"), (3, "v", "C")], "page_id long, url string, html string")
+def test_warc_rows_of_any_page(spark, tmp_path):
+    """Repeated, tied and null page_ids and null payloads, as SQL has them."""
+    import duckdb
+
+    from patchloom.llm.queries import ORACLE_OP4
+
+    rows = [(1, "u", "A"), (1, "u", "B"), (2, "u", "A"), (3, "u", "B"), (3, "v", "C"), (None, "u", "A"), (None, None, "N"), (None, "w", "N"), (9, "u", "A"), (9, "v", "A"), (4, "x", None), (5, "x", ""), (7, "é", "é" * 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "p"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/p/*.parquet')")
+    got = warc.op4(pages).toPandas()
+    same_rows(got, con.execute(ORACLE_OP4).df())
+    assert (got["record_type"] == "revisit").sum() == 5 and warc.op4(pages.limit(0)).count() == 0
     scratch = Scratch(spark, "t")
     path = scratch.path("w")
-    warc.write(pages.where("html <> 'C' and page_id < 3"), path, scratch)
+    warc.write(pages, path, scratch)
     held = sorted(bytes(r["payload"]).decode() for r in warc.read(spark, path).where("record_type = 'response'").collect())
-    assert held == ["A", "B"]
-    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.op4(pages).collect() if r["page_id"] != 3)
-    assert got == [(1, "revisit", 2), (1, "revisit", 3), (2, "response", None)] and warc.op4(pages).count() == 5
+    assert held == sorted(["A", "A", "B", "C", "N", "N", "", "é" * 9])
+
+
+def test_warc_files_are_bounded(spark):
+    """Large payloads go to files of fewer records."""
+    pages = spark.createDataFrame([(k, "u", f"{k}" + "x" * (3 << 20)) for k in range(30)] + [(100 + k, "u", f"s{k}") for k in range(30)], "page_id long, url string, html string").coalesce(1)
+    scratch = Scratch(spark, "t")
+    path = scratch.path("w")
+    warc.write(pages, path, scratch)
+    sizes = [len(warc._inflated(bytes(r["content"]))[0]) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert sum(sizes) > 90 << 20 and max(sizes) < 80 << 20 and warc.op4(pages).count() == 60
+
+
+def test_warc_assembly_in_any_direction(spark):
+    """A response that names its request, records that name one another, repeated headers, and records left alone."""
+    rec = lambda i, kind, to: (i, kind, to, None, None, None, None, None, {}, None, None)
+    rows = [rec("r1", "response", ["q1"]), rec("q1", "request", []), rec("m1", "metadata", ["q1"]), rec("r2", "revisit", []), rec("q2", "request", ["r2", "x"]), rec("m2", "metadata", ["x", "r2"]), rec("m3", "metadata", ["gone"]), rec("w", "warcinfo", []), rec(None, None, [])]
+    got = {r["capture_id"]: r for r in warc.assemble(spark.createDataFrame(rows, warc.RECORD), Scratch(spark, "t")).collect()}
+    ids = lambda k, part: [x["record_id"] for x in got[k][part] or []]
+    assert set(got) == {"r1", "r2", "gone", "w"} and got["gone"]["response"] is None
+    assert (ids("r1", "request"), ids("r1", "metadata"), ids("r2", "request"), ids("r2", "metadata")) == (["q1"], ["m1"], ["q2"], ["m2"])
+
+
+def test_warc_damage_is_told(spark, tmp_path):
+    """Junk, missing lengths, cut blocks and cut archives cost what they damage and no more."""
+    import gzip
+
+    one = lambda k, length="Content-Length: 3\r\n": f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: {k}\r\n{length}\r\nabc\r\n\r\n".encode()
+    whole = one(1) + b"junk line\n" + one(2) + one(3, "Content-Length: x\r\n") + one(4) + one(5, "Content-Length: 99\r\n")
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one(6)) + gzip.compress(one(7) * 50)[:-20])
+    rows = warc.read(spark, str(tmp_path)).collect()
+    wrong = {r["record_id"]: r["error"] for r in rows if r["record_id"]}
+    assert set("123456") <= set(wrong) and wrong["1"] is wrong["2"] is wrong["4"] is wrong["6"] is None and wrong["3"] == "no Content-Length" and "cut short" in wrong["5"]
+    assert {"no record" in r["error"] or "cut short" in r["error"] for r in rows if r["record_type"] is None} == {True} and sum(r["record_type"] is None for r in rows) == 3
 
 
 def test_decontamination(spark, docs, none, monkeypatch):
@@ -188,12 +231,39 @@ def test_licenses(spark, docs, none):
     assert licenses.op10(docs).count() == len(ROWS) and licenses.op10(none).count() == 0
 
 
-def test_licenses_long_template(spark):
-    """A template longer than a usual block is found wherever it stands."""
+def test_licenses_in_order_of_length(spark):
+    """Words of a short template that are scattered are none of its blocks; a long one is found wherever it stands."""
+    scattered = ["The general public was told that a lesser known license exists.", "All readers have rights that are reserved by law.", "a lesser general public license", "All rights are reserved"]
+    table = spark.createDataFrame(list(enumerate(scattered)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.op10(table).collect()}
+    assert got == {0: "", 1: "", 2: "lgpl-3", 3: "all-rights-reserved"}
     body = " ".join(f"term{k}" for k in range(150))
-    table = spark.createDataFrame([(k, "x " * k + body + " y" * 90) for k in (0, 17, 75, 149, 151)], "doc_id long, text string")
-    got = {r["doc_id"]: {b["label"] for b in r["blocks"]} for r in licenses.find(table, [("long", body)], {}).collect()}
-    assert all(v == {"long"} for v in got.values()) and len(got) == 5
+    table = spark.createDataFrame([(k, "x " * k + body + " y" * 90 + " " + body) for k in (0, 17, 75, 149, 151)], "doc_id long, text string")
+    got = {r["doc_id"]: [(b["label"], b["start"], b["containment"]) for b in r["blocks"]] for r in licenses.find(table, [("long", body)], {}).collect()}
+    assert len(got) == 5 and all(len(v) == 2 and v[0][2] == v[1][2] == 1 and v[0][1] == k for k, v in got.items())
+
+
+def test_licenses_against_brute_force(spark):
+    """All windows of random texts of template words, against a count of each."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    templates = [("a", "p q r"), ("b", "p q r s t u v p q"), ("c", " ".join(f"k{j}" for j in range(20)))]
+    texts = [" ".join(rng.choice(["p", "q", "r", "s", "t", "u", "v", "x", "y", *(f"k{j}" for j in range(20))]) for _ in range(rng.randint(0, 120))) for _ in range(120)]
+    texts += [" ".join(f"k{j}" for j in rng.sample(range(20), 18)) + " p r q" for _ in range(20)]
+    got = {r["doc_id"]: {(b["label"], round(b["containment"], 9)) for b in r["blocks"]} for r in licenses.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates, {}).collect()}
+    for k, text in enumerate(texts):
+        w, want = text.split(), {}
+        for label, body in templates:
+            s, n = set(body.split()), math.ceil(licenses.SPREAD * len(body.split()))
+            best = max((len(s & set(w[i : i + n])) for i in range(len(w))), default=0)
+            if best >= math.ceil(0.8 * len(s) - 1e-9):
+                want[label] = round(best / len(s), 9)
+        top = {}
+        for label, share in got[k]:
+            top[label] = max(top.get(label, 0), share)
+        assert top == want, text
 
 
 def test_embeddings_of_every_length(spark):
@@ -251,3 +321,63 @@ def test_blocks_are_dealt_in_steps(spark, monkeypatch):
             assert (L.part_of(a, c, 16) == p).all()
             seen += n.tolist()
     assert sorted(seen) == list(range(500)) and L.parts_for(5 << 20) == 16 and L.parts_for(3 << 20) == 3
+
+
+def _planted(n, dim, seed):
+    """Random vectors, with a group of near copies and pairs planted at cosines around the threshold."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    group = rng.normal(size=dim)
+    x[: n // 10] = group + 0.25 * rng.normal(size=(n // 10, dim))
+    for k in range(n // 2, n - 1, 2):
+        u = x[k] / np.linalg.norm(x[k])
+        side = rng.normal(size=dim)
+        side -= (side @ u) * u
+        c = rng.uniform(0.85, 0.99)
+        x[k + 1] = c * u + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("n,parts", [(1500, 1 << 14), (4000, 300)])
+def test_embeddings_recall_of_planted_links(spark, monkeypatch, n, parts):
+    """Links found against all pairs: none wrong, and nearly none missed, in one part and in many."""
+    import numpy as np
+
+    monkeypatch.setattr(embeddings, "MEET", parts)
+    x = _planted(n, 64, n)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.op8(rows).collect()}
+    y = embeddings.unit(x.astype(np.float64))
+    want = (y @ y.T >= embeddings.COSINE).sum(1) - 1
+    found = np.array([got[k] for k in range(n)])
+    assert (found <= want).all() and want.sum() > n and found.sum() >= 0.99 * want.sum()
+
+
+def test_substrings_against_brute_force(spark):
+    """Every run of 60 words that two documents share is found, and every span found stands in another document."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(60)) for _ in range(12)]
+    texts = [" ".join(word() for _ in range(rng.randint(10, 150))) for _ in range(80)]
+    for k in range(40):
+        cut = texts[k].split()
+        at = rng.randint(0, len(cut))
+        texts[k] = " ".join([*cut[:at], passages[k % 12], *cut[at:]])
+    texts += ["漢字" * 700 + "甲", "x y " + "漢字" * 700 + "乙乙", " ".join("de fg"[k % 2 * 3 :][:2] + str(k) for k in range(30))]
+    rows = chunks.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t")).collect()
+    grams = {}
+    for k, text in enumerate(texts):
+        w = text.split()
+        for i in range(len(w) - 59):
+            grams.setdefault(tuple(w[i : i + 60]), set()).add(k)
+    shared = {k for own in grams.values() if len(own) > 1 for k in own} | {80, 81}
+    found = {r["doc_id"]: [r["text"].encode()[s["start"] : s["end"]] for s in r["shared"]] for r in rows if r["shared"]}
+    assert set(found) == shared
+    for k, spans in found.items():
+        assert all(any(s.strip() in t.encode() for j, t in enumerate(texts) if j != k) for s in spans), k
+    later = {r["doc_id"] for r in rows if r["later"]}
+    assert later == {k for k in range(40) if k >= 12} | {81}
