@@ -41,7 +41,7 @@ ROUNDS = 2
 #: Members of a part of a bucket, and bytes of their sets, on average; two parts meet in a block.
 PART, PART_BYTES = 512, 16 << 20
 #: Pairs that a block judges at once.
-AT_ONCE = 1 << 14
+AT_ONCE = 1 << 12
 
 _SEEDS = np.random.default_rng(17).integers(1, 2**31, (2, REGISTERS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SKETCHED = "doc_id long, t1 long, t2 long, n_shingles long, d1 long, d2 long, sketch binary"
@@ -90,11 +90,13 @@ def _odds(n1: np.ndarray, n2: np.ndarray, jaccard: np.ndarray) -> tuple[np.ndarr
 
 def may_reach(r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.ndarray, floor: float) -> np.ndarray:
     """Whether the joint likelihood of two register rows and set sizes leaves a Jaccard of ``floor`` possible."""
+    if len(n1) > 512:
+        return np.concatenate([may_reach(r1[k : k + 512], r2[k : k + 512], n1[k : k + 512], n2[k : k + 512], floor) for k in range(0, len(n1), 512)])
     n1, n2 = n1.astype(float), n2.astype(float)
     more, less = (r1 > r2).sum(1), (r1 < r2).sum(1)
     same = r1.shape[1] - more - less
     most = np.minimum(n1, n2) / np.maximum(n1, n2)
-    grid = np.linspace(0, 1, 101)[:, None] * most
+    grid = np.linspace(0, 1, 51)[:, None] * most
     grid = np.vstack([grid, np.minimum(np.full_like(most, floor), most)[None]])
     p, q = _odds(n1, n2, grid)
     like = more * np.log(p) + less * np.log(q) + same * np.log(np.clip(1 - p - q, 1e-12, 1))
