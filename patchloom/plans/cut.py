@@ -11,10 +11,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and checkpointed in the shared folder of ``spark.checkpoint.dir``.
 
     Later plans start from the files: they are small to plan, and they survive lost executors. Where the
-    setting is missing, as in local tests, a temporary folder takes its place.
+    setting is missing a temporary folder takes its place under a local master only.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder; executors of a cluster need a shared one")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="patchloom-"))
     return df.checkpoint()
