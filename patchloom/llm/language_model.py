@@ -7,7 +7,7 @@ A cell is a pair (word before, word) with its customers and tables. Cells are de
 that word, other cells of a rare word before by that, and cells of two common words by the pair, so that a part has
 all of a rare word and no part has a hot key. A part is one row of packed columns, and what is exchanged between
 tasks are packed blocks of many pairs. A sweep draws the tables of every cell anew given all others (exactly for up
-to EXACT customers, by weighted seatings beyond; a cell of one customer has one table whatever happens), then those
+to EXACT customers, by weighted seatings in blocks beyond; a cell of one customer has one table whatever happens), then those
 of the parent restaurant. Probabilities are averages over the later sweeps.
 
 What is broadcast has a fixed size: counts, tables and probabilities of the COMMON words of the highest counts, and
@@ -140,15 +140,6 @@ class Common:
         return u, w, first
 
 
-def _rise(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """log(gamma(x + a) / gamma(x)), exact for a small ``a`` too."""
-    low = sum(np.log1p(a / (x + k)) for k in range(6))
-    x = x + 6
-    y = x + a
-    series = (1 / y - 1 / x) / 12 - (y**-3 - x**-3) / 360 + (y**-5 - x**-5) / 1260
-    return (x - 0.5) * np.log1p(a / x) + a * np.log(y) - a + series - low
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     low = sum(np.log(x + k) for k in range(6))
     x = x + 6
@@ -166,38 +157,35 @@ def _uniform(key: np.ndarray, k: int) -> np.ndarray:
     return ((_mixed(key + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
-def seat(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tables, log weight) of ``n`` customers of a dish that sit down one after another.
+def seat(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, log weight) of ``n`` customers of a dish, more than EXACT, that sit down one after another.
 
     Beside t tables and i customers of the dish a new table weighs a + step * t and the old ones i - d * t. The
-    customers up to the next new table are passed at once, as the chance that none of them opens one is a quotient
-    of gamma functions. The weight is that of the dish itself along the way.
+    first EXACT customers are seated one by one, the others in blocks of an eighth of those seated: a block opens as
+    many tables as a Poisson draw says, at the rate that holds when it begins. The weight is that of the dish itself
+    along the way.
     """
-    t, i, log = np.ones(len(n)), np.ones(len(n)), np.zeros(len(n))
-    live, turn = np.flatnonzero(n > 1), 0
-    while len(live):
-        a_, x, i_, n_ = a[live] + step[live] * t[live], d[live] * t[live], i[live], n[live].astype(float)
-        start, u = _rise(i_ - x, a_), np.log(_uniform(key[live], turn))
-        opens = start - _rise(n_ - x, a_) < u
-        lo, hi = i_.copy(), n_.copy()
-        # The customer that opens: the least j for which all up to it have not stayed at old tables.
-        o = np.flatnonzero(opens & (lo + 1 < hi))
-        lo_, hi_ = lo[o] + 1, hi[o]
-        # A close guess by gamma(x + a) / gamma(x) ~ (x + (a - 1) / 2) ** a; where it does not hold the whole range is searched.
-        guess = np.exp(np.minimum((start[o] - u[o]) / a_[o], 50)) - (a_[o] - 1) / 2 + x[o]
-        left, right = (np.clip(np.floor(guess) + k, lo_, hi_) for k in (-1, 2))
-        held = start[o] - _rise(left - 1 - x[o], a_[o]) >= u[o]
-        passed = start[o] - _rise(right - x[o], a_[o]) < u[o]
-        lo_, hi_ = np.where(held, left, lo_), np.where(passed, right, hi_)
-        while len(o) and (lo_ < hi_).any():
-            mid = np.floor((lo_ + hi_) / 2)
-            below = start[o] - _rise(mid - x[o], a_[o]) < u[o]
-            hi_, lo_ = np.where(below, mid, hi_), np.where(below, lo_, np.minimum(mid + 1, hi_))
-        hi[o] = hi_
-        log[live] += _log_gamma(a_ + hi - x) - _log_gamma(a_ + i_ - x)
-        i[live], t[live] = hi, t[live] + opens
-        live, turn = live[opens & (hi < n_)], turn + 1
-    return t, log
+    order = np.argsort(-n, kind="stable")
+    n, d, a, step = n[order].astype(float), d[order], a[order], step[order]
+    t, log = np.ones(len(n)), np.zeros(len(n))
+    for i in range(1, EXACT):
+        new = a + step * t
+        total = new + i - d * t
+        log += np.log(total)
+        t += rng.random(len(n)) * total < new
+    i, live = float(EXACT), len(n)
+    while live:
+        to = np.minimum(n[:live], np.ceil(i * 1.125))
+        new, c = a[:live] + step[:live] * t[:live], a[:live] - (d[:live] - step[:live]) * t[:live]
+        opened = np.minimum(rng.poisson(new * np.log((to + c) / (i + c))), to - i)
+        c -= (d[:live] - step[:live]) * opened / 2
+        log[:live] += _log_gamma(to + c) - _log_gamma(i + c)
+        t[:live] += opened
+        i = float(np.ceil(i * 1.125))
+        live = int(np.searchsorted(-n, -i, "left"))
+    out, weight = np.empty(len(n)), np.empty(len(n))
+    out[order], weight[order] = t, log
+    return out, weight
 
 
 def _exact_tables(n: int, d: np.ndarray, a: np.ndarray, step: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -229,11 +217,13 @@ def tables(n: np.ndarray, d: np.ndarray, a: np.ndarray, step: np.ndarray, key: n
             at = order[k : min(y, k + (1 << 14))]
             out[at] = _exact_tables(m, d[at], a[at], step[at], _uniform(key[at], 0))
     many = order[bounds[-1] :]
-    each = np.repeat(many, DRAWS)
-    keys = _mixed(key[each] + np.tile(np.arange(1, DRAWS + 1, dtype=np.uint64), len(many)))
-    t, log = seat(n[each], d[each], a[each], step[each], keys)
-    best = np.argmax((log - np.log(-np.log(_uniform(keys, -1)))).reshape(-1, DRAWS), 1) if len(many) else np.empty(0, int)
-    out[many] = t.reshape(-1, DRAWS)[np.arange(len(many)), best]
+    if len(many):
+        each = np.repeat(many, DRAWS)
+        # Cells of a part always come in the same order: a task that runs again draws the same.
+        rng = np.random.default_rng(int(np.bitwise_xor.reduce(key[many])))
+        t, log = seat(n[each], d[each], a[each], step[each], rng)
+        best = np.argmax((log + rng.gumbel(size=len(log))).reshape(-1, DRAWS), 1)
+        out[many] = t.reshape(-1, DRAWS)[np.arange(len(many)), best]
     return out
 
 
