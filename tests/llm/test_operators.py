@@ -63,6 +63,10 @@ def test_classifiers(spark, docs, none):
         assert len(got) == table.count() and all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(i).encode()) % k == rest) for i, r in got.items())
         odd = op(docs, labels.limit(0))
         assert odd.count() == len(ROWS) and none.count() == op(none, labels.limit(0)).count()
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/labels.parquet").collect()}
+    rows = toxicity.op6(spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/labels.parquet")).collect()
+    rows = [(r["predicted"], toxic[r["doc_id"]]) for r in rows if r["held_out"] and toxic.get(r["doc_id"]) is not None]
+    assert sum(p * y for p, y in rows) >= 0.5 * sum(y for _, y in rows) and not any(p and not y for p, y in rows)
     y = {r["doc_id"]: r["quality"] for r in labels.collect()}
     scored = [r for r in quality.op2(table, labels).collect() if r["held_out"] and r["doc_id"] in y]
     assert sum(r["predicted"] == y[r["doc_id"]] for r in scored) >= 0.9 * len(scored)
@@ -381,3 +385,68 @@ def test_substrings_against_brute_force(spark):
         assert all(any(s.strip() in t.encode() for j, t in enumerate(texts) if j != k) for s in spans), k
     later = {r["doc_id"] for r in rows if r["later"]}
     assert later == {k for k in range(40) if k >= 12} | {81}
+
+
+def test_minhash_against_brute_force(spark, monkeypatch):
+    """Components of a table and of a large group of near copies, most of them near the threshold, by all pairs."""
+    import random
+
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(70)]
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    for _ in range(160):
+        own = base[:]
+        for k in rng.sample(range(70), rng.choice([0, 1, 2, 3, 4, 5])):
+            own[k] = f"z{rng.randint(0, 9**9)}"
+        texts.append(" ".join(own))
+    monkeypatch.setattr(minhash, "PART", 16)
+    monkeypatch.setattr(minhash, "ROUNDS", 1)
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                links += 1
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.op1(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert links > 500 and got == {k: root(k) for k in range(len(texts))}
+
+
+def test_samples_are_bounded(spark):
+    """Repeated ids, conflicting labels and labels of other tables take no room in a sample."""
+    from pyspark.sql import functions as F
+
+    from patchloom.llm import features
+
+    docs = spark.createDataFrame([(k, f"text {k} {j}") for k in range(20) for j in range(30)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5, 500)] * 2 + [(6, 1), (None, 1), (7, None)], "doc_id long, quality int")
+    rows = features.sample(docs, labels, "quality", F.lit(False), 8).collect()
+    assert len(rows) == 8 == len({r["doc_id"] for r in rows}) and all(5 <= r["doc_id"] < 20 and r["doc_id"] != 6 and r["y"] == r["doc_id"] % 2 for r in rows)
+    assert features.sample(docs, labels, "quality", F.lit(False), 100).count() == 14
+
+
+def test_words_of_long_texts():
+    """Texts and words longer than a block are split and hashed like short ones."""
+    import numpy as np
+
+    from patchloom.llm import _text as X
+
+    parts = ["ab " * 200_000, "c" * 700_000, " d ", "é" * 300_000, "x"]
+    raw = np.frombuffer("".join(parts).encode(), np.uint8)
+    w = X.words(raw, np.array([0, len(raw)]))
+    assert [w.word(k).decode() for k in range(len(w.start))] == "".join(parts).split() and w.first.tolist() == [0, len(w.start)]
+    for k in (0, 199_999, 200_000, 200_001, 200_002):
+        one = raw[w.start[k] : w.end[k]]
+        assert X.words(one, np.array([0, len(one)])).hash[0] == w.hash[k]
+    assert len(set(w.hash[199_990:].tolist())) == 4
