@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session checkpoints to; it is set here where the session has not done so."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder; executors of a cluster need a shared one")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="patchloom-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,10 +24,5 @@ def cut(df: DataFrame) -> DataFrame:
     Later plans start from the files: they are small to plan, and they survive lost executors. Where the
     setting is missing a temporary folder takes its place under a local master only.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir names no folder; executors of a cluster need a shared one")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="patchloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -7,6 +7,7 @@ dialect; globs, languages and everything else are written for it apart from the
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from ..sources.config import Config
 from ..sources.rules import Rule, default
 from . import catalogue, corpus
 from .analysis import analyse_changes, described, hits_of, stats_of
+from .cut import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -525,6 +527,18 @@ def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(re.sub(r"SELECT patch_id::VARCHAR.*?CASE WHEN exact", f"SELECT patch_id::VARCHAR AS patch_id, n AS findings, raw, {_R1.format('exact')} AS total, CASE WHEN exact", SQL["end_to_end"], flags=re.S))
+def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diffs arrive as files and go through the analysis in micro-batches."""
+    from ..streaming.incremental import analysed, arriving
+
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    as_patches(spark, sf_dir).write.partitionBy("patch_id").text(f"{at}/in")
+    analysed(arriving(spark, f"{at}/in"), corpus.rules(), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{at}/out/scores")
+    return rows.select(F.regexp_extract("patch_id", "patch_id=([^/]+)/", 1).alias("patch_id"), F.col("n_findings").alias("findings"), "raw", "total", "band")
+
+
 BUILTIN = default().rules
 _BUILTIN_LINE_RULES = [(k, r) for k, r in enumerate(BUILTIN) if r.trigger != "file"]
 
