@@ -582,7 +582,7 @@ def _frequent(model: Model) -> tuple[np.ndarray, np.ndarray]:
     return code[order], model.log(u, w, n, s)[order]
 
 
-LOOKED_UP = "row long, log double, base double, known long, u long, x double, p double"
+LOOKED_UP = "row long, log float, base float, known long, u long, x float, p float"
 
 
 def look_up(shared: dict, cells: pa.Table, tokens_: pa.Table) -> pa.Table:
@@ -621,14 +621,15 @@ def look_up(shared: dict, cells: pa.Table, tokens_: pa.Table) -> pa.Table:
     rows, back = np.unique(row, return_inverse=True)
     add = lambda x: np.bincount(back, x, len(rows))
     cold = np.flatnonzero(~hot)
-    none = lambda k, kind: pa.nulls(k, kind)
-    sums = [pa.array(rows), pa.array(add(log)), pa.array(add(np.where(dish, 0, np.log10(count + 1)))), pa.array(add(~dish & (count > 0)).astype(_I)), none(len(rows), pa.int64()), none(len(rows), pa.float64()), none(len(rows), pa.float64())]
+    none, real = pa.nulls, lambda x: pa.array(x.astype(np.float32))
+    sums = [pa.array(rows), real(add(log)), real(add(np.where(dish, 0, np.log10(count + 1)))), pa.array(add(~dish & (count > 0)).astype(_I)), none(len(rows), pa.int64()), none(len(rows), pa.float32()), none(len(rows), pa.float32())]
     mean = sum(p) / KEPT
-    cold_rows = [pa.array(row[cold]), none(len(cold), pa.float64()), none(len(cold), pa.float64()), none(len(cold), pa.int64()), pa.array(u[cold]), pa.array((n - shared["d_rare"] * s / KEPT)[cold]), pa.array(mean[cold])]
+    cold_rows = [pa.array(row[cold]), none(len(cold), pa.float32()), none(len(cold), pa.float32()), none(len(cold), pa.int64()), pa.array(u[cold]), real((n - shared["d_rare"] * s / KEPT)[cold]), real(mean[cold])]
     return pa.table([pa.concat_arrays([x, y]) for x, y in zip(sums, cold_rows, strict=True)], schema=_LOOKED_UP)
 
 
-_LOOKED_UP = pa.schema([("row", pa.int64()), ("log", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("u", pa.int64()), ("x", pa.float64()), ("p", pa.float64())])
+#: Sums of a part in single precision: they are many and each is added up in double precision afterwards.
+_LOOKED_UP = pa.schema([("row", pa.int64()), ("log", pa.float32()), ("base", pa.float32()), ("known", pa.int64()), ("u", pa.int64()), ("x", pa.float32()), ("p", pa.float32())])
 
 
 def _rare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -742,8 +743,8 @@ def op9(docs: DataFrame) -> DataFrame:
     stats = model.cells.select("ones", "many").mapInArrow(_rare_contexts, "u long, c long, s long").groupBy("u").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
     cold = found.where("u is not null").select("row", "u", "x", "p").join(stats, "u", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    log = F.log10((F.col("x") + (STRENGTH + model.d_rare * zero("s") / KEPT) * F.col("p")) / (STRENGTH + zero("c")))
-    every = found.where("u is null").select("row", "log", "base", "known").unionByName(cold.select("row", log.alias("log"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")))
+    log = F.log10((F.col("x").cast("double") + (STRENGTH + model.d_rare * zero("s") / KEPT) * F.col("p")) / (STRENGTH + zero("c")))
+    every = found.where("u is null").select("row", F.col("log").cast("double").alias("log"), "base", "known").unionByName(cold.select("row", log.alias("log"), F.lit(0.0).cast("float").alias("base"), F.lit(0).cast("long").alias("known")))
     sums = every.groupBy("row").agg(F.sum("log").alias("log"), F.sum("base").alias("more"), F.sum("known").alias("known"))
     rows = scored.where("block is null").select("doc_id", "row", "n_tokens", "n_known", "base", "model").join(sums, "row", "left")
     return rows.select(
