@@ -31,7 +31,7 @@ from ._store import Scratch
 from .features import remainder
 
 #: Words, and pairs, that are broadcast, at most.
-COMMON, PAIRS = 1 << 18, 1 << 20
+COMMON, PAIRS = 1 << 18, 1 << 21
 SWEEPS, BURN_IN = 4, 2
 KEPT = SWEEPS - BURN_IN
 #: Customers up to which a cell's number of tables is drawn from its exact distribution.
