@@ -68,6 +68,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+ORACLE_OP1 = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(len(w) - 4), lambda k: array_to_string(w[k + 1 : k + 5], ' '))) END) AS s FROM dw),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 75 * (na.n + nb.n - m)),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, documents.doc_id = component_id AS kept
+FROM documents JOIN comp ON comp.node = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+"""
+
 ORACLE_OP4 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
@@ -133,4 +146,4 @@ FROM dw LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN b
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express over whole tables."""
-    return {"op4_warc": ORACLE_OP4, "op5_decontamination": ORACLE_OP5, "op8_embeddings": ORACLE_OP8, "op10_licenses": ORACLE_OP10}
+    return {"op1_minhash": ORACLE_OP1, "op4_warc": ORACLE_OP4, "op5_decontamination": ORACLE_OP5, "op8_embeddings": ORACLE_OP8, "op10_licenses": ORACLE_OP10}
