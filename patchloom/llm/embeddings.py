@@ -25,8 +25,13 @@ COSINE = 0.9
 SAMPLE, MOST_SAMPLE = 4096, 1 << 15
 #: Share of links, between sampled rows and at the very threshold, whose cell the traversal must reach.
 RECALL = 0.995
-#: Members of a group of cells, and members and visitors that meet in one task, on average; they are dealt by hash.
-MEET = 1 << 14
+#: Members of a group of cells, on average, and bytes of them in double precision at most. A group of four times as many
+#: members, or visitors, is split into parts by hash.
+MEET, MEET_BYTES = 1 << 14, 8 << 20
+
+
+def meeting(dim: int) -> int:
+    return max(64, min(MEET, MEET_BYTES // (8 * dim)))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -76,7 +81,7 @@ class Index:
         self.codes = [_codebook(x[:, : self.cut], k), _codebook(x[:, self.cut :], k)]
         self.visits = self._visits(x)
         # Groups take whole first codes while these are more than the groups, and parts of them beyond.
-        groups = max(1, -(-n // MEET))
+        groups = max(1, -(-n // meeting(x.shape[1])))
         first, second = min(groups, len(self.codes[0])), min(-(-groups // len(self.codes[0])), len(self.codes[1]))
         near = [_nearest(c, _codebook(c, g)) for c, g in zip(self.codes, (first, second), strict=True)]
         self.group = (near[0][:, None] * second + near[1][None]).ravel().astype(np.int32)
@@ -148,7 +153,8 @@ def meet(table: pa.Table, kind: str) -> pa.Table:
     order = m[np.argsort(cell[m], kind="stable")]
     bounds = np.flatnonzero(np.diff(np.concatenate([[-1], cell[order]])))
     links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True):
+    ends = np.append(bounds[1:], len(order))[: len(bounds)]  # a part that only has visitors has no cell
+    for a, b in zip(bounds.tolist(), ends.tolist(), strict=True):
         at = cell[order[a]]
         here = caller[np.searchsorted(called, at) : np.searchsorted(called, at, "right")]
         for c in range(a, b, 2048):
@@ -224,7 +230,7 @@ def _linked(good: DataFrame, dim: int, n: int, kind: str, scratch: Scratch) -> D
 
     placed = classes.select("id", "copies", "embedding").mapInArrow(assign, "id long, copies long, cell int, vector binary, visits binary, g int, member boolean, visitor boolean")
     placed = scratch.keep(placed, "placed")
-    count = lambda c: F.greatest(F.ceil(F.count_if(c) / MEET), F.lit(1)).cast("int")
+    count = lambda c: F.greatest(F.ceil(F.count_if(c) / (4 * meeting(dim))), F.lit(1)).cast("int")
     parts = scratch.keep(placed.groupBy("g").agg(count("member").alias("pm"), count("visitor").alias("pv")), "parts")
     rows = placed.join(parts, "g")
     # Where a group is one part, a member that visits is one row; else each role has rows of its own.

@@ -344,7 +344,7 @@ def _planted(n, dim, seed):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("n,parts", [(1500, 1 << 14), (4000, 300)])
+@pytest.mark.parametrize("n,parts", [(1500, 1 << 14), (4000, 150)])
 def test_embeddings_recall_of_planted_links(spark, monkeypatch, n, parts):
     """Links found against all pairs: none wrong, and nearly none missed, in one part and in many."""
     import numpy as np
