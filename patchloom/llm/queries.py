@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, decontaminate, embeddings, language_model, licenses, minhash, quality, toxicity, warc
+from . import align, bpe, chunks, codes, decontaminate, embeddings, language_model, licenses, minhash, quality, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    """The file of the public model of pieces that the alignment query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op1(_table(spark, sf_dir, "documents"))
 
@@ -60,9 +67,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.op11(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.op12(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.op13(_table(spark, sf_dir, "documents"), vocabulary(), pieces())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the subpackage by name."""
-    every = (op1_minhash, op2_quality, op3_bpe, op4_warc, op5_decontamination, op6_toxicity, op7_substring, op8_embeddings, op9_language_model, op10_licenses)
+    every = (op1_minhash, op2_quality, op3_bpe, op4_warc, op5_decontamination, op6_toxicity, op7_substring, op8_embeddings, op9_language_model, op10_licenses, op11_vector_codes, op12_token_files, op13_alignment)
     return {f.__name__: f for f in every}
 
 
@@ -144,6 +163,31 @@ FROM dw LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN b
 """
 
 
+def _rounds() -> str:
+    """A table of assignments and one of entries for each round."""
+    out = []
+    for k in range(codes.ROUNDS + 1):
+        out.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, row, p, arg_min(struct_pack(j := j, d := d), (d, j)) AS best, any_value(x) AS x FROM (SELECT v.vec_id, v.row, v.p, c.j, v.x,
+  list_sum(list_transform(list_zip(v.x, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v JOIN c{k} c USING (p)) GROUP BY vec_id, row, p)""")
+        if k < codes.ROUNDS:
+            out.append(f"""m{k} AS MATERIALIZED (SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS e FROM (SELECT p, best.j AS j, i, sum(x[i])::HUGEINT AS s, count(*) AS n
+  FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL)""")
+            out.append(f"c{k + 1} AS MATERIALIZED (SELECT c.p, c.j, coalesce(m.e, c.e) AS e FROM c{k} c LEFT JOIN m{k} m USING (p, j))")
+    return ",\n".join(out)
+
+
+ORACLE_OP11 = f"""
+WITH k AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row, list_transform(embedding, lambda y: floor({codes.SCALE} * y::DOUBLE)::BIGINT) AS y FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+v AS MATERIALIZED (SELECT vec_id, row, p, y[p * (len(y) // {codes.PARTS}) + 1 : (p + 1) * (len(y) // {codes.PARTS})] AS x FROM (SELECT *, unnest(range({codes.PARTS})) AS p FROM k)),
+c0 AS MATERIALIZED (SELECT p, row - 1 AS j, x AS e FROM v WHERE row <= {codes.ENTRIES}),
+{_rounds()},
+done AS (SELECT vec_id, row, string_agg(printf('%02x', best.j), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY ALL),
+books AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM c{codes.ROUNDS})
+SELECT k.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM done JOIN k USING (row), books
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express over whole tables."""
-    return {"op1_minhash": ORACLE_OP1, "op4_warc": ORACLE_OP4, "op5_decontamination": ORACLE_OP5, "op8_embeddings": ORACLE_OP8, "op10_licenses": ORACLE_OP10}
+    return {"op1_minhash": ORACLE_OP1, "op4_warc": ORACLE_OP4, "op5_decontamination": ORACLE_OP5, "op8_embeddings": ORACLE_OP8, "op10_licenses": ORACLE_OP10, "op11_vector_codes": ORACLE_OP11}
