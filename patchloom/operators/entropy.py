@@ -30,11 +30,13 @@ NOISY = [
 
 def candidates(lines: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """``lines`` whose first assignment gives a value worth measuring: with name and value."""
-    # The pattern runs once over a line that has a sign of assignment; its groups come from the short text it matched.
-    met = F.when(F.contains("text", F.lit("=")) | F.contains("text", F.lit(":")), F.regexp_extract("text", ASSIGNMENT, 0))
-    lines = lines.withColumn("_met", met).where("_met <> ''")
+    # A generator keeps what it makes: later filters cannot be moved below it, so the pattern runs once over a line that has
+    # a sign of assignment, and once more over the short text it matched to give both groups.
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    signed = lines.where(F.contains("text", F.lit("=")) | F.contains("text", F.lit(":")))
+    met = signed.select("*", once(F.regexp_extract("text", ASSIGNMENT, 0), "_met")).where("_met <> ''")
     both = F.split(F.regexp_replace("_met", ASSIGNMENT, "$1\u0001$2$3$4$5"), "\u0001", 2)
-    found = lines.withColumn("_both", both).withColumns({"name": F.get("_both", F.lit(0)), "value": F.nullif(F.get("_both", F.lit(1)), F.lit(""))}).drop("_met", "_both")
+    found = met.select("*", once(both, "_both")).withColumns({"name": F.get("_both", F.lit(0)), "value": F.nullif(F.get("_both", F.lit(1)), F.lit(""))}).drop("_met", "_both")
     plausible = (F.octet_length("value") >= min_length) & F.col("name").rlike(NAMES) & ~F.col("value").rlike(PLACEHOLDERS) & ~F.col("value").rlike(STRUCTURAL)
     return found.where(plausible & (F.length(F.regexp_replace("value", "[^/]", "")) <= 2) & ~F.contains("value", F.lit(" ")))
 

@@ -30,17 +30,17 @@ def first_only(hits: DataFrame) -> DataFrame:
 
 def folded(hits: DataFrame) -> DataFrame:
     """One finding per patch, rule, file and suppression: the first hit with occurrences, other_lines and
-    related_fingerprints of the rest in their order."""
+    related_fingerprints of the rest in their order. Columns that nobody reads leave the plan."""
     own = [c for c in hits.columns if c not in ("patch_id", "rule_id", "file", "suppressed")]
     place = F.struct(*ORDER)
     groups = hits.groupBy("patch_id", "rule_id", "file", "suppressed").agg(
-        F.min_by(F.struct(*own), place).alias("lead"), F.count("*").cast("int").alias("occurrences"),
+        *[F.min_by(c, place).alias(f"_{c}") for c in own], F.count("*").cast("int").alias("occurrences"),
         F.sort_array(F.collect_list(F.struct(*ORDER, "line", "fingerprint"))).alias("all"),
     )
     rest = F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(1)))
     lines = F.transform(F.filter(rest, lambda x: x["line"] > 0), lambda x: x["line"])
     return groups.select(
-        "patch_id", "rule_id", "file", "suppressed", *[F.col("lead")[c].alias(c) for c in own], "occurrences",
+        "patch_id", "rule_id", "file", "suppressed", *[F.col(f"_{c}").alias(c) for c in own], "occurrences",
         F.slice(lines, 1, OTHER_LINES).alias("other_lines"), F.transform(rest, lambda x: x["fingerprint"]).alias("related_fingerprints"),
     )
 

@@ -83,9 +83,11 @@ def described(hits: DataFrame, rules: list[Rule], cfg: Config, detecting: list[d
     own = F.array("match")
     if cfg.redact_across_rules:
         # Whatever redacting rules found on a line, all of it, is masked in every finding of that line.
-        on_line = hits.join(F.broadcast(meta.select("rule_ord", "redact")), "rule_ord").where("redact and match <> ''").groupBy("patch_id", "file_idx", "hunk_idx", "line_idx").agg(F.collect_set("match").alias("_secrets"))
-        rows = rows.join(on_line, ["patch_id", "file_idx", "hunk_idx", "line_idx"], "left").withColumn("redact", F.col("redact") | F.col("_secrets").isNotNull())
-        own = F.coalesce("_secrets", own)
+        of_line = Window.partitionBy("patch_id", "file_idx", "hunk_idx", "line_idx")
+        rows = rows.withColumn("_secrets", F.collect_set(F.when(F.col("redact") & (F.col("match") != ""), F.col("match"))).over(of_line))
+        some = F.size("_secrets") > 0
+        rows = rows.withColumn("redact", F.col("redact") | some)
+        own = F.when(some, F.col("_secrets")).otherwise(own)
     # A match holds its own secret for certain, and others where they lie within it.
     inside = F.filter(own, lambda s: F.contains("match", T.trimmed(s)))
     in_match = F.when(F.size(inside) > 0, inside).otherwise(own)

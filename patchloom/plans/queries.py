@@ -109,7 +109,15 @@ def sql_hits(r: Rule, source: str = "ln", lang: str = LANG, order: int | None =
 _LINE_RULES = [r for r in RULES if r.trigger != "file"]
 _FILE_RULES = [r for r in RULES if r.trigger == "file"]
 _META = ", ".join(f"({k}, {q(r.id)}, {q(r.category)}, {q(r.severity)}, {q(r.confidence)}, {q(r.trigger)}, {str(r.redact).lower()}, {q(r.title)})" for k, r in enumerate(RULES))
-_NOTED = f"contains({{}}, {q(T.MARKER)})"
+
+
+def sql_noted(text: str, rule: str = "rule_id") -> str:
+    """Whether a note in ``text`` names the rule: by id, by a prefix that ends in a star, or by naming none."""
+    ids = f"string_split(regexp_extract({text}, {q(T.MARKER + chr(92) + '[([^' + chr(92) + ']]*)' + chr(92) + ']')}, 1), ',')"
+    named = f"len(list_filter({ids}, lambda i: trim(i) = {rule} OR (ends_with(trim(i), '*') AND starts_with({rule}, trim(i)[:-2])))) > 0"
+    return f"(contains({text}, {q(T.MARKER)}) AND (NOT contains({text}, {q(T.MARKER + '[')}) OR {named}))"
+
+
 _FINGERPRINT = "substr(sha256(rule_id || chr(0) || path || chr(0) || regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+', ' ', 'g')), 1, 16)"
 
 
@@ -122,7 +130,7 @@ def sql_findings(files: bool = True, more: str = "", meta: str = "") -> str:
     return f"""
 hl AS ({' UNION ALL '.join(sql_hits(r) for r in _LINE_RULES)}),
 hits AS (SELECT patch_id, file_idx, hunk_idx, line_idx, path, text, anchor_line AS line, rule_ord, rule_id, match,
-    ({_NOTED.format('text')} OR {_NOTED.format("coalesce(prev_text, '')")}) AS suppressed FROM hl {'UNION ALL ' * files + whole * files} {more}),
+    ({sql_noted('text')} OR {sql_noted("coalesce(prev_text, '')")}) AS suppressed FROM hl {'UNION ALL ' * files + whole * files} {more}),
 fp AS (SELECT *, {_FINGERPRINT} AS fingerprint FROM hits),
 dd AS (SELECT * FROM fp QUALIFY row_number() OVER (PARTITION BY patch_id, fingerprint, line ORDER BY file_idx, rule_ord, hunk_idx, line_idx) = 1),
 meta AS (SELECT * FROM (VALUES {_META}{meta}) m(rule_ord, rid, category, severity, confidence, trigger, redact, title)),
@@ -508,7 +516,7 @@ eb AS (SELECT * EXCLUDE (h), -list_sum(list_transform(map_values(h), lambda c: (
   WHERE strlen(value) >= 20 AND regexp_matches(name, {_RE2(entropy.NAMES)}) AND NOT regexp_matches(value, {_RE2(entropy.PLACEHOLDERS)}) AND NOT regexp_matches(value, {_RE2(entropy.STRUCTURAL)})
   AND strlen(value) - strlen(replace(value, '/', '')) <= 2)),
 eh AS (SELECT *, regexp_matches(value, '[a-z]')::INT + regexp_matches(value, '[A-Z]')::INT + regexp_matches(value, '[0-9]')::INT + regexp_matches(value, '[^a-zA-Z0-9]')::INT AS kinds FROM eb WHERE bits >= 3.6)"""
-_ENTROPY_HITS = f"UNION ALL SELECT patch_id, file_idx, hunk_idx, line_idx, path, text, new_line, {len(RULES)}, {q(entropy.RULE.id)}, value, ({_NOTED.format('text')} OR {_NOTED.format(chr(99) + 'oalesce(prev_text, ' + chr(39) * 2 + ')')}) FROM eh WHERE kinds >= 3 OR (kinds = 2 AND strlen(value) >= 32)"
+_ENTROPY_HITS = f"UNION ALL SELECT patch_id, file_idx, hunk_idx, line_idx, path, text, new_line, {len(RULES)}, {q(entropy.RULE.id)}, value, ({sql_noted('text', q(entropy.RULE.id))} OR {sql_noted("coalesce(prev_text, '')", q(entropy.RULE.id))}) FROM eh WHERE kinds >= 3 OR (kinds = 2 AND strlen(value) >= 32)"
 _ENTROPY_META = f", ({len(RULES)}, {q(entropy.RULE.id)}, 'secrets', 'high', 'low', 'added', true, '')"
 
 
