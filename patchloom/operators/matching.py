@@ -1,12 +1,12 @@
 """Rules against lines: one projection per line of literal conditions, so patterns compile once and a line that
-matches nothing leaves the plan at once."""
+matches nothing leaves the plan at once. Patterns are tried only where a literal they cannot match without occurs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import globs, patterns
+from ..functions import globs, literals, patterns
 from ..functions import text as T
 from ..functions.languages import language
 from ..sources.rules import Rule
@@ -72,19 +72,33 @@ def _near(lines: DataFrame, rules: list[tuple[int, Rule]]) -> tuple[DataFrame, d
     return (lines.withColumns(wanted).withColumns(flags) if flags else lines), checks
 
 
-def line_hits(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+def line_hits(lines: DataFrame, rules: list[Rule], longest: int = 0) -> DataFrame:
     """A row for each rule and line that matches: the line's columns, prev_text, lang, rule_ord, match.
 
     ``rules`` in order give rule_ord; file rules are not lines' business. ``lines`` needs patch_id, file_idx,
-    hunk_idx, line_idx, kind, text, section and path, and no lines of binary files.
+    hunk_idx, line_idx, kind, text, section and path, and no lines of binary files. With ``longest``, patterns that a
+    backtracking matcher may never finish are not tried on lines of more characters.
     """
     wanted = [(k, r) for k, r in enumerate(rules) if r.trigger != "file"]
     prev = F.lag("text").over(Window.partitionBy(*HUNK).orderBy("line_idx"))
     if not wanted:
         return lines.withColumns({"prev_text": prev, "lang": F.lit(""), "rule_ord": F.lit(0), "match": F.lit("")}).where("false")
     blank = ~F.col("text").rlike(r"[^\p{IsWhite_Space}]")
-    first = F.array(*[F.struct(F.lit(k).alias("rule_ord"), F.when(triggered(r, F.col("kind")), first_match(F.col("text"), r.patterns)).alias("match")) for k, r in wanted])
-    lines = lines.withColumn("hits", F.when(~blank, F.filter(first, lambda x: x["match"].isNotNull()))).withColumn("prev_text", prev)
+    sets = {k: found for k, r in wanted if (found := literals.of_any(r.patterns))}
+    # Behind a generator, so that the text is folded once and not in every condition.
+    lines = lines.select("*", prev.alias("prev_text"), F.explode(F.array(literals.searchable(F.col("text")))).alias("_folded"))
+    lines = lines.withColumn("_may", F.when(F.col("kind") != "context", literals.candidates(F.col("_folded"), sets))).drop("_folded")
+
+    def match(k: int, r: Rule) -> Column:
+        ok = triggered(r, F.col("kind"))
+        if k in sets:
+            ok = ok & F.array_contains("_may", k)
+        if longest and any(map(patterns.nested_repetition, r.patterns)):
+            ok = ok & (F.length("text") <= longest)
+        return F.when(ok, first_match(F.col("text"), r.patterns))
+
+    first = F.array(*[F.struct(F.lit(k).alias("rule_ord"), match(k, r).alias("match")) for k, r in wanted])
+    lines = lines.withColumn("hits", F.when(~blank, F.filter(first, lambda x: x["match"].isNotNull()))).drop("_may")
     lines, near = _near(lines, wanted)
     flagged = [f for f in lines.columns if f.startswith("near_")]
     found = lines.where(F.size("hits") > 0).withColumn("hit", F.explode("hits")).withColumn("lang", language(F.col("path")))

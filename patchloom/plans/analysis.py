@@ -56,7 +56,7 @@ def hits_of(files: DataFrame, lines: DataFrame, rules: list[Rule], cfg: Config,
     ids = F.array(*[F.lit(r.id) for r in catalogue])
     rule_id = F.element_at(ids, F.col("rule_ord") + 1)
     common = ["patch_id", "file_idx", "hunk_idx", "line_idx", "path", "text", "section", "old_line", "rule_ord", "match", "line", "title_of", "suppressed", "suppressed_by", "suppression_reason", "snippet_of"]
-    by_rule = matching.line_hits(lines, rules).withColumns({"line": F.col("anchor_line"), "title_of": F.lit(None).cast("string"), "snippet_of": F.col("text")})
+    by_rule = matching.line_hits(lines, rules, cfg.slow_pattern_line).withColumns({"line": F.col("anchor_line"), "title_of": F.lit(None).cast("string"), "snippet_of": F.col("text")})
     parts = [matching.noted(by_rule, rule_id, cfg.marker).select(common)]
     was = F.when((F.col("old_path") != "") & (F.col("old_path") != F.col("path")), F.concat(F.lit(" (was "), "old_path", F.lit(")"))).otherwise("")
     whole = matching.file_hits(files, rules).select(

@@ -42,15 +42,18 @@ class Config:
     router: Router = Router()
     marker: str = "patchloom:ignore"
     redact_across_rules: bool = True
+    #: Characters of a line beyond which patterns with nested repetition are not tried; 0 tries them on every line.
+    slow_pattern_line: int = 0
 
 
 #: The fields of each section.
 _FIELDS = {
-    "": ["version", "min_confidence", "fail_on", "fail_score", "exclude_paths", "rule_paths", "baseline", "rules", "entropy", "scoring", "review"],
+    "": ["version", "min_confidence", "fail_on", "fail_score", "exclude_paths", "rule_paths", "baseline", "rules", "entropy", "scoring", "review", "limits"],
     "rules": ["disable", "enable", "only", "severity"],
     "entropy": ["enabled", "min_entropy", "min_length", "exclude_paths"],
     "scoring": ["base", "removal_multiplier", "saturation", "lead_scale", "blast_radius_weight", "bands"],
     "review": ["default", "routes", "mention"],
+    "limits": ["slow_pattern_line"],
     "route": ["name", "categories", "rules", "paths", "min_severity", "reviewers"],
 }
 
@@ -82,7 +85,7 @@ def from_dict(raw: Any) -> Config:
     raw = {} if raw is None else raw
     if not isinstance(raw, dict):
         raise ConfigError("expected a mapping")
-    top, rules, ent, sco, rev = (_section(raw, n) for n in ("", "rules", "entropy", "scoring", "review"))
+    top, rules, ent, sco, rev, limits = (_section(raw, n) for n in ("", "rules", "entropy", "scoring", "review", "limits"))
     if top.get("version") not in (None, 0, 1):
         raise ConfigError(f"unsupported version {top['version']!r}")
     routes = []
@@ -97,7 +100,7 @@ def from_dict(raw: Any) -> Config:
         disable=_texts(rules, "disable"), enable=_texts(rules, "enable"), only=_texts(rules, "only"), severity={str(k): str(v).strip().lower() for k, v in (rules.get("severity") or {}).items()},
         entropy=Entropy(ent.get("enabled") is not False, number(ent, "min_entropy", 3.6), int(number(ent, "min_length", 20)), _texts(ent, "exclude_paths")),
         weights=Weights({k: float(v) for k, v in (sco.get("base") or {}).items()}, *(_number(sco, k) for k in ("removal_multiplier", "saturation", "lead_scale", "blast_radius_weight")), {k: float(v) for k, v in (sco.get("bands") or {}).items()}),
-        router=Router(tuple(routes), (), _texts(rev, "default"), rev.get("mention") is not False),
+        router=Router(tuple(routes), (), _texts(rev, "default"), rev.get("mention") is not False), slow_pattern_line=int(_number(limits, "slow_pattern_line")),
     )
 
 
