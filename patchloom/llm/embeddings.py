@@ -35,6 +35,9 @@ def meeting(dim: int) -> int:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. A power of two first brings the largest component near one, so no square over- or underflows."""
+    _, power = np.frexp(np.abs(x).max(1, keepdims=True))
+    x = np.ldexp(x, -power)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -179,7 +182,7 @@ def near_duplicates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     Null and zero vectors, those with null or non-finite components, and null vec_ids link with nothing; others
     with vectors of their own length, each length by an index of its own. Equal vectors are indexed once and count as many links as they are rows; rows
     that repeat a vec_id are vectors of their own; ties of a component go to the smallest vec_id. A vector with itself
-    is no link. Vectors of any length are held whole, a group's at once; other columns are not read.
+    is no link. Components may be as small or large as doubles are. Vectors of any length are held whole, a group's at once; other columns are not read.
     """
     narrow = rows.schema["embedding"].dataType == T.ArrayType(T.FloatType(), rows.schema["embedding"].dataType.containsNull)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding"))

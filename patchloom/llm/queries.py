@@ -130,7 +130,8 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)
 
 ORACLE_OP8 = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-ok AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+big AS (SELECT *, list_max(list_transform(e, lambda x: abs(x))) AS most FROM v),
+ok AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM (SELECT vec_id, CASE WHEN most > 0 THEN list_transform(e, lambda x: x / most) ELSE e END AS e FROM big)
   WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
   WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),

@@ -277,6 +277,28 @@ def test_embeddings_of_every_length(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
 
 
+def test_embeddings_of_extreme_norms(spark):
+    """Vectors whose squares over- or underflow link by their direction, and take no link from others."""
+    import duckdb
+    import numpy as np
+    import pandas as pd
+
+    from patchloom.llm.queries import ORACLE_OP8
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, base + 0.02 * rng.normal(size=base.shape)]))]
+    tiny, huge = (100, [1e-200] * 8), (101, [1e200] * 8)
+    rows += [tiny, huge, (102, [-1e-320] * 8), (103, [-1e308] * 7 + [-9e307]), (104, [1e-300] + [0.0] * 7), (105, [1e300] + [1.0] * 7)]
+    got = embeddings.op8(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    con = duckdb.connect()
+    con.register("embeddings", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    same_rows(got, con.execute(ORACLE_OP8).df())
+    by = got.set_index("vec_id")
+    assert by.component_id[:80].tolist() != list(range(80)) and (by.n_links[:80] > 0).all()
+    assert by.component_id[101] == 100 and by.component_id[103] == 102 and by.component_id[105] == 104
+
+
 def test_language_model_is_normalised(spark, monkeypatch):
     """P(w | u) sums to 1 over all words and the unknown one, after common, rare and unseen words alike."""
     import numpy as np
