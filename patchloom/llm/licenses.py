@@ -25,6 +25,8 @@ from .decontaminate import _slots, counts
 SPREAD = 1.25
 #: Share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.8
+#: Templates of fewer words must stand word after word: as sets they would be found in texts that say something else.
+ORDERED = 8
 #: Phrases whose words must stand one after another, and the labels they give.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Label and words of each template.
@@ -78,6 +80,8 @@ class Index:
     """Templates as sorted sets of word numbers, rarest first, with their prefixes inverted."""
 
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], frequency: dict[int, int]):
+        self.ordered = [(hashes(text.split()), label) for label, text in templates if len(text.split()) < ORDERED]
+        templates = [(label, text) for label, text in templates if len(text.split()) >= ORDERED]
         words = [hashes(text.split()) for _, text in templates]
         sets = [sorted(set(h.tolist()), key=lambda h: (frequency.get(h, 0), h)) for h in words]
         self.length = [math.ceil(SPREAD * len(h)) for h in words]
@@ -159,7 +163,8 @@ def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     """doc_id, n_words, places, blocks for every row of ``docs``; a null text has no words.
 
     ``places``: where a phrase's words stand consecutively, in order. ``blocks``: the runs of overlapping blocks that hold
-    a share of :data:`CONTAINMENT` of a template's distinct words. Templates and phrases are parameters and small.
+    a share of :data:`CONTAINMENT` of a template's distinct words, and places of templates of fewer than :data:`ORDERED`
+    words. Templates and phrases are parameters and small.
     Rows of any doc_id, null or repeated, are judged each by its own text; other columns are not read.
     """
     lean(docs.sparkSession)
@@ -179,6 +184,10 @@ def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                     for p in places(w, phrase).tolist():
                         d = int(np.searchsorted(w.first, p, "right")) - 1
                         at[d].append({"start": p - int(w.first[d]), "label": label})
+                for phrase, label in ix.ordered:
+                    for p in places(w, phrase).tolist():
+                        d = int(np.searchsorted(w.first, p, "right")) - 1
+                        held[d].append({"start": p - int(w.first[d]), "label": label, "containment": 1.0})
                 if len(ix.vocabulary) and len(w.hash):
                     for d, start, t, share in blocks(ix, w):
                         held[d].append({"start": start, "label": ix.labels[t], "containment": share})

@@ -143,7 +143,8 @@ FROM v JOIN comp ON comp.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 
-_TEMPLATES = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES if len(text.split()) >= licenses.ORDERED)
+_ORDERED = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES if len(text.split()) < licenses.ORDERED)
 _PHRASES = ", ".join(f"('{label}', '{text}')" for text, label in licenses.PHRASES.items())
 ORACLE_OP10 = f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
@@ -155,7 +156,9 @@ base AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last
 few AS (SELECT doc_id, w, label, s, span FROM dw, t WHERE len(list_intersect(s, list_distinct(w))) >= ceil(0.8 * len(s) - 1e-9)),
 b AS (SELECT doc_id, label, s, w[k + 1 : k + span] AS block FROM (SELECT *, unnest(range(len(w))) AS k FROM few) WHERE list_contains(s, w[k + 1])),
 held AS (SELECT doc_id, label, len(list_intersect(s, list_distinct(block))) AS n, len(s) AS size FROM b),
-found AS (SELECT doc_id, label, n / size AS share FROM held WHERE n >= ceil(0.8 * size - 1e-9)),
+o AS (SELECT label, words AS phrase, len(string_split(words, ' ')) AS size FROM (VALUES {_ORDERED}) v(label, words)),
+short AS (SELECT DISTINCT doc_id, label FROM (SELECT doc_id, w, label, phrase, size, unnest(range(len(w) - size + 1)) AS k FROM dw, o WHERE len(w) >= size) WHERE array_to_string(w[k + 1 : k + size], ' ') = phrase),
+found AS (SELECT doc_id, label, n / size AS share FROM held WHERE n >= ceil(0.8 * size - 1e-9) UNION ALL SELECT doc_id, label, 1.0 AS share FROM short),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

@@ -237,10 +237,10 @@ def test_licenses(spark, docs, none):
 
 def test_licenses_in_order_of_length(spark):
     """Words of a short template that are scattered are none of its blocks; a long one is found wherever it stands."""
-    scattered = ["The general public was told that a lesser known license exists.", "All readers have rights that are reserved by law.", "a lesser general public license", "All rights are reserved"]
+    scattered = ["The general public was told that a lesser known license exists.", "All readers have rights that are reserved by law.", "a lesser general public license", "All rights are reserved", "all reserved rights", "public lesser general x license", "ALL RIGHTS - RESERVED."]
     table = spark.createDataFrame(list(enumerate(scattered)), "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in licenses.op10(table).collect()}
-    assert got == {0: "", 1: "", 2: "lgpl-3", 3: "all-rights-reserved"}
+    assert got == {0: "", 1: "", 2: "lgpl-3", 3: "", 4: "", 5: "", 6: "all-rights-reserved"}
     body = " ".join(f"term{k}" for k in range(150))
     table = spark.createDataFrame([(k, "x " * k + body + " y" * 90 + " " + body) for k in (0, 17, 75, 149, 151)], "doc_id long, text string")
     got = {r["doc_id"]: [(b["label"], b["start"], b["containment"]) for b in r["blocks"]] for r in licenses.find(table, [("long", body)], {}).collect()}
@@ -262,6 +262,8 @@ def test_licenses_against_brute_force(spark):
         for label, body in templates:
             s, n = set(body.split()), math.ceil(licenses.SPREAD * len(body.split()))
             best = max((len(s & set(w[i : i + n])) for i in range(len(w))), default=0)
+            if len(body.split()) < licenses.ORDERED:
+                best = len(s) if f" {body} " in f" {text} " else 0
             if best >= math.ceil(0.8 * len(s) - 1e-9):
                 want[label] = round(best / len(s), 9)
         top = {}
