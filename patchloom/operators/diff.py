@@ -88,56 +88,90 @@ def parse(patches: DataFrame, strict_hunks: bool = False) -> Diff:
     opens = git | F.col("line").startswith("--- ")
     rows = rows.withColumn("begun", F.coalesce(F.max(opens.cast("int")).over(before), F.lit(0)))
     rows = rows.withColumn("starts", (git | ((F.col("begun") == 0) & opens)).cast("int"))
-    rows = rows.withColumn("file_no", F.sum("starts").over(by_patch)).where("file_no > 0").drop("begun")
-    tag = F.lit("")
-    for h in reversed(_HEADERS):
-        tag = F.when(F.col("line").startswith(h), h).otherwise(tag)
-    header = r"^@@(.*?)@@(.*)$"
-    ranges = F.split(trimmed(F.regexp_extract("line", header, 1)), r"\s+")
-    number = r"([+-]?\d{1,9})(?:,[+-]?\d{1,9})?$"
-    # The null-safe access matters: a broken header has fewer ranges.
-    old, new = F.get(ranges, F.lit(0)), F.get(ranges, F.lit(1))
-    start = lambda x, sign: F.regexp_extract(F.coalesce(x, F.lit("")), f"^[{sign}]{number}", 1)
-    rows = rows.withColumn("tag", tag).withColumn("old_start", F.when(F.col("tag") == "@@", start(old, "-")).otherwise("")).withColumn("new_start", F.when(F.col("tag") == "@@", start(new, "+")).otherwise(""))
-    rows = rows.withColumn("heads", ((F.col("old_start") != "") & (F.col("new_start") != "")).cast("int"))
+    rows = tagged(rows.withColumn("file_no", F.sum("starts").over(by_patch)).where("file_no > 0").drop("begun"))
     if strict_hunks:
-        rows = _within_counts(rows, ranges)
+        rows = _within_counts(rows)
     by_file = Window.partitionBy("patch_id", "file_no").orderBy("ord")
     rows = rows.withColumn("hunk_no", F.sum("heads").over(by_file))
     by_hunk = Window.partitionBy("patch_id", "file_no", "hunk_no").orderBy("ord")
     so_far = by_hunk.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.substring("line", 1, 1)
-    other = F.col("tag") == ""
-    binary = F.col("tag").isin("Binary files ", "GIT binary patch")
-    ends = binary | (other & ~first.isin("+", "-", " ", "\\", ""))
-    rows = rows.withColumn("closed", F.max(ends.cast("int")).over(by_hunk))
-    kind = F.when(first == "+", "added").when(first == "-", "removed").when(first.isin(" ", ""), "context")
-    rows = rows.withColumn("kind", F.when(other & (F.col("hunk_no") > 0) & (F.col("closed") == 0), kind))
+    rows = rows.withColumn("closed", F.max(ending().cast("int")).over(by_hunk))
+    rows = rows.withColumn("kind", F.when((F.col("hunk_no") > 0) & (F.col("closed") == 0), kind_of()))
     head = lambda c: F.first(c).over(by_hunk)
-    one = lambda c: F.when(F.col(c).rlike("^[+-]?0+$"), 1).otherwise(F.col(c).try_cast("int"))
-    rows = rows.withColumn("o0", head(one("old_start"))).withColumn("n0", head(one("new_start")))
-    rows = rows.withColumn("section", head(F.when(F.col("heads") == 1, trimmed(F.regexp_extract("line", header, 2)))))
+    rows = rows.withColumn("o0", head(number_of("old_start"))).withColumn("n0", head(number_of("new_start")))
+    rows = rows.withColumn("section", head(F.when(F.col("heads") == 1, trimmed(F.regexp_extract("line", _HUNK, 2)))))
     moved = lambda *kinds: F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("int")).over(so_far), F.lit(0))
     rows = rows.withColumn("old_at", F.col("o0") + moved("context", "removed")).withColumn("new_at", F.col("n0") + moved("context", "added"))
     rows = rows.withColumn("line_no", F.sum(F.col("kind").isNotNull().cast("int")).over(by_hunk) - 1)
+    files, lines = built(rows)
+    return Diff(files.drop("file_no"), with_anchors(lines), rejected(judged, files))
+
+
+def built(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Files, and lines with ``more`` columns, of rows that know their file, hunk, kind and places."""
     files = _files(rows)
     lines = rows.where("kind is not null").select(
         "patch_id", "file_no", (F.col("hunk_no") - 1).cast("int").alias("hunk_idx"), F.col("line_no").cast("int").alias("line_idx"), "kind",
         F.when(F.col("line") == "", "").otherwise(F.substring("line", F.lit(2), F.length("line"))).alias("text"),
         F.when(F.col("kind") == "added", 0).otherwise(F.col("old_at")).cast("int").alias("old_line"), F.when(F.col("kind") == "removed", 0).otherwise(F.col("new_at")).cast("int").alias("new_line"),
-        F.col("section"), F.col("n0").alias("new_start"),
+        F.col("section"), F.col("n0").alias("new_start"), *more,
     )
-    lines = lines.join(files.select("patch_id", "file_no", "file_idx", "path", "binary"), ["patch_id", "file_no"]).drop("file_no")
+    return files, lines.join(files.select("patch_id", "file_no", "file_idx", "path", "binary"), ["patch_id", "file_no"]).drop("file_no")
+
+
+def rejected(judged: DataFrame, files: DataFrame) -> DataFrame:
+    """patch_id, reason of patches with a reason, and of those that have no file."""
     none = judged.where("reason is null").join(files.select("patch_id").distinct(), "patch_id", "left_anti").select("patch_id", F.lit("no file changes found").alias("reason"))
-    rejected = judged.where("reason is not null").select("patch_id", "reason").union(none)
-    return Diff(files.drop("file_no"), with_anchors(lines), rejected)
+    return judged.where("reason is not null").select("patch_id", "reason").union(none)
+
+
+#: A hunk's header: what stands between the signs, and the section after them.
+_HUNK = r"^@@(.*?)@@(.*)$"
+
+
+def _ranges() -> Column:
+    return F.split(trimmed(F.regexp_extract("line", _HUNK, 1)), r"\s+")
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """``rows`` (line) with tag, the header a line begins with; old_start and new_start of a hunk's header; heads, 1 for a sound one."""
+    tag = F.lit("")
+    for h in reversed(_HEADERS):
+        tag = F.when(F.col("line").startswith(h), h).otherwise(tag)
+    ranges, number = _ranges(), r"([+-]?\d{1,9})(?:,[+-]?\d{1,9})?$"
+    # The null-safe access matters: a broken header has fewer ranges.
+    old, new = F.get(ranges, F.lit(0)), F.get(ranges, F.lit(1))
+    start = lambda x, sign: F.regexp_extract(F.coalesce(x, F.lit("")), f"^[{sign}]{number}", 1)
+    rows = rows.withColumn("tag", tag).withColumn("old_start", F.when(F.col("tag") == "@@", start(old, "-")).otherwise("")).withColumn("new_start", F.when(F.col("tag") == "@@", start(new, "+")).otherwise(""))
+    return rows.withColumn("heads", ((F.col("old_start") != "") & (F.col("new_start") != "")).cast("int"))
+
+
+def ending() -> Column:
+    """Whether a tagged line ends its hunk."""
+    binary = F.col("tag").isin("Binary files ", "GIT binary patch")
+    return binary | ((F.col("tag") == "") & ~F.substring("line", 1, 1).isin("+", "-", " ", "\\", ""))
+
+
+def kind_of() -> Column:
+    """What a tagged line is inside a hunk; null for headers and other lines."""
+    first = F.substring("line", 1, 1)
+    return F.when(F.col("tag") == "", F.when(first == "+", "added").when(first == "-", "removed").when(first.isin(" ", ""), "context"))
+
+
+def number_of(start: str) -> Column:
+    """The line number that a hunk's header gives; zero counts as one."""
+    return F.when(F.col(start).rlike("^[+-]?0+$"), 1).otherwise(F.col(start).try_cast("int"))
+
+
+def owed_lines(k: int) -> Column:
+    """How many lines of one side a hunk's header announces."""
+    return F.coalesce(F.regexp_extract(F.get(_ranges(), F.lit(k)), r"^[-+]\d+,(\d+)$", 1).try_cast("int"), F.lit(1))
 
 
-def _within_counts(rows: DataFrame, ranges: Column) -> DataFrame:
+def _within_counts(rows: DataFrame) -> DataFrame:
     """Header tags inside the lines that a hunk still owes are its lines."""
     by_patch = Window.partitionBy("patch_id").orderBy("ord")
-    count = lambda k: F.coalesce(F.regexp_extract(F.get(ranges, F.lit(k)), r"^[-+]\d+,(\d+)$", 1).try_cast("int"), F.lit(1))
-    sized = rows.withColumn("seq", F.sum("heads").over(by_patch)).withColumn("owes_old", F.when(F.col("heads") == 1, count(0))).withColumn("owes_new", F.when(F.col("heads") == 1, count(1)))
+    sized = rows.withColumn("seq", F.sum("heads").over(by_patch)).withColumn("owes_old", F.when(F.col("heads") == 1, owed_lines(0))).withColumn("owes_new", F.when(F.col("heads") == 1, owed_lines(1)))
     at = Window.partitionBy("patch_id", "seq").orderBy("ord")
     first = F.substring("line", 1, 1)
     body = F.col("heads") == 0
