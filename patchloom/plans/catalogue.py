@@ -1,12 +1,14 @@
 """Lines that each rule of the packs is written for, and lines that look alike but are not its business.
 
-A case is a file of one hunk with one line. Both the tests and the query ``catalogue_cases`` run every rule over
-every case; the language of a path is given by hand for the second engine.
+A case is a file of one hunk with one line; the tests run every rule over every case. The queries ``catalogue_cases`` and
+``catalogue_hits`` run them over changes that :func:`derived` makes of documents and cases. The language of a path is given by hand
+for the second engine.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: path: (language, kind of the line) of the cases below that name it.
 _PY, _JS, _GO, _TF, _K8S, _SQL, _MD = "app/views.py", "web/page.js", "svc/main.go", "infra/main.tf", "deploy/app.yaml", "db/migrate/7.sql", "docs/notes.md"
@@ -114,3 +116,37 @@ def lines(spark: SparkSession, rules) -> DataFrame:
     """The cases as lines of one patch, a file each."""
     rows = [("cases", n, 1, 1, kind, text, "", path, 0 if kind == "added" else 1, 1 if kind == "added" else 0, 1) for n, path, kind, text, _ in cases(rules)]
     return spark.createDataFrame(rows, "patch_id string, file_idx int, hunk_idx int, line_idx int, kind string, text string, section string, path string, old_line int, new_line int, anchor_line int")
+
+
+#: Cases that each document takes up, one after another; together the documents take up all of them over and over.
+PER_DOCUMENT = 10
+
+
+def derived(spark: SparkSession, sf_dir: str, rules) -> DataFrame:
+    """Changes made of documents and cases: each document has files of one hunk, with its own first line as context and
+    then a case, as it is, indented, or with a word of the document behind it."""
+    every = [(n, path, kind, text) for n, path, kind, text, _ in cases(rules)]
+    table = F.broadcast(spark.createDataFrame(every, "case int, path string, kind string, said string"))  # as many rows as the packs have cases
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    docs = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("head"), F.substring(F.md5("text"), 1, 8).alias("tag"), F.explode(F.sequence(F.lit(0), F.lit(PER_DOCUMENT - 1))).alias("j"))
+    docs = docs.withColumn("case", ((F.col("doc_id") * PER_DOCUMENT + F.col("j")) % len(every)).cast("int")).join(table, "case")
+    shown = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("    "), "said")).when(F.col("doc_id") % 3 == 2, F.concat("said", F.lit("  # "), "tag")).otherwise(F.col("said"))
+    removed = F.col("kind") == "removed"
+    row = lambda k, kind, text, old, new, anchor: F.struct(F.lit(k).alias("line_idx"), kind.alias("kind"), text.alias("text"), old.alias("old_line"), new.alias("new_line"), anchor.alias("anchor_line"))
+    one, two, none = F.lit(1), F.lit(2), F.lit(0)
+    pair = F.array(row(0, F.lit("context"), F.col("head"), one, one, one), row(1, F.col("kind"), shown, F.when(removed, two).otherwise(none), F.when(removed, none).otherwise(two), F.when(removed, one).otherwise(two)))
+    rows = docs.select(F.floor(F.col("doc_id") / 20).alias("patch_id"), ((F.col("doc_id") % 20) * PER_DOCUMENT + F.col("j")).cast("int").alias("file_idx"), F.lit(0).alias("hunk_idx"), "case", "path", F.lit("").alias("section"), F.inline(pair))
+    return rows
+
+
+def derived_sql(rules, q) -> str:
+    """The same relation as common table expressions that end in ``dv``."""
+    every = [(n, path, kind, text) for n, path, kind, text, _ in cases(rules)]
+    values = ", ".join(f"({n}, {q(path)}, {q(kind)}, {q(text)})" for n, path, kind, text in every)
+    return f"""cv AS (SELECT * FROM (VALUES {values}) v("case", path, kind, said)),
+dj AS (SELECT doc_id, string_split(text, chr(10))[1] AS head, md5(text)[1:8] AS tag, unnest(range({PER_DOCUMENT})) AS j FROM documents WHERE text IS NOT NULL),
+dc AS (SELECT doc_id // 20 AS patch_id, ((doc_id % 20) * {PER_DOCUMENT} + j)::INT AS file_idx, 0 AS hunk_idx, '' AS section, dj.*, cv.* FROM dj JOIN cv ON cv."case" = (doc_id * {PER_DOCUMENT} + j) % {len(every)}),
+d2 AS (SELECT patch_id, file_idx, hunk_idx, 0 AS line_idx, "case", path, 'context' AS kind, head AS text, section, 1 AS old_line, 1 AS new_line, 1 AS anchor_line FROM dc UNION ALL
+  SELECT patch_id, file_idx, hunk_idx, 1, "case", path, kind, CASE doc_id % 3 WHEN 1 THEN '    ' || said WHEN 2 THEN said || '  # ' || tag ELSE said END, section,
+  CASE kind WHEN 'removed' THEN 2 ELSE 0 END, CASE kind WHEN 'removed' THEN 0 ELSE 2 END, CASE kind WHEN 'removed' THEN 1 ELSE 2 END FROM dc),
+dv AS MATERIALIZED (SELECT *, lag(text) OVER (PARTITION BY patch_id, file_idx, hunk_idx ORDER BY line_idx) AS prev_text FROM d2)"""

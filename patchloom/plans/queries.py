@@ -555,25 +555,28 @@ def _named(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rule_id", F.element_at(F.array(*[F.lit(r.id) for r in BUILTIN]), F.col("rule_ord") + 1))
 
 
-_CASE_ROWS = ", ".join(f"({n}, {q(path)}, {q(kind)}, {q(text)})" for n, path, kind, text, _ in catalogue.cases(BUILTIN))
 _CASE_LANG = "CASE path " + " ".join(f"WHEN {q(p)} THEN {q(lang)}" for p, lang in catalogue.LANGUAGE.items()) + " END"
+_DERIVED = f"WITH {catalogue.derived_sql(BUILTIN, q)}, h AS ({' UNION ALL '.join(sql_hits(r, 'dv', _CASE_LANG, k) for k, r in _BUILTIN_LINE_RULES)})"
 
 
-@query(
-    f"WITH cs AS MATERIALIZED (SELECT 'cases' AS patch_id, *, 1 AS hunk_idx, 1 AS line_idx, '' AS section, 0 AS old_line, 0 AS new_line, 1 AS anchor_line, NULL::VARCHAR AS prev_text FROM (VALUES {_CASE_ROWS}) v(file_idx, path, kind, text)), "
-    f"h AS ({' UNION ALL '.join(sql_hits(r, 'cs', _CASE_LANG, k) for k, r in _BUILTIN_LINE_RULES)}) SELECT file_idx, rule_id, match FROM h"
-)
+@query(f'{_DERIVED} SELECT "case", rule_id, count(*) AS n, count(DISTINCT h.patch_id) AS patches FROM h JOIN dv USING (patch_id, file_idx, hunk_idx, line_idx) GROUP BY ALL')
 def catalogue_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line rule of the packs over lines written for each of them."""
-    return _named(matching.line_hits(catalogue.lines(spark, BUILTIN), BUILTIN)).select("file_idx", "rule_id", "match")
+    """How often each rule finds each of the cases in the changes made of documents."""
+    found = _named(matching.line_hits(catalogue.derived(spark, sf_dir, BUILTIN), BUILTIN))
+    return found.groupBy("case", "rule_id").agg(F.count("*").alias("n"), F.count_distinct("patch_id").alias("patches"))
+
+
+_BOTH = [*KEY, "kind", "path", "text", "section", "old_line", "new_line", "anchor_line"]
 
 
 @query(
-    f"{LINES}, lm AS MATERIALIZED (SELECT * FROM ln), h AS ({' UNION ALL '.join(sql_hits(r, 'lm', LANG, k) for k, r in _BUILTIN_LINE_RULES)}) SELECT patch_id, file_idx, hunk_idx, line_idx, rule_id, match FROM h"
+    f"{LINES}, {catalogue.derived_sql(BUILTIN, q)}, lm AS MATERIALIZED (SELECT {', '.join(_BOTH)}, prev_text FROM ln UNION ALL SELECT {', '.join(_BOTH).replace('file_idx', 'file_idx + 1000')}, prev_text FROM dv), "
+    f"h AS ({' UNION ALL '.join(sql_hits(r, 'lm', f'coalesce({_CASE_LANG}, {LANG})', k) for k, r in _BUILTIN_LINE_RULES)}) SELECT patch_id, file_idx, hunk_idx, line_idx, rule_id, match FROM h"
 )
 def catalogue_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line rule of the packs over the lines of all documents."""
-    return _named(matching.line_hits(_lines(spark, sf_dir), BUILTIN)).select(*KEY, "rule_id", "match")
+    """Every line rule of the packs over the lines of all documents, and over changes made of them and of each rule's cases."""
+    made = catalogue.derived(spark, sf_dir, BUILTIN).withColumn("file_idx", F.col("file_idx") + 1000)
+    return _named(matching.line_hits(_lines(spark, sf_dir).select(_BOTH).unionByName(made.select(_BOTH)), BUILTIN)).select(*KEY, "rule_id", "match")
 
 
 @query(f"{ALL} SELECT patch_id, rule_id, count(*) AS n, (SELECT count(*) FROM fl WHERE fl.patch_id = hits.patch_id AND {sql_glob('fl.path', _GLOBS)}) AS files_skipped FROM hits WHERE NOT {sql_glob('path', _GLOBS)} GROUP BY ALL")

@@ -17,6 +17,11 @@ def test_query_matches_its_sql(spark, duck, name):
     same_rows(rows, duck.execute(Q.SQL[name]).df())
 
 
+def test_the_catalogue_meets_almost_every_rule(spark):
+    found = {r["rule_id"] for r in Q.QUERIES["catalogue_cases"](spark, DATA).select("rule_id").distinct().collect()}
+    assert len(found) >= 80
+
+
 def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.count() == 10 and {"total", "band"} <= set(rows.columns)
