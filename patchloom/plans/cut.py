@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the program ends."""
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, at)
+    return at
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except (Py4JError, OSError, AttributeError):  # the session has ended before
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and checkpointed in the shared folder of ``spark.checkpoint.dir``.
 

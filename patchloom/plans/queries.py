@@ -7,7 +7,6 @@ dialect; globs, languages and everything else are written for it apart from the
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +17,12 @@ from ..functions import text as T
 from ..functions.languages import language
 from ..operators import diff, entropy, findings, matching, routing, scoring
 from ..sources import baseline as B
+from ..sources.baseline_table import BaselineTable
 from ..sources.config import Config
 from ..sources.rules import Rule, default
 from . import catalogue, corpus
-from .analysis import analyse_changes, described, hits_of, stats_of
-from .cut import shared_folder
+from .analysis import Analysis, analyse_changes, described, hits_of, stats_of
+from .cut import cut, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -540,7 +540,7 @@ def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The diffs arrive as files and go through the analysis in micro-batches."""
     from ..streaming.incremental import analysed, arriving
 
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     as_patches(spark, sf_dir).write.partitionBy("patch_id").text(f"{at}/in")
     analysed(arriving(spark, f"{at}/in"), corpus.rules(), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{at}/out/scores")
@@ -653,6 +653,116 @@ def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select(*KEY, T.cleaned_section(heading).alias("section"))
 
 
+def _reported(spark: SparkSession, sf_dir: str) -> Analysis:
+    rows = scoring.scored(routing.routed(_folded(spark, sf_dir), _ROUTER))
+    stats = stats_of(corpus.files(spark, sf_dir), len(RULES))
+    return Analysis(rows, stats, scoring.category_scores(rows), scoring.patch_scores(rows, stats), rows.limit(0))
+
+
+_ORDERED = f"""od AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY suppressed, {SEVERITY_RANK.format('severity')} DESC, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, file, line, rule_id) AS k FROM sc),
+o1 AS (SELECT *, min(k) OVER (PARTITION BY patch_id, rule_id) AS first FROM od), o2 AS (SELECT *, dense_rank() OVER (PARTITION BY patch_id ORDER BY first) - 1 AS rule_index FROM o1)"""
+
+
+@query(
+    f"{ALL}, {_ORDERED}, rs AS (SELECT patch_id, count(*) AS n_results, string_agg(rule_index, ',' ORDER BY k) AS rule_indexes, string_agg(CASE WHEN {SEVERITY_RANK.format('severity')} >= 4 THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END, ',' ORDER BY k) AS levels, "
+    "string_agg(file || ':' || CASE WHEN line > 0 THEN line::VARCHAR ELSE '' END, ',' ORDER BY k) AS places, string_agg(fingerprint, ',' ORDER BY k) AS prints, count(*) FILTER (suppressed) AS n_suppressed FROM o2 GROUP BY patch_id), "
+    "ru AS (SELECT patch_id, string_agg(rule_id, ',' ORDER BY rule_index) AS rules FROM (SELECT DISTINCT patch_id, rule_id, rule_index FROM o2) GROUP BY patch_id) "
+    "SELECT f.patch_id, coalesce(n_results, 0) AS n_results, coalesce(rules, '') AS rules, coalesce(rule_indexes, '') AS rule_indexes, coalesce(levels, '') AS levels, coalesce(places, '') AS places, coalesce(prints, '') AS prints, coalesce(n_suppressed, 0) AS n_suppressed "
+    "FROM (SELECT DISTINCT patch_id FROM fl) f LEFT JOIN rs USING (patch_id) LEFT JOIN ru USING (patch_id)"
+)
+def sarif_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SARIF log for each patch, written by bucket, and what a reader finds in it."""
+    from .reports import sarif_logs, write_by_bucket
+
+    a, at = _reported(spark, sf_dir), scratch(spark, "sarif")
+    write_by_bucket(sarif_logs(a.findings, a.stats), at)
+    place = "struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>"
+    result = f"struct<ruleId: string, ruleIndex: int, level: string, locations: array<{place}>, partialFingerprints: map<string, string>, suppressions: array<struct<kind: string>>>"
+    shape = f"runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<{result}>>>"
+    run = F.from_json("log", shape)["runs"][0]
+    rows = spark.read.parquet(at).select("patch_id", run["results"].alias("r"), run["tool"]["driver"]["rules"].alias("u"))
+    joined = lambda f, c="r": F.array_join(F.transform(c, f), ",")
+    spot = lambda x: F.concat(x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], F.lit(":"), F.coalesce(x["locations"][0]["physicalLocation"]["region"]["startLine"].cast("string"), F.lit("")))
+    return rows.select(
+        "patch_id", F.size("r").cast("long").alias("n_results"), joined(lambda x: x["id"], "u").alias("rules"), joined(lambda x: x["ruleIndex"].cast("string")).alias("rule_indexes"), joined(lambda x: x["level"]).alias("levels"),
+        joined(spot).alias("places"), joined(lambda x: F.map_values(x["partialFingerprints"])[0]).alias("prints"), F.size(F.filter("r", lambda x: x["suppressions"].isNotNull())).cast("long").alias("n_suppressed"),
+    )
+
+
+@query(
+    f"{ALL}, {_TOTALS}, cs AS (SELECT patch_id, category, round(sum(score), 1) AS score, count(*) AS n FROM sc WHERE NOT suppressed GROUP BY ALL), cn AS (SELECT patch_id, count(*) AS n_categories FROM cs GROUP BY patch_id), "
+    "hs AS (SELECT patch_id, count(*) AS n FROM sc WHERE suppressed GROUP BY patch_id) "
+    f"SELECT ps.patch_id, printf('%.0f', {_R1.format('exact')}) AS risk, ps.n AS questions, coalesce(n_categories, 0) AS categories, coalesce(hs.n, 0) AS ignored, files AS files_changed, "
+    f"'score=' || printf('%.1f', {_R1.format('exact')}) AS first_line FROM ps LEFT JOIN cn USING (patch_id) LEFT JOIN hs USING (patch_id)"
+)
+def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review comment and the lines for CI of each patch, and what they say."""
+    from .reports import texts
+
+    said = texts(_reported(spark, sf_dir), ("markdown", "ci"))
+    n = lambda p: F.coalesce(F.regexp_extract("markdown", p, 1).try_cast("long"), F.lit(0))
+    count = lambda p: F.regexp_count("markdown", F.lit(p)).cast("long")
+    return said.select(
+        "patch_id", F.regexp_extract("markdown", r"risk \*\*(\d+) / 100", 1).alias("risk"), count(r"(?m)^- \[ \] ").alias("questions"), count(r"(?m)^\| [^|]+ \| `[█·]+`").alias("categories"),
+        n(r"<summary>Suppressed: (\d+),").alias("ignored"), n(r"lines in (\d+) changed").alias("files_changed"), F.substring_index("ci", "\n", 1).alias("first_line"),
+    )
+
+
+@query(
+    f"{ALL}, e1 AS (SELECT fingerprint, min((path, rule_id)) AS k FROM dd GROUP BY fingerprint) SELECT fingerprint, k[2] AS rule, k[1] AS file, "
+    "CASE WHEN regexp_matches(fingerprint, '^[08]') THEN '2024-01-01' ELSE '2024-01-02' END AS added_at, CASE WHEN regexp_matches(fingerprint, '^[08]') THEN 1 ELSE 2 END AS version FROM e1 WHERE NOT regexp_matches(fingerprint, '^[19]')"
+)
+def baseline_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline kept as a table: some findings accepted, then all, then some removed."""
+    table, rows = BaselineTable(spark, scratch(spark, "baseline")), cut(findings.first_only(_hits(spark, sf_dir)))
+    entry = lambda df, day: df.select(F.lit("").alias("repo"), "fingerprint", F.col("rule_id").alias("rule"), F.col("path").alias("file"), F.lit("").alias("reason"), F.lit(day).alias("added_at"))
+    table.add(entry(rows.where(F.col("fingerprint").rlike("^[08]")), "2024-01-01"))
+    table.add(entry(rows, "2024-01-02"))
+    table.remove(rows.where(F.col("fingerprint").rlike("^[19]")).select(F.lit("").alias("repo"), "fingerprint"))
+    return table.entries().select("fingerprint", "rule", "file", "added_at", "version")
+
+
+#: A patch an hour, in repositories named by source; a finding is known by its rule, repository and match.
+_EPOCH = 1704067200
+_QUIET = 6
+_MET_AT = f"ev AS (SELECT split_part(path, '/', 1) AS repo, rule_id, {_FINGERPRINT.replace('text', 'match').replace('path', "split_part(path, '/', 1)")} AS fingerprint, patch_id AS hour FROM hits)"
+
+
+def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = F.substring_index("path", "/", 1)
+    return _hits(spark, sf_dir).select(repo.alias("repo"), "rule_id", T.fingerprint(F.col("rule_id"), repo, F.col("match")).alias("fingerprint"), F.timestamp_seconds(F.col("patch_id") * 3600 + _EPOCH).alias("at"), F.col("patch_id").alias("hour"))
+
+
+@query(f"{ALL}, {_MET_AT}, gp AS (SELECT DISTINCT repo, fingerprint, hour FROM ev), lg AS (SELECT *, lag(hour) OVER (PARTITION BY repo, fingerprint ORDER BY hour) AS before FROM gp) SELECT repo, fingerprint, hour::BIGINT AS hour FROM lg WHERE before IS NULL OR hour - before > {_QUIET}")
+def findings_told_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings arrive in three slices of time, the stream starts again for each, and each finding is told where it opens."""
+    from ..streaming.stateful import told_once
+
+    at, rows = scratch(spark, "told"), cut(_met(spark, sf_dir).drop("rule_id"))
+    most = rows.agg(F.max("hour")).collect()[0][0] or 0
+    schema = rows.drop("hour").schema
+    for k in range(3):
+        slice_ = rows.where((F.col("hour") * 3 >= k * (most + 1)) & (F.col("hour") * 3 < (k + 1) * (most + 1)))
+        slice_.drop("hour").write.mode("append").parquet(f"{at}/in")
+        told = told_once(spark.readStream.schema(schema).parquet(f"{at}/in"), _QUIET * 3600)
+        told.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    opened = spark.read.parquet(f"{at}/out").where("event = 'opened'")
+    return opened.select("repo", "fingerprint", F.floor((F.unix_timestamp("at") - _EPOCH) / 3600).alias("hour"))
+
+
+@query(
+    f"{ALL}, {_MET_AT}, ss AS (SELECT repo || ':' || rule_id AS repo, hour, count(*) AS n FROM ev GROUP BY ALL), lg AS (SELECT *, hour - lag(hour) OVER (PARTITION BY repo ORDER BY hour) AS gap FROM ss), gr AS (SELECT *, sum((coalesce(gap, 0) > 2.5)::INT) OVER (PARTITION BY repo ORDER BY hour ROWS UNBOUNDED PRECEDING) AS g FROM lg) "
+    "SELECT repo, min(hour)::BIGINT AS begun, max(hour)::BIGINT AS last, sum(n)::BIGINT AS findings FROM gr GROUP BY repo, g"
+)
+def finding_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of findings of one rule in one repository."""
+    from ..streaming.stateful import sessions
+
+    rows = sessions(_met(spark, sf_dir).select(F.concat("repo", F.lit(":"), "rule_id").alias("repo"), "at"), "150 minutes")
+    hour = lambda c, less=0: F.floor((F.unix_timestamp(c) - _EPOCH - less) / 3600)
+    return rows.select("repo", hour("begun").alias("begun"), hour("ended", 9000).alias("last"), "findings")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One score row per patch, patches without findings included."""
     return patch_score(spark, sf_dir)

@@ -1,4 +1,4 @@
-"""Reports: JSON and SARIF as columns over many patches, Markdown and terminal text of one patch."""
+"""Reports of all patches at once: JSON and SARIF as columns, Markdown and terminal text rendered a row a patch."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 import re
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +71,88 @@ def json_reports(findings: DataFrame, stats: DataFrame, categories: DataFrame, s
     )
 
 
+def sarif_logs(findings: DataFrame, patches: DataFrame) -> DataFrame:
+    """patch_id, log: a SARIF 2.1.0 log as JSON text for every row of ``patches`` (patch_id), with or without findings.
+
+    Rules stand in the order in which results first name them. A log is one row, as large as its patch's findings.
+    """
+    rows = sarif_rows(findings)
+    some = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    region = F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine"), F.when(some("snippet").isNotNull(), F.struct(F.col("snippet").alias("text"))).alias("snippet")))
+    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    result = F.struct(
+        F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), "level", F.struct(F.col("message").alias("text")).alias("message"),
+        F.filter(F.array(place), lambda x: x["physicalLocation"]["artifactLocation"]["uri"] != "").alias("locations"), F.struct(F.col("fingerprint").alias(PRINT_KEY)).alias("partialFingerprints"),
+        F.struct("category", "confidence", "trigger", "score", F.when(F.size("reviewers") > 0, F.col("reviewers")).alias("reviewers")).alias("properties"),
+        F.when(F.col("suppressed"), F.array(F.struct(F.col("suppression").alias("kind"), F.col("suppression_reason").alias("justification")))).alias("suppressions"),
+    )
+    words = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    owasp = F.filter(F.transform(words("owasp"), lambda x: F.element_at(F.split(T.normalised(x), " "), 1)), lambda x: x != "")
+    text = F.concat(T.trimmed(F.col("question")), F.coalesce(F.concat(F.lit("\n\n"), some("guidance")), F.lit("")))
+    severity = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in SECURITY_SEVERITY.items()], F.lit("1.0"))
+    rule = F.struct(
+        F.col("rule_id").alias("id"), F.col("rule_id").alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"), F.struct(T.normalised(F.col("question")).alias("text")).alias("fullDescription"),
+        F.struct(text.alias("text"), text.alias("markdown")).alias("help"), F.struct("level").alias("defaultConfiguration"),
+        F.struct(severity.alias("security-severity"), F.col("confidence").alias("precision"), F.concat(F.array(F.lit("security"), "category"), words("cwe"), owasp, words("tags")).alias("tags")).alias("properties"),
+        F.get(words("refs"), F.lit(0)).alias("helpUri"),
+    )
+    in_order = lambda key, c: F.transform(F.sort_array(F.collect_list(F.struct(key, c))), lambda x: x[c])
+    rules = rows.withColumn("rule", rule).groupBy("patch_id", "rule_id").agg(F.min("rule_index").alias("rule_index"), F.min_by("rule", "result_order").alias("rule"))
+    rules = rules.groupBy("patch_id").agg(in_order("rule_index", "rule").alias("rules"))
+    results = rows.withColumn("result", result).groupBy("patch_id").agg(in_order("result_order", "result").alias("results"))
+    out = patches.select("patch_id").distinct().join(rules, "patch_id", "left").join(results, "patch_id", "left")
+    none = lambda c: F.coalesce(F.col(c), F.from_json(F.lit("[]"), out.schema[c].dataType)).alias(c)
+    driver = F.struct(F.lit(TOOL).alias("name"), F.lit(__version__).alias("version"), none("rules"))
+    run = F.struct(
+        F.struct(driver.alias("driver")).alias("tool"), none("results"), F.array(F.struct(F.lit(True).alias("executionSuccessful"))).alias("invocations"),
+        F.struct(F.lit(f"{TOOL}/pull-request").alias("id")).alias("automationDetails"), F.lit("utf16CodeUnits").alias("columnKind"),
+    )
+    return out.select("patch_id", F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("log"))
+
+
+def gathered(a: Analysis) -> DataFrame:
+    """A row for each patch: findings, suppressed, stats, score, categories, reviewers, nested and in order."""
+    entry = F.struct("result_order", F.struct(*FINDING).alias("f"))
+    listed = lambda live: F.transform(F.sort_array(F.collect_list(F.when(F.col("suppressed") != live, entry))), lambda x: x["f"])
+    within = lambda df, order, into: df.groupBy("patch_id").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in df.columns if c not in ("patch_id", order)]))).alias(into))
+    whole = lambda df, into: df.select("patch_id", F.struct(*[c for c in df.columns if c not in ("patch_id", "languages")]).alias(into))
+    out = whole(a.scores, "score").join(whole(a.stats, "stats"), "patch_id")
+    parts = [ordered(a.findings).groupBy("patch_id").agg(listed(True).alias("findings"), listed(False).alias("suppressed")), within(a.category_scores, "category_order", "categories"), within(routing.reviewer_index(a.findings), "reviewer_order", "reviewers")]
+    for part in parts:
+        out = out.join(part, "patch_id", "left")
+    return out
+
+
+def texts(a: Analysis, kinds: tuple[str, ...] = ("markdown",)) -> DataFrame:
+    """patch_id and a text of each of ``kinds`` (markdown, terminal, ci) for every patch, each rendered where its row is."""
+    makers = {"markdown": markdown, "terminal": pretty, "ci": key_values}
+    chosen = [makers[k] for k in kinds]
+    rows = gathered(a)
+    kind = rows.schema["patch_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                found = [{c: v if v is not None else [] for c, v in r.items()} for r in part.to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("patch_id"), *[pa.array([make(r) for r in found], pa.string()) for make in chosen]], ["patch_id", *kinds])
+
+    return rows.mapInArrow(run, ", ".join([f"patch_id {kind}", *[f"{k} string" for k in kinds]]))
+
+
+def write_by_bucket(reports: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Write one row a patch to a folder a bucket, dealt by a hash of patch_id, so a patch is found without reading the rest."""
+    bucket = F.pmod(F.xxhash64("patch_id"), F.lit(buckets)).cast("int")
+    reports.withColumn("bucket", bucket).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def read_from_bucket(reports: DataFrame, patch_id, buckets: int = 64) -> DataFrame:
+    """The row of one patch of what :func:`write_by_bucket` wrote; only its bucket is read."""
+    lit = F.lit(patch_id).cast(reports.schema["patch_id"].dataType)
+    number = reports.sparkSession.range(1).select(F.pmod(F.xxhash64(lit), F.lit(buckets)).cast("int")).collect()[0][0]
+    return reports.where((F.col("bucket") == number) & (F.col("patch_id") == lit)).drop("bucket")
+
+
 def collected(a: Analysis, patch_id: str) -> dict[str, Any]:
     """One patch's rows on the driver, for the texts that people read."""
     of = lambda df: df.where(F.col("patch_id") == patch_id)

@@ -52,7 +52,8 @@ def told_once(findings: DataFrame, quiet_seconds: int, late: str = "1 hour") ->
             state.update((first, last, times))
             # A row that lies quiet_seconds behind still belongs: the state may go only when such a row would be late.
             state.setTimeoutTimestamp(max(last // 1000 + quiet_seconds * 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["repo", "fingerprint", "event", "at", "first_at", "times"])
+        if out:
+            yield pd.DataFrame(out, columns=["repo", "fingerprint", "event", "at", "first_at", "times"])
 
     rows = findings.select("repo", "fingerprint", "at").dropna().withWatermark("at", late)
     return rows.groupBy("repo", "fingerprint").applyInPandasWithState(step, TOLD, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
