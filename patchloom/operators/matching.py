@@ -46,32 +46,62 @@ def first_match(text: Column, found: tuple[str, ...]) -> Column:
 
 
 def _near(lines: DataFrame, rules: list[tuple[int, Rule]]) -> tuple[DataFrame, dict[int, Column]]:
-    """``lines`` (with ``hits``) and a flag for each near constraint, and the condition of each rule that has one.
+    """``lines`` (with ``hits``) and a flag for each near constraint within a hunk, and the condition of each such rule.
 
-    The constraint's patterns run in those hunks, or files, only in which the rule's own patterns hit a line.
+    The constraint's patterns run in those hunks only in which the rule's own patterns hit a line.
     """
     checks: dict[int, Column] = {}
     wanted: dict[str, Column] = {}
     flags: dict[str, Column] = {}
+    hunk = Window.partitionBy(*HUNK)
     for k, r in rules:
-        if not r.near:
+        if not r.near or r.near.scope == "file":
             continue
-        whole = Window.partitionBy("patch_id", "file_idx") if r.near.scope == "file" else Window.partitionBy(*HUNK)
-        wanted[f"near_{k}"] = F.max(F.array_contains(F.transform("hits", lambda x: x["rule_ord"]), k)).over(whole)
-        frame = whole if r.near.scope == "file" else Window.partitionBy(*HUNK).orderBy("line_idx").rowsBetween(-r.near.window, r.near.window)
+        wanted[f"near_{k}"] = F.max(F.array_contains(F.transform("hits", lambda x: x["rule_ord"]), k)).over(hunk)
+        frame = hunk.orderBy("line_idx").rowsBetween(-r.near.window, r.near.window)
         ok = F.lit(True)
         for side, found in (("absent", r.near.absent), ("present", r.near.present)):
             if not found:
                 continue
             section = F.coalesce((F.col("section") != "") & like_any(F.col("section"), found), F.lit(False))
-            here = F.when(F.col(f"near_{k}"), like_any(F.col("text"), found) | section if r.near.scope == "file" else like_any(F.col("text"), found))
-            hit = F.coalesce(F.max(here).over(frame), F.lit(False))
-            flags[f"near_{k}_{side}"] = hit if r.near.scope == "file" else hit | (F.col(f"near_{k}") & section)
+            hit = F.coalesce(F.max(F.when(F.col(f"near_{k}"), like_any(F.col("text"), found))).over(frame), F.lit(False))
+            flags[f"near_{k}_{side}"] = hit | (F.col(f"near_{k}") & section)
             ok = ok & (~F.col(f"near_{k}_{side}") if side == "absent" else F.col(f"near_{k}_{side}"))
         checks[k] = ok
     return (lines.withColumns(wanted).withColumns(flags) if flags else lines), checks
 
 
+#: Near constraints of one set of bits.
+_BITS = 62
+
+
+def _met_in_files(lines: DataFrame, rules: list[tuple[int, Rule]]) -> tuple[DataFrame | None, dict[int, Column]]:
+    """patch_id, file_idx and sets of bits: which near constraints of a whole file some line or section of it meets; and
+    the condition of each rule that has one. Bits are or-ed before the shuffle, so no task holds a file's lines.
+    """
+    tests = [(k, side, found) for k, r in rules if r.near and r.near.scope == "file" for side, found in (("absent", r.near.absent), ("present", r.near.present)) if found]
+    if not tests:
+        return None, {}
+    sets = {n: got for n, (_, _, found) in enumerate(tests) if (got := literals.of_any(found))}
+    rows = lines.select("patch_id", "file_idx", "text", "section", F.explode(F.array(literals.searchable(F.col("text")))).alias("_folded"))
+    rows = rows.withColumn("_may", literals.candidates(F.col("_folded"), sets))
+
+    def meets(n: int) -> Column:
+        here = like_any(F.col("text"), tests[n][2])
+        here = F.array_contains("_may", n) & here if n in sets else here
+        return F.coalesce(here, F.lit(False)) | F.coalesce((F.col("section") != "") & like_any(F.col("section"), tests[n][2]), F.lit(False))
+
+    words = range(0, len(tests), _BITS)
+    mask = lambda w: sum((F.when(meets(n), F.lit(1 << (n - w))).otherwise(F.lit(0)).cast("long") for n in range(w, min(w + _BITS, len(tests)))), F.lit(0).cast("long"))
+    bits = rows.groupBy("patch_id", "file_idx").agg(*[F.bit_or(mask(w)).alias(f"near_bits_{w}") for w in words])
+    checks: dict[int, Column] = {}
+    for n, (k, side, _) in enumerate(tests):
+        w = n - n % _BITS
+        met = F.col(f"near_bits_{w}").bitwiseAND(F.lit(1 << (n - w)).cast("long")) != 0
+        checks[k] = checks.get(k, F.lit(True)) & (~met if side == "absent" else met)
+    return bits, checks
+
+
 def line_hits(lines: DataFrame, rules: list[Rule], longest: int = 0) -> DataFrame:
     """A row for each rule and line that matches: the line's columns, prev_text, lang, rule_ord, match.
 
@@ -84,7 +114,7 @@ def line_hits(lines: DataFrame, rules: list[Rule], longest: int = 0) -> DataFram
     if not wanted:
         return lines.withColumns({"prev_text": prev, "lang": F.lit(""), "rule_ord": F.lit(0), "match": F.lit("")}).where("false")
     blank = ~F.col("text").rlike(r"[^\p{IsWhite_Space}]")
-    sets = {k: found for k, r in wanted if (found := literals.of_any(r.patterns))}
+    source, sets = lines, {k: found for k, r in wanted if (found := literals.of_any(r.patterns))}
     # Behind a generator, so that the text is folded once and not in every condition.
     lines = lines.select("*", prev.alias("prev_text"), F.explode(F.array(literals.searchable(F.col("text")))).alias("_folded"))
     lines = lines.withColumn("_may", F.when(F.col("kind") != "context", literals.candidates(F.col("_folded"), sets))).drop("_folded")
@@ -99,9 +129,12 @@ def line_hits(lines: DataFrame, rules: list[Rule], longest: int = 0) -> DataFram
 
     first = F.array(*[F.struct(F.lit(k).alias("rule_ord"), match(k, r).alias("match")) for k, r in wanted])
     lines = lines.withColumn("hits", F.when(~blank, F.filter(first, lambda x: x["match"].isNotNull()))).drop("_may")
+    bits, of_file = _met_in_files(source, wanted)
     lines, near = _near(lines, wanted)
-    flagged = [f for f in lines.columns if f.startswith("near_")]
-    found = lines.where(F.size("hits") > 0).withColumn("hit", F.explode("hits")).withColumn("lang", language(F.col("path")))
+    near |= of_file
+    flagged = [f for f in [*lines.columns, *(bits.columns if bits else [])] if f.startswith("near_")]
+    lines = lines.where(F.size("hits") > 0)
+    found = (lines.join(bits, ["patch_id", "file_idx"]) if bits else lines).withColumn("hit", F.explode("hits")).withColumn("lang", language(F.col("path")))
     # What is left are few rows: each is held against the rest of its own rule only.
     case = None
     for k, r in wanted:

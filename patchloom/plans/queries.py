@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import globs
 from ..functions import text as T
 from ..functions.languages import language
-from ..operators import diff, entropy, findings, matching, routing, scoring
+from ..operators import diff, entropy, findings, matching, owners, routing, scoring
 from ..sources import baseline as B
 from ..sources.baseline_table import BaselineTable
 from ..sources.config import Config
 from ..sources.rules import Rule, default
-from . import catalogue, corpus
+from . import catalogue, corpus, settings
 from .analysis import Analysis, analyse_changes, described, hits_of, stats_of
 from .cut import cut, scratch
 
@@ -763,6 +763,42 @@ def finding_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo", hour("begun").alias("begun"), hour("ended", 9000).alias("last"), "findings")
 
 
+#: Rules of one repository's owners: for all, for an ending, for a folder anywhere, for each source, and for every seventh document its own.
+_OWNER_ROWS = "CASE WHEN doc_id % 7 = 0 THEN '@doc' || doc_id WHEN split_part(path, '/', 2) = 'de' THEN '@german' ELSE '@team-' || split_part(path, '/', 1) END"
+
+
+@query(f"WITH {corpus.SQL} SELECT patch_id, path, {_OWNER_ROWS} AS owners FROM src")
+def codeowners_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners by a rule for every seventh document and every source, met by joins."""
+    files = corpus.files(spark, sf_dir).select(F.lit("").alias("repo"), "patch_id", "path", "file_idx")
+    number = F.col("patch_id") * 20 + F.col("file_idx")
+    rule = lambda df, order, pattern, name: df.select(F.lit("").alias("repo"), order.cast("long").alias("rule_ord"), pattern.alias("pattern"), F.array(name).alias("owners"))
+    source = files.select(F.substring_index("path", "/", 1).alias("s")).distinct()
+    wide = spark.createDataFrame([("", 0, "*", ["@everyone"]), ("", 1, "*.py", ["@py"]), ("", 900000, "de/", ["@german"])], "repo string, rule_ord long, pattern string, owners array<string>")
+    own = rule(files.where(number % 7 == 0), number + 1000000, F.concat(F.lit("/"), "path"), F.concat(F.lit("@doc"), number.cast("string")))
+    rules = wide.unionByName(rule(source, F.lit(10), F.concat(F.lit("/"), "s", F.lit("/")), F.concat(F.lit("@team-"), "s"))).unionByName(own)
+    return owners.owners_of_files(files, owners.keyed(rules)).select("patch_id", "path", F.array_join("owners", " ").alias("owners"))
+
+
+@query(
+    f"{ALL}, rp AS (SELECT *, split_part(path, '/', 1) AS repo FROM hits JOIN meta USING (rule_ord)), st AS (SELECT *, length(repo) % 2 = 0 AS strict FROM rp) "
+    "SELECT repo, rule_id, CASE WHEN strict AND rule_id = 'corpus.marks' THEN 'critical' WHEN NOT strict AND rule_id = 'corpus.table-row' THEN 'info' ELSE severity END AS severity, count(*) AS n FROM st "
+    "WHERE CASE WHEN strict THEN rule_id <> 'corpus.shouting' AND confidence IN ('high', 'medium') ELSE rule_id IN ('corpus.marks', 'corpus.table-row', 'corpus.mail-address') AND rule_id <> 'corpus.mail-address' END GROUP BY ALL"
+)
+def repository_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over all patches once; what counts, and how much, by the settings of each repository."""
+    rows = _hits(spark, sf_dir).withColumn("repo", F.substring_index("path", "/", 1))
+    meta = settings.compiled(settings.rule_rows(spark, [RULES, []])).select("rule_id", "severity", "confidence")
+    strict = F.length("repo") % 2 == 0
+    none, level = F.array().cast("array<string>"), lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    own = rows.select("repo").distinct().select(
+        "repo", F.when(strict, none).otherwise(F.array(*map(F.lit, ("corpus.marks", "corpus.table-row", "corpus.mail-address")))).alias("only"),
+        F.when(strict, F.array(F.lit("corpus.shouting"))).otherwise(F.array(F.lit("corpus.mail-address"))).alias("disable"), none.alias("enable"),
+        F.when(strict, level("corpus.marks", "critical")).otherwise(level("corpus.table-row", "info")).alias("severity"), F.when(strict, "medium").otherwise("").alias("min_confidence"),
+    )
+    return settings.settled(rows.join(F.broadcast(meta), "rule_id"), own).groupBy("repo", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One score row per patch, patches without findings included."""
     return patch_score(spark, sf_dir)
