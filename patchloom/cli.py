@@ -8,6 +8,8 @@ import datetime
 import difflib
 import json
 import os
+import shutil
+import subprocess
 import sys
 from collections.abc import Callable
 
@@ -38,12 +40,28 @@ def _session():
     return spark
 
 
+def built() -> tuple[str, str]:
+    """The commit and its date that the library was packed from, or is checked out at; unknown where neither is known.
+
+    A package says it in a file ``BUILD`` beside this one: two words.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    try:
+        with open(os.path.join(here, "BUILD"), encoding="utf-8") as f:
+            said = f.read().split()
+    except OSError:
+        run = subprocess.run(["git", "-C", here, "log", "-1", "--format=%h %cs", "--", here], capture_output=True, text=True, timeout=20, check=False) if shutil.which("git") else None
+        said = run.stdout.split() if run and not run.returncode else []
+    return (said[0], said[1]) if len(said) == 2 else ("unknown", "unknown")
+
+
 def _banner() -> str:
     import platform
 
     from pyspark import __version__ as engine
 
-    return f"patchloom {__version__} (Spark {engine}, Python {platform.python_version()})\n"
+    commit, date = built()
+    return f"patchloom {__version__} (commit {commit}, built {date}, Spark {engine}, Python {platform.python_version()})\n"
 
 
 def _write(path: str, text: str) -> None:

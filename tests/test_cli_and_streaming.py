@@ -41,3 +41,13 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sum(r["patches"] for r in risk_by_time(scores).collect()) == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         arriving(spark, str(tmp_path / "none"))
+
+
+def test_version_names_commit_and_date(tmp_path, monkeypatch, capsys):
+    from patchloom import cli
+
+    assert cli.main(["version"]) == 0 and "commit " in capsys.readouterr().out
+    monkeypatch.setattr(cli, "__file__", str(tmp_path / "cli.py"))
+    assert cli.built() == ("unknown", "unknown")
+    (tmp_path / "BUILD").write_text("abc1234 2024-05-06\n")
+    assert cli.built() == ("abc1234", "2024-05-06")
