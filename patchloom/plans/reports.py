@@ -7,7 +7,7 @@ import re
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import __version__
@@ -28,6 +28,17 @@ FINDING = [
 ]
 
 
+#: Characters that JSON texts hold as escapes only, so that they can stand inside HTML and scripts.
+_HTML = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", "\u2028": "\\u2028", "\u2029": "\\u2029"}
+
+
+def html_safe(text: Column) -> Column:
+    """A JSON text whose strings hold no character that means something to HTML; it reads the same."""
+    for raw, escape in _HTML.items():
+        text = F.replace(text, F.lit(raw), F.lit(escape))
+    return text
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """With result_order: live before suppressed, each worst first."""
     at = Window.partitionBy("patch_id").orderBy("suppressed", *FN.sort_keys())
@@ -60,14 +71,14 @@ def json_reports(findings: DataFrame, stats: DataFrame, categories: DataFrame, s
     said = F.struct(F.lit(TOOL).alias("tool"), F.lit(__version__).alias("version"), *[F.lit(v).alias(k) for k, v in (meta or {}).items()])
     return out.select(
         "patch_id",
-        F.to_json(F.struct(
+        html_safe(F.to_json(F.struct(
             said.alias("meta"),
             F.struct("total", "band", "signals", "blast_radius", "raw", F.coalesce("categories", F.from_json(F.lit("[]"), cats.schema["categories"].dataType)).alias("categories")).alias("score"),
             F.struct(F.col("gate_failed").alias("failed"), F.when(F.col("gate_failed"), F.col("gate_reason")).alias("reason")).alias("gate"),
             F.struct("files_changed", "additions", "deletions", "binary_files", "rules_evaluated", "files_skipped", "languages").alias("stats"),
             F.struct(F.size(found).alias("total"), F.size(ignored).alias("suppressed"), "by_severity", "by_category", F.col("by_reviewer").alias("reviewers")).alias("summary"),
             found.alias("findings"), ignored.alias("suppressed"),
-        )).alias("report"),
+        ))).alias("report"),
     )
 
 
@@ -107,7 +118,7 @@ def sarif_logs(findings: DataFrame, patches: DataFrame) -> DataFrame:
         F.struct(driver.alias("driver")).alias("tool"), none("results"), F.array(F.struct(F.lit(True).alias("executionSuccessful"))).alias("invocations"),
         F.struct(F.lit(f"{TOOL}/pull-request").alias("id")).alias("automationDetails"), F.lit("utf16CodeUnits").alias("columnKind"),
     )
-    return out.select("patch_id", F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("log"))
+    return out.select("patch_id", html_safe(F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs")))).alias("log"))
 
 
 def gathered(a: Analysis) -> DataFrame:
@@ -226,7 +237,7 @@ def sarif(r: dict[str, Any]) -> str:
         results.append(out)
     driver = {"name": TOOL, "version": __version__, "rules": list(rules.values())}
     run = {"tool": {"driver": driver}, "results": results, "invocations": [{"executionSuccessful": True}], "automationDetails": {"id": f"{TOOL}/pull-request"}, "columnKind": "utf16CodeUnits"}
-    return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False)
+    return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False).translate({ord(k): v for k, v in _HTML.items()})
 
 
 def _by_category(r: dict[str, Any]) -> list[tuple[str, list[dict]]]:

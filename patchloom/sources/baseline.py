@@ -45,13 +45,21 @@ def merged(existing: DataFrame, findings: DataFrame, reason: str, today: str) ->
 
 
 def write(rows: DataFrame, path: str, generated: str) -> int:
-    """One JSON file for a repository's baseline, written by the driver; the number of entries."""
+    """One JSON file for a repository's baseline, written entry by entry as partitions arrive; the number of entries.
+
+    The driver holds one partition at a time. For baselines of many repositories see :mod:`.baseline_table`.
+    """
     import json
     import os
+    import textwrap
 
-    found = [{k: v for k, v in r.asDict().items() if v is not None} for r in rows.collect()]
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    n = 0
     with open(path, "w", encoding="utf-8") as f:
-        json.dump({"version": 1, "generated": generated, "entries": found}, f, indent=2, ensure_ascii=False)
-        f.write("\n")
-    return len(found)
+        f.write(f'{{\n  "version": 1,\n  "generated": {json.dumps(generated)},\n  "entries": [')
+        for r in rows.toLocalIterator():
+            said = json.dumps({k: v for k, v in r.asDict().items() if v is not None}, indent=2, ensure_ascii=False)
+            f.write(("," if n else "") + "\n" + textwrap.indent(said, "    "))
+            n += 1
+        f.write("\n  ]\n}\n" if n else "]\n}\n")
+    return n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,10 +28,12 @@ def analysed(patches: DataFrame, rules: RuleSet, out: str, checkpoint: str, cfg:
     def one(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
+        batch = batch.persist(StorageLevel.DISK_ONLY_2)  # read for the lines, the reasons and the times
         a = analyse(batch.select("patch_id", "text"), rules, cfg)
         a.findings.write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
         times = batch.groupBy("patch_id").agg(F.max("at").alias("at"))
         a.scores.join(times, "patch_id").drop("languages").write.mode("overwrite").parquet(f"{out}/scores/batch={number}")
+        batch.unpersist()
 
     return patches.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom.plans import corpus, reports
 from patchloom.plans.analysis import analyse
@@ -11,7 +12,7 @@ from patchloom.sources.patches import from_texts
 from patchloom.operators.routing import Route, Router
 from patchloom.operators.scoring import Gate
 
-LINES = ["+Copyright 2024 Someone, all rights reserved", "+# patchloom:ignore[corpus.*] vetted | <b>", "+write to a.person@mail.example now", "+ALL OF THIS IS SHOUTED AT EVERYBODY HERE", "-an address 10.0.0.1 goes", "+api_token = \"q8Zr2LmX0pTe7Yw4Kd9B\"", "+a | b | c"]
+LINES = ["+Copyright 2024 Someone, all rights reserved", "+# patchloom:ignore[corpus.*] vetted | <b>", "+write to a.person@mail.example now", "+ALL OF THIS IS <b>SHOUTED</b> & AT EVERYBODY HERE", "+Copyright <b> of all rights reserved", "-an address 10.0.0.1 goes", "+api_token = \"q8Zr2LmX0pTe7Yw4Kd9B\"", "+a | b | c"]
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +31,17 @@ def test_sarif_logs(analysis):
     assert any("suppressions" in x for x in logs["p4"]["runs"][0]["results"]) and len(logs["p4"]["runs"][0]["tool"]["driver"]["rules"]) > 3
 
 
+def test_json_holds_no_markup(spark, analysis):
+    found = analysis.findings
+    said = reports.json_reports(found, analysis.stats, analysis.category_scores, analysis.scores).collect()
+    logs = reports.sarif_logs(found, analysis.stats).collect()
+    texts = [r["report"] for r in said] + [r["log"] for r in logs] + [reports.sarif(reports.collected(analysis, "p4"))]
+    assert not any(c in t for t in texts for c in "<>&") and any("\\u003cb\\u003e" in t for t in texts)
+    assert any("<b>" in f["snippet"] for r in said for f in json.loads(r["report"])["findings"] + json.loads(r["report"])["suppressed"])
+    odd = spark.createDataFrame([('{"a":"<&>\u2028\u2029é\\\\"}',)], "j string").select(reports.html_safe(F.col("j")).alias("j")).collect()[0]["j"]
+    assert odd.isascii() is False and json.loads(odd) == {"a": "<&>\u2028\u2029é\\"} and not set(odd) & set("<>&\u2028\u2029")
+
+
 def test_texts(analysis):
     rows = {r["patch_id"]: r for r in reports.texts(analysis, ("markdown", "terminal", "ci")).collect()}
     assert len(rows) == 5
