@@ -18,6 +18,7 @@ and of all rare ones together; the strength is fixed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -119,20 +120,54 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+class Slots:
+    """A sorted table of evenly spread 64-bit keys, searched by their leading bits: one look, and seldom a second."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    @cached_property
+    def _first(self) -> tuple[np.uint64, np.ndarray]:
+        """Shift, and where the keys of each slot begin; made in each worker, not sent."""
+        bits = len(self.keys).bit_length() + 1
+        shift = np.uint64(64 - bits)
+        return shift, np.searchsorted(self.keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each hash."""
+        if not len(self.keys):
+            return np.zeros(len(h), _I), np.zeros(len(h), bool)
+        shift, first = self._first
+        slot = (h >> shift).astype(_I)
+        at, end = first[slot].astype(_I), first[slot + 1]
+        found = self.keys[np.minimum(at, len(self.keys) - 1)] == h
+        rest = np.flatnonzero(~found & (at + 1 < end))
+        while len(rest):
+            at[rest] += 1
+            hit = self.keys[at[rest]] == h[rest]
+            found[rest[hit]] = True
+            rest = rest[~hit]
+            rest = rest[at[rest] + 1 < end[rest]]
+        return np.minimum(at, len(self.keys) - 1), found
+
+    def __getstate__(self):
+        return {"keys": self.keys}
+
+
 class Common:
     """The words that every task knows, sorted by hash, with their counts."""
 
     def __init__(self, words: np.ndarray, n: np.ndarray):
         order = np.argsort(words)
         self.words, self.n = words[order], n[order]
+        self.slots = Slots(self.words)
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word before, word) of each token, and the n + 1 offsets of the texts' tokens."""
         h, first = tokens(data, off)
         w = X.signed(h).copy()
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            w = np.where(self.words[at] == h, at, w)
+        at, found = self.slots.find(h)
+        w = np.where(found, at, w)
         w[h == END_HASH] = END
         u = np.empty_like(w)
         u[1:] = w[:-1]
@@ -533,10 +568,6 @@ class Model:
                 self.t.append(once + more)
         self.cells, self.c, self.d, self.d_rare = cells, c, d, d_rare
 
-    def log(self, u: np.ndarray, w: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """log10 of the probabilities of pairs of common words."""
-        return _log(self.c[u], self.d[u], n, s, [t[u] for t in self.t], [p[w] for p in self.p])
-
 
 def _log(c, d, n, s, t: list, p: list) -> np.ndarray:
     back = sum((STRENGTH + d * tk) * pk for tk, pk in zip(t, p, strict=True)) / KEPT
@@ -550,8 +581,11 @@ def _served(n: np.ndarray, t: np.ndarray, d: float, prior: np.ndarray) -> np.nda
     return (n - d * t + (STRENGTH + d * t.sum()) * prior) / (STRENGTH + n.sum())
 
 
-def _frequent(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, log10 probabilities) of the pairs of common words of the highest counts, PAIRS at most."""
+def _frequent(model: Model, arrays) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted codes, log10 probabilities) of the pairs of common words of the highest counts, PAIRS at most.
+
+    ``arrays`` is a broadcast of :meth:`Learnt.arrays`: tasks compute what the driver only sorts, 16 bytes a pair.
+    """
 
     def levels(batches):
         count = np.zeros(1200, _I)
@@ -566,20 +600,23 @@ def _frequent(model: Model) -> tuple[np.ndarray, np.ndarray]:
     found = model.cells.select("many").mapInArrow(levels, "at long, rows long").groupBy("at").agg(F.sum("rows").alias("rows")).collect()
     cut = _at_most([(r["at"], r["rows"]) for r in found], PAIRS)
     if cut is None:
-        return np.empty(0, _I), np.empty(0)
+        return np.empty(0, np.uint64), np.empty(0)
 
     def chosen(batches):
+        m = arrays.value
         for batch in batches:
             for raw in batch.column(0):
                 u, w, n, _, s, _ = unpack(raw.as_buffer(), *_MANY)
                 keep = _common(u) & _common(w) & (_level(n) >= cut)
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (u, w, n, s)], ["u", "w", "n", "s"])
+                u, w, n, s = (x[keep] for x in (u, w, n, s))
+                log = _log(m["c"][u], m["d"][u], n, s, [t[u] for t in m["t"]], [p[w] for p in m["p"]])
+                code = X.mix((u * _IDS + w).view(np.uint64))  # a bijection: pairs stay apart
+                yield pa.RecordBatch.from_arrays([pa.array(X.signed(code)), pa.array(log)], ["code", "log"])
 
-    rows = model.cells.select("many").mapInArrow(chosen, "u long, w long, n long, s long").toArrow()
-    u, w, n, s = (np.asarray(rows[c], _I) for c in ("u", "w", "n", "s"))
-    code = u * _IDS + w
+    rows = model.cells.select("many").mapInArrow(chosen, "code long, log double").toArrow()
+    code = np.asarray(rows["code"], _I).view(np.uint64)
     order = np.argsort(code)
-    return code[order], model.log(u, w, n, s)[order]
+    return code[order], np.asarray(rows["log"], _F)[order]
 
 
 LOOKED_UP = "row long, log float, base float, known long, u long, x float, p float"
@@ -663,12 +700,10 @@ def _score(shared: dict, parts: int, batches: Iterator[pa.RecordBatch]) -> Itera
             u, w, first = common.ids(data, off)
             of = np.repeat(np.arange(b - a), np.diff(first))
             near, hot = _common(w), _common(u)
+            both = np.flatnonzero(near & hot)
+            at, hit = codes.find(X.mix((u[both] * _IDS + w[both]).view(np.uint64)))
             value, found = np.zeros(len(w)), np.zeros(len(w), bool)
-            if len(codes):
-                own = np.where(near & hot, u * _IDS + w, -1)
-                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-                found = codes[at] == own
-                value = np.where(found, logs[at], 0)
+            value[both[hit]], found[both[hit]] = logs[at[hit]], True
             base, known = np.where(near, log_n[np.where(near, w, 0)], 0), near & ((w != END) | (n_end > 0))
             add = lambda x: pa.array(np.bincount(of, x, b - a))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
@@ -731,11 +766,11 @@ def op9(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     learnt = Learnt(docs.where(~_held_out()).select("text"), scratch)
     model, parts, n_all = learnt.model, learnt.parts, learnt.tokens
-    codes, logs = _frequent(model)
+    arrays = context.broadcast(learnt.arrays())
+    codes, logs = _frequent(model, arrays)
     log_n = np.zeros(_IDS)
     log_n[: len(learnt.common.n)], log_n[END] = np.log10(learnt.common.n + 1), np.log10(learnt.ends + 1)
-    shared = context.broadcast({"common": learnt.common, "codes": codes, "logs": logs, "log_n": log_n, "n_end": learnt.ends})
-    arrays = context.broadcast(learnt.arrays())
+    shared = context.broadcast({"common": learnt.common, "codes": Slots(codes), "logs": logs, "log_n": log_n, "n_end": learnt.ends})
     scored = scratch.keep(docs.mapInArrow(lambda b: _score(shared.value, parts, b), SCORED), "scored")
     far = exchanged(scored.where("block is not null").select("part", "block"), (_I, _I, _I), parts)
     found = model.cells.groupBy("part").cogroup(far.groupBy("part")).applyInArrow(lambda a, b: look_up(arrays.value, a, b), LOOKED_UP)
