@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import globs
 from ..functions import text as T
 from ..functions.languages import language
-from ..operators import diff, entropy, findings, matching, owners, routing, scoring
+from ..operators import diff, entropy, findings, matching, owners, routing, scoring, summaries
 from ..sources import baseline as B
 from ..sources.baseline_table import BaselineTable
 from ..sources.config import Config
@@ -763,6 +763,33 @@ def finding_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo", hour("begun").alias("begun"), hour("ended", 9000).alias("last"), "findings")
 
 
+@query(
+    f"{ALL}, {_TOTALS} SELECT sc.patch_id, category, count(*) AS n, max(score) AS worst, any_value({_R1.format('ps.exact')}) AS total, any_value(ps.files) AS files_changed FROM sc JOIN ps USING (patch_id) WHERE NOT suppressed GROUP BY sc.patch_id, category"
+)
+def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An analysis asked in SQL, through its views."""
+    _reported(spark, sf_dir).views()
+    return spark.sql(
+        "SELECT f.patch_id, f.category, count(*) AS n, max(f.score) AS worst, any_value(s.total) AS total, any_value(CAST(t.files_changed AS BIGINT)) AS files_changed "
+        "FROM findings f JOIN scores s USING (patch_id) JOIN stats t USING (patch_id) WHERE NOT f.suppressed GROUP BY f.patch_id, f.category"
+    )
+
+
+@query(
+    f"{ALL}, d1 AS (SELECT 'day ' || patch_id % 3 AS day, count(DISTINCT path) AS files, count(DISTINCT fingerprint) AS prints, count(*) AS findings, count(*) FILTER (suppressed) AS suppressed FROM dd GROUP BY ALL) "
+    "SELECT day, findings, suppressed, true AS files_near, true AS prints_near FROM d1"
+)
+def merged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of four batches added up by day; the estimates of distinct files and fingerprints against exact counts."""
+    rows = findings.first_only(_hits(spark, sf_dir)).withColumns({"day": F.concat(F.lit("day "), (F.col("patch_id") % 3).cast("string")), "file": F.col("path"), "severity": F.lit("low"), "score": F.lit(1.0)})
+    rows = cut(rows.select("day", "file", "fingerprint", "severity", "suppressed", "score"))
+    batches = [summaries.summarised(rows.where(F.pmod(F.xxhash64("fingerprint", "file"), F.lit(4)) == k), ("day",)) for k in range(4)]
+    every = summaries.told(summaries.merged(batches[0].union(batches[1]).union(batches[2]).union(batches[3]), ("day",)))
+    exact = rows.groupBy("day").agg(F.count_distinct("file").alias("f"), F.count_distinct("fingerprint").alias("p"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(2.0), 0.05 * F.col(b))
+    return every.join(exact, "day").select("day", "findings", "suppressed", near("files", "f").alias("files_near"), near("fingerprints", "p").alias("prints_near"))
+
+
 #: Rules of one repository's owners: for all, for an ending, for a folder anywhere, for each source, and for every seventh document its own.
 _OWNER_ROWS = "CASE WHEN doc_id % 7 = 0 THEN '@doc' || doc_id WHEN split_part(path, '/', 2) = 'de' THEN '@german' ELSE '@team-' || split_part(path, '/', 1) END"
 
