@@ -4,8 +4,8 @@ from .conftest import DATA, same_rows
 import __spark_entry__ as entry
 from patchloom.plans import queries as Q
 
-#: Queries whose plans have more in them on the larger tables.
-LARGER = ("end_to_end", "streamed_scores")
+#: Queries that find too little, or nothing, on the smallest tables.
+LARGER = ("end_to_end", "removed_line_rule", "streamed_scores")
 
 
 @pytest.mark.parametrize("name", sorted(set(Q.SQL) - set(LARGER)))
@@ -22,7 +22,9 @@ def test_query_matches_its_sql_on_larger_tables(spark, name):
     at = DATA.replace("0.001", "0.01")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{at}/documents.parquet')")
-    same_rows(Q.QUERIES[name](spark, at).toPandas(), con.execute(Q.SQL[name]).df())
+    rows = Q.QUERIES[name](spark, at).toPandas()
+    assert len(rows)
+    same_rows(rows, con.execute(Q.SQL[name]).df())
 
 
 def test_the_catalogue_meets_almost_every_rule(spark):
