@@ -42,6 +42,8 @@ DRAWS = 4
 STRENGTH = 1.0
 #: Tokens of a part, about, and parts that one task deals blocks to; more parts are dealt in several steps.
 PART, FAN = 1 << 20, 1024
+#: Parts that a further step makes of one, at least.
+LEAST = 4
 #: Words are known by their place among the common ones, or else by their hash as a signed number.
 END, START = COMMON, COMMON + 1
 _IDS = COMMON + 2
@@ -374,23 +376,23 @@ def _regrouped(kinds: tuple, parts: int, fan: int, batches: Iterator[pa.RecordBa
 
 
 def exchanged(blocks: DataFrame, kinds: tuple, parts: int) -> DataFrame:
-    """(part, block) dealt to ``parts`` parts, of blocks dealt to at most FAN; each step multiplies the parts by FAN."""
+    """(part, block) dealt to ``parts`` parts, of blocks dealt to at most FAN; each step multiplies the parts by FAN at most."""
     fan = min(parts, FAN)
     while fan < parts:
-        fan = fan * FAN
-        step = fan
+        fan = step = min(parts, fan * FAN)
         blocks = blocks.repartition("part").mapInArrow(lambda b, step=step: _regrouped(kinds, step, step, b), "part long, block binary")
     return blocks
 
 
 def parts_for(tokens: int) -> int:
-    """Parts of about PART tokens: any number up to FAN, and powers of FAN beyond."""
+    """Parts of about PART tokens: any number up to FAN; beyond, a multiple of what one step less deals to, so that a
+    part of a step is dealt on whole. Another step makes LEAST parts of one at least."""
     wanted, parts = max(1, -(-tokens // PART)), FAN
     if wanted <= FAN:
         return wanted
-    while parts < wanted:
+    while parts * FAN < wanted:
         parts *= FAN
-    return parts
+    return parts * max(LEAST, -(-wanted // parts))
 
 
 def _paired(common: Common, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
