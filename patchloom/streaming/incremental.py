@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +17,16 @@ def arriving(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFra
     return files.select(F.col("_metadata.file_path").alias("patch_id"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("at"))
 
 
+def arriving_tables(spark: SparkSession, folder: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """The same of Parquet files (patch_id string, text string) that appear in a folder, many patches in each.
+
+    A micro-batch takes files of about ``max_bytes``, so there are as many batches as there is to read and not as there
+    are patches: each pays for the planning of the whole analysis.
+    """
+    rows = spark.readStream.schema("patch_id string, text string").option("maxBytesPerTrigger", max_bytes).parquet(folder)
+    return rows.select("patch_id", "text", F.col("_metadata.file_modification_time").alias("at"))
+
+
 def analysed(patches: DataFrame, rules: RuleSet, out: str, checkpoint: str, cfg: Config = Config()) -> StreamingQuery:
     """Write findings and scores under ``out``, a folder for each micro-batch.
 
@@ -28,12 +37,11 @@ def analysed(patches: DataFrame, rules: RuleSet, out: str, checkpoint: str, cfg:
     def one(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        batch = batch.persist(StorageLevel.DISK_ONLY_2)  # read for the lines, the reasons and the times
+        # Texts are read once, for the lines, which are kept; the times need none of them.
         a = analyse(batch.select("patch_id", "text"), rules, cfg)
         a.findings.write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
         times = batch.groupBy("patch_id").agg(F.max("at").alias("at"))
         a.scores.join(times, "patch_id").drop("languages").write.mode("overwrite").parquet(f"{out}/scores/batch={number}")
-        batch.unpersist()
 
     return patches.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
