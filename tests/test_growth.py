@@ -49,3 +49,15 @@ def test_many_patches_of_a_file_are_one_batch(spark, tmp_path):
     stream = arriving_tables(spark, f"file://{tmp_path}/in").writeStream.foreachBatch(lambda b, k: seen.append(b.count()))
     stream.option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     assert seen == [2500]
+
+
+def test_word_edges_are_ascii_whatever_the_case(spark):
+    """As in RE2: letters that only fold to ASCII ones are no word characters, and an edge is one look behind where it can be."""
+    from pyspark.sql import functions as F
+
+    from patchloom.functions.patterns import to_java
+
+    cases = [(r"(?i)\bage\b", "page"), (r"(?i)\bage\b", "ſage"), (r"(?i)\bage\b", "x AGE."), (r"(?i)end\b", "endK"), (r"(?i)\bkey", " Key"), (r"\ba?-", "x-"), (r"\ba?-", "-")]
+    row = spark.range(1).select(*[F.lit(text).rlike(to_java(p)).alias(f"c{k}") for k, (p, text) in enumerate(cases)]).collect()[0]
+    assert list(row) == [False, True, True, True, False, True, False]
+    assert to_java(r"\bage").count("(?") == 2
